@@ -1,21 +1,34 @@
 """Scalar column functions, all built from expressions Spark evaluates in the JVM."""
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexspan import texts
 
-# Python's \s, \w and str.strip() are Unicode-aware; Java needs (?U) to agree.
-_STRIP = r"(?U)\A\s+|\s+\z"
+# Every blank character of Unicode.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 TOKEN_PATTERN = r"[0-9]+|\p{L}+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def after_first(parts: Column) -> Column:
+    """All elements of an array but the first."""
+    return F.filter(parts, lambda _, i: i > 0)
+
+
 def strip(c: Column) -> Column:
     """Trim any Unicode blank from both ends."""
-    return F.regexp_replace(c, _STRIP, "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def matched(c: Column, pattern: str, group: int) -> Column:
@@ -98,26 +111,23 @@ def parse_effective_from(text: Column) -> Column:
     A numeric date wins over a date in words, which wins over "for year N"; the expiry phrase
     is ignored.
     """
-    t = F.regexp_replace(text, _EXPIRY_CLAUSE, "")
+    return bind(F.regexp_replace(text, _EXPIRY_CLAUSE, ""), _effective_from)
+
+
+def _effective_from(t: Column) -> Column:
     month_name = F.lower(F.regexp_extract(t, _WORD_DATE, 2))
-    month_no = reduce(
-        lambda rest, im: F.when(month_name == im[1], f"{im[0]:02d}").otherwise(rest),
-        list(enumerate(texts.MONTHS, 1)),
-        F.lit(None).cast("string"),
-    )
+    month_no = F.lpad(F.array_position(F.lit(texts.MONTHS), month_name).cast("string"), 2, "0")
     words = F.concat_ws(
         "-",
         F.regexp_extract(t, _WORD_DATE, 3),
         month_no,
         F.lpad(F.regexp_extract(t, _WORD_DATE, 1), 2, "0"),
     )
+    first_day = F.concat(F.regexp_extract(t, _YEAR_ONLY, 1), F.lit("-01-01"))
     return (
         F.when(t.rlike(_FULL_DATE), F.try_to_date(F.regexp_extract(t, _FULL_DATE, 0), "dd.MM.yyyy"))
         .when(t.rlike(_WORD_DATE), F.try_to_date(words, "yyyy-MM-dd"))
-        .when(
-            t.rlike(_YEAR_ONLY),
-            F.try_to_date(F.concat(F.regexp_extract(t, _YEAR_ONLY, 1), F.lit("-01-01")), "yyyy-MM-dd"),
-        )
+        .when(t.rlike(_YEAR_ONLY), F.try_to_date(first_day, "yyyy-MM-dd"))
     )
 
 
@@ -127,11 +137,12 @@ def parse_effective_to(text: Column) -> Column:
 
 
 def absolute_url(href: Column, base: str = texts.REGISTRY_BASE_URL) -> Column:
-    return (
-        F.when(href.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(F.lit(base), href))
-        .otherwise(F.concat(F.lit(base + "/"), href))
+    return bind(
+        href,
+        lambda h: F.when(h.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:"), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.lit("https:"), h))
+        .when(F.startswith(h, F.lit("/")), F.concat(F.lit(base), h))
+        .otherwise(F.concat(F.lit(base + "/"), h)),
     )
 
 

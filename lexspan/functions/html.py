@@ -1,11 +1,9 @@
 """HTML fragments to text with column expressions."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexspan.functions.columns import strip
+from lexspan.functions.columns import bind, strip
 
 # Named character references that occur in prose.
 ENTITIES = {
@@ -28,29 +26,36 @@ ENTITIES = {
     "amp": "&",
 }
 
-_NUMERIC = r"(?i)\A&#(x?)([0-9a-f]{1,6});"
+_REFERENCE = r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z]+[0-9]*));"
 
 
-def _numeric_reference(piece: Column) -> Column:
-    """Decode the numeric reference a piece starts with."""
-    digits = F.regexp_extract(piece, _NUMERIC, 2)
-    is_hex = F.lower(F.regexp_extract(piece, _NUMERIC, 1)) == "x"
-    code = F.when(is_hex, F.lower(digits)).otherwise(F.lower(F.conv(digits, 10, 16)))
-    char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-    rest = F.regexp_replace(piece, _NUMERIC, "")
-    return F.when(piece.rlike(_NUMERIC), F.concat(char, rest)).otherwise(piece)
+def _named() -> Column:
+    return F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
 
-def decode_entities(c: Column) -> Column:
-    """Replace character references; text without `&` is passed through untouched."""
-    pieces = F.split(c, r"(?i)(?=&#x[0-9a-f]{1,6};|&#[0-9]{1,6};)")
-    numeric = F.when(
-        F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, _numeric_reference), "")
-    ).otherwise(c)
-    named = reduce(
-        lambda text, kv: F.replace(text, F.lit(f"&{kv[0]};"), F.lit(kv[1])), ENTITIES.items(), numeric
+def _decoded(piece: Column) -> Column:
+    """A piece of text with the reference it starts with, if any, replaced."""
+    decimal = F.regexp_extract(piece, r"\A" + _REFERENCE, 1)
+    hexadecimal = F.regexp_extract(piece, r"\A" + _REFERENCE, 2)
+    name = F.regexp_extract(piece, r"\A" + _REFERENCE, 3)
+    code = F.when(hexadecimal != "", hexadecimal).when(decimal != "", F.conv(decimal, 10, 16))
+    char = F.coalesce(
+        F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), F.try_element_at(_named(), name)
     )
-    return F.when(F.contains(c, F.lit("&")), named).otherwise(c)
+    whole = F.regexp_extract(piece, r"\A" + _REFERENCE, 0)
+    rest = F.substr(piece, F.length(whole) + 1)
+    replaced = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(piece)
+    return F.when(F.startswith(piece, F.lit("&")), replaced).otherwise(piece)
+
+
+def decode_entities(c: Column) -> Column:
+    """Replace character references, each once; text without `&` is passed through untouched."""
+
+    def decoded(text: Column) -> Column:
+        pieces = F.transform(F.split(text, "(?=" + _REFERENCE + ")"), _decoded)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+    return bind(c, decoded)
 
 
 def drop_invisible(html: Column) -> Column:
@@ -89,5 +94,9 @@ def element_body(html: Column, tag: str, cls: str | None = None) -> Column:
         )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
-    kept = F.aggregate(pieces, start, step)["kept"]
-    return F.array_join(F.slice(pieces, F.lit(1), kept), "")
+
+    def inside(found: Column) -> Column:
+        kept = F.aggregate(found, start, step)["kept"]
+        return F.array_join(F.slice(found, F.lit(1), kept), "")
+
+    return bind(pieces, inside)

@@ -41,6 +41,19 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], k) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def each(df: DataFrame, keep: list, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element of a costly array expression, which is evaluated once.
+
+    A plain explode makes the optimiser add a filter on the array's size that evaluates the
+    expression a second time. Elements must not be null.
+    """
+    if pos is None:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(pos, name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

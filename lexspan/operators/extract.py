@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan import texts
-from lexspan.functions.columns import absolute_url, matched, strip
+from lexspan.functions.columns import absolute_url, after_first, bind, matched, strip
+from lexspan.functions.scale import each
 from lexspan.functions.html import drop_invisible, element_body, node_text
 
 # Marks a paragraph as a heading in extracted text; a private-use character.
@@ -51,41 +52,59 @@ def _wrapped_text(html: Column, tags: str) -> Column:
     inner = F.regexp_extract_all(
         html, F.lit(rf"(?is)<({tags})(?:\s[^>]*)?>(.*?)(?:</\1\s*>|\z)"), F.lit(2)
     )
-    nested = F.exists(inner, lambda x: x.rlike(rf"(?i)<(?:{tags})[\s>]"))
-    text = F.array_join(F.transform(inner, node_text), " ")
-    return F.when((F.size(inner) > 0) & ~nested, text)
 
+    def joined(found: Column) -> Column:
+        nested = F.exists(found, lambda x: x.rlike(rf"(?i)<(?:{tags})[\s>]"))
+        text = F.array_join(F.transform(found, node_text), " ")
+        return F.when((F.size(found) > 0) & ~nested, text)
 
-def _paragraph(piece: Column) -> Column:
-    attrs = F.regexp_extract(piece, r"\A([^>]*)>", 1)
+    return bind(inner, joined)
+
+
+def _piece(piece: Column) -> Column:
     html = F.regexp_replace(F.regexp_replace(piece, r"\A[^>]*>", ""), _ENDS_PARAGRAPH, "")
-    return F.struct(attrs.alias("attrs"), html.alias("html"), node_text(html).alias("raw"))
+    return F.struct(F.regexp_extract(piece, r"\A([^>]*)>", 1).alias("attrs"), html.alias("html"))
 
 
-def _flags(p: Column) -> Column:
+def _read(p: Column) -> Column:
+    raw = node_text(p["html"])
+    return F.struct(p["attrs"].alias("attrs"), p["html"].alias("html"), raw.alias("raw"))
+
+
+def _worded(p: Column) -> Column:
     text = reglue(strip(F.regexp_replace(p["raw"], "[ \t\u00a0]+", " ")))
-    full = p["raw"] != ""
-    italic = F.coalesce(full & (_wrapped_text(p["html"], "em|i") == p["raw"]), F.lit(False))
-    noted = text.rlike(EDITORIAL_NOTE) | italic
-    bold = ~noted & F.coalesce(full & (_wrapped_text(p["html"], "strong|b") == p["raw"]), F.lit(False))
+    bold = _all_inside(p, "strong|b")
+    return F.struct(
+        text.alias("text"), bold.alias("bold"), _all_inside(p, "em|i").alias("italic"), p["attrs"].alias("attrs")
+    )
+
+
+def _all_inside(p: Column, tags: str) -> Column:
+    """Whether a paragraph has text and all of it sits inside `tags` elements."""
+    marked = p["html"].rlike(rf"(?i)<(?:{tags})[\s>]")
+    whole = F.coalesce(_wrapped_text(p["html"], tags) == p["raw"], F.lit(False))
+    return F.when(marked & (p["raw"] != ""), whole).otherwise(False)
+
+
+def _flags(p: Column) -> Column:
+    noted = p["italic"] | p["text"].rlike(EDITORIAL_NOTE)
+    bold = p["bold"] & ~noted
     style = F.replace(
         F.lower(F.regexp_extract(p["attrs"], r"""(?is)\bstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)),
         F.lit(" "),
         F.lit(""),
     )
     align = F.lower(F.regexp_extract(p["attrs"], r"""(?is)\balign\s*=\s*["']?\s*([a-z]+)""", 1))
-    centred = ~noted & ~bold & ((align == "center") | F.contains(style, F.lit("text-align:center")))
-    return F.struct(
-        text.alias("text"), bold.alias("bold"), centred.alias("centred"), p["html"].alias("html")
-    )
+    centred = (align == "center") | F.contains(style, F.lit("text-align:center"))
+    return F.struct(p["text"].alias("text"), bold.alias("bold"), (centred & ~bold & ~noted).alias("centred"))
 
 
 def paragraph_array(html: Column, tag: str = "div", cls: str | None = "text_wrapper") -> Column:
-    """Non-empty paragraphs of the body element: array<struct<text, bold, centred, html>>."""
+    """Non-empty paragraphs of the body element: array<struct<text, bold, centred>>."""
     body = element_body(drop_invisible(html), tag, cls)
-    pieces = F.split(body, r"(?i)<p(?=[\s>/])")
-    found = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _paragraph)
-    return F.filter(F.transform(found, _flags), lambda p: p["text"] != "")
+    pieces = F.transform(after_first(F.split(body, r"(?i)<p(?=[\s/>])")), _piece)
+    worded = F.transform(F.transform(pieces, _read), _worded)
+    return F.transform(F.filter(worded, lambda p: p["text"] != ""), _flags)
 
 
 def title_like(text: Column) -> Column:
@@ -160,10 +179,8 @@ def strip_marks(text: Column) -> Column:
 
 def paragraph_rows(pages: DataFrame, tag: str = "div", cls: str | None = "text_wrapper") -> DataFrame:
     """pages(id, html) -> (id, pos, text, bold, centred), one row per paragraph."""
-    found = pages.select("id", paragraph_array(F.col("html"), tag, cls).alias("paras"))
-    return found.select("id", F.posexplode("paras").alias("pos", "p")).select(
-        "id", "pos", "p.text", "p.bold", "p.centred"
-    )
+    rows = each(pages, ["id"], paragraph_array(F.col("html"), tag, cls), "p", pos="pos")
+    return rows.select("id", "pos", "p.text", "p.bold", "p.centred")
 
 
 def document_paragraphs(pages: DataFrame, tag: str = "div", cls: str | None = "text_wrapper") -> DataFrame:

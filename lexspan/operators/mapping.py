@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import contains_ci
-from lexspan.functions.scale import spread_join, top_rows
+from lexspan.functions.scale import each, spread_join, top_rows
 from lexspan.operators import temporal
 
 
@@ -203,16 +203,14 @@ def suggest_objects(params: DataFrame, catalog: DataFrame, k: int = texts.SUGGES
     sizes = [F.array(F.lit(""))] + [
         F.array_union(_grams(low_ref, n), _grams(low_label, n)) for n in range(1, _GRAM + 1)
     ]
-    indexed = rows.select("config", "ref", F.explode(F.array_distinct(F.concat(*sizes))).alias("frag"))
+    indexed = each(rows, ["config", "ref"], F.array_distinct(F.concat(*sizes)), "frag")
     entries = indexed.join(short, ["config", "frag"], "left_semi")
     from_short = top_rows(entries, ["config", "frag"], [F.col("ref")], k)
 
     long = asked.where(F.length("frag") > _GRAM)
-    looked = long.select("config", "frag", F.explode(_grams(F.col("frag"), _GRAM)).alias("gram"))
-    grams = rows.select(
-        "config", "ref", "presentation",
-        F.explode(F.array_union(_grams(low_ref, _GRAM), _grams(low_label, _GRAM))).alias("gram"),
-    )
+    looked = each(long, ["config", "frag"], _grams(F.col("frag"), _GRAM), "gram")
+    both = F.array_union(_grams(low_ref, _GRAM), _grams(low_label, _GRAM))
+    grams = each(rows, ["config", "ref", "presentation"], both, "gram")
     used = looked.select("config", "gram").distinct()
     sizes_by_gram = (
         grams.select("config", "gram").join(used, ["config", "gram"], "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import snippet, tokens
-from lexspan.functions.scale import spread_join, top_rows, written
+from lexspan.functions.scale import each, spread_join, top_rows, written
 from lexspan.operators import temporal
 
 # Clause columns that travel with every posting.
@@ -36,7 +36,7 @@ def terms(
     lemmas(form, lemma) is keyed by the lower-case form; protected abbreviations keep their form,
     and stop words are dropped by lemma. Indexing and querying both go through here.
     """
-    found = df.select(*keep, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    found = each(df, keep, tokens(F.col(text)), "term", pos="pos")
     if lemmas is not None:
         forms = lemmas.where(~F.col("form").isin(texts.PROTECTED_TERMS)).select(
             F.col("form").alias("term"), "lemma"
@@ -73,9 +73,8 @@ def build_index(
     if lemmas is None:
         # Without lemmas the length is known inside the row, before tokens are set apart.
         kept = F.filter(tokens(F.col("_text")), lambda t: ~t.isin(texts.STOP_LEMMAS))
-        found = texted.select(*carried, kept.alias("_tokens")).select(
-            *carried, F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term")
-        )
+        sized = texted.select(*carried, kept.alias("_tokens")).withColumn("dl", F.size("_tokens").cast("long"))
+        found = each(sized, [*carried, "dl"], F.col("_tokens"), "term")
         carried.append("dl")
     else:
         found = terms(texted, "_text", carried, lemmas)
@@ -93,7 +92,9 @@ def build_index(
         n.alias("n"), (F.col("total") / n).alias("avgdl")
     )
     postings = postings.where("term IS NOT NULL")
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    return Index(
+        postings, postings.groupBy("term").agg(F.count("*").alias("df")), written(stats, "index-stats")
+    )
 
 
 def query_terms(queries: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
@@ -125,19 +126,48 @@ _IN_FORCE = "valid_from IS NULL OR (valid_from <= on_date AND (valid_to IS NULL
 _WANTED = "size(standard_ids) = 0 OR standard_ids IS NULL OR array_contains(standard_ids, standard_id)"
 
 
-def _scored(matches: DataFrame, index: Index) -> DataFrame:
-    """(query_id, clause_id, standard_id, score, matched) summed over matching terms."""
-    avgdl = index.stats.select("avgdl").scalar()
-    return matches.groupBy("query_id", "clause_id", "standard_id", "n_terms").agg(
-        F.sum(_part(avgdl)).alias("score"), F.count("*").alias("matched")
+def _summed(parts: DataFrame) -> DataFrame:
+    """(query_id, clause_id, standard_id, n_terms, score, matched) over per-term contributions."""
+    return parts.groupBy("query_id", "clause_id", "standard_id", "n_terms").agg(
+        F.sum("part").alias("score"), F.count("*").alias("matched")
     )
 
 
+_KEYS = ["query_id", "clause_id", "standard_id", "n_terms"]
+
+
+def _matches(index: Index, asked: DataFrame) -> DataFrame:
+    """Postings of the query terms with the term's contribution; a common term is spread."""
+    avgdl = index.stats.select("avgdl").scalar()
+    rows = spread_join(index.postings, asked, ["term"], "inner", by=["clause_id"])
+    return rows.withColumn("part", _part(avgdl))
+
+
 def bm25(queries: DataFrame, index: Index, lemmas: DataFrame | None = None) -> DataFrame:
-    """Score of every clause sharing a term with a query: (query_id, clause_id, score, matched)."""
+    """Score of every clause sharing a term with a query: (query_id, clause_id, score, matched).
+
+    This is the whole relation, for small corpora and for checking; `search` finds the best hits
+    without building it.
+    """
     asked = weighted(query_terms(queries, lemmas), index)
-    matches = spread_join(index.postings, asked, ["term"], "inner", by=["clause_id"])
-    return _scored(matches, index).select("query_id", "clause_id", "score", "matched", "n_terms")
+    scored = _summed(_matches(index, asked).select(*_KEYS, "part"))
+    return scored.select("query_id", "clause_id", "score", "matched", "n_terms")
+
+
+def _complete(index: Index, leading: DataFrame, other: DataFrame) -> DataFrame:
+    """Full scores of the clauses in force that hold a leading term of a query.
+
+    Only leading terms generate candidates; the other terms are looked up for those candidates.
+    """
+    found = _matches(index, leading).where(_IN_FORCE).where(_WANTED).select(*_KEYS, "part")
+    candidates = found.select(*_KEYS).distinct()
+    checks = spread_join(
+        candidates, other.select("query_id", "term", "weight"), ["query_id"], "inner", by=["clause_id"]
+    )
+    avgdl = index.stats.select("avgdl").scalar()
+    # Postings are unique per (clause, term), so a check finds at most one.
+    held = checks.join(index.postings.select("clause_id", "term", "tf", "dl"), ["clause_id", "term"])
+    return _summed(found.unionByName(held.withColumn("part", _part(avgdl)).select(*_KEYS, "part")))
 
 
 def search(
@@ -146,39 +176,47 @@ def search(
     """queries(query_id, query, on_date, standard_ids, k) -> (query_id, rank, clause_id, standard_id, score).
 
     A clause must hold every term of the query; only for queries without such a clause in the
-    editions in force does any term do. `k` is cut to the largest allowed number of hits.
-
-    1. Every query is looked up under its rarest term alone: whatever holds all terms holds that
-       one, so common terms generate no candidates. The candidates are then checked term by term.
-    2. Queries left without an answer are matched on all their terms.
+    editions in force does any term do. `k` is cut to the largest allowed number of hits, and a
+    `k` below 1 asks for nothing. Common terms generate no candidates where rarer ones decide:
+
+    1. Whatever holds all terms holds the rarest one: candidates come from it alone.
+    2. Queries left open are tried on their rarest terms, as many as should give `k` hits. The
+       k-th score reached this way is a floor for the final answer.
+    3. Terms that even together cannot lift a clause to that floor are dropped as sources of
+       candidates (their contribution is still counted). Without a floor every term stays one.
     """
     asked = weighted(query_terms(queries, lemmas), index)
-    asked = asked.join(queries.select("query_id", "on_date", "standard_ids", "k"), "query_id")
-    asked = written(asked.where("k >= 1"), "query-terms")
-    posted = index.postings
-
-    rarest = asked.groupBy("query_id").agg(
-        F.min_by(F.struct("term", "on_date", "standard_ids", "df"), F.struct("df", "term")).alias("r")
-    ).where("r.df > 0").select("query_id", "r.term", "r.on_date", "r.standard_ids")
-    candidates = (
-        spread_join(posted, rarest, ["term"], "inner", by=["clause_id"])
-        .where(_IN_FORCE).where(_WANTED).select("query_id", "clause_id")
-    )
-    each_term = asked.select("query_id", "term", "weight", "n_terms")
-    checks = spread_join(candidates, each_term, ["query_id"], "inner", by=["clause_id"])
-    # Postings are unique per (clause, term), and so are the checks per query.
-    verified = checks.join(
-        posted.select("clause_id", "standard_id", "term", "tf", "dl"), ["clause_id", "term"]
-    )
-    full = _scored(verified, index).where("matched = n_terms")
-    strict = written(_top(full, asked), "strict-hits")
-
-    open_terms = asked.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    loose = (
-        spread_join(posted, open_terms, ["term"], "inner", by=["clause_id"])
-        .where(_IN_FORCE).where(_WANTED)
-    )
-    return strict.unionByName(_top(_scored(loose, index), asked))
+    limits = queries.select("query_id", "on_date", "standard_ids", F.least("k", F.lit(texts.MAX_HITS)).alias("k"))
+    asked = asked.join(limits.where("k >= 1"), "query_id")
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
+    earlier = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
+    known = asked.where("df > 0")
+    known = known.withColumn("_at", F.row_number().over(by_rarity)).withColumn(
+        "_covered", F.coalesce(F.sum("df").over(earlier), F.lit(0))
+    )
+    known = written(known, "query-terms")
+
+    full_only = _complete(index, known.where("_at = 1"), known.where("_at > 1"))
+    strict = written(_top(full_only.where("matched = n_terms"), known), "strict-hits")
+
+    open_terms = known.join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    seeds = F.col("_covered") < _ENOUGH * F.col("k")
+    tried = written(_top(_complete(index, open_terms.where(seeds), open_terms.where(~seeds)), open_terms), "tried-hits")
+    floors = tried.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("got"))
+    bound = F.col("weight") * (texts.BM25_K1 + 1)
+    lightest = Window.partitionBy("query_id").orderBy("weight", "term")
+    reach = F.sum(bound).over(lightest.rowsBetween(Window.unboundedPreceding, 0))
+    judged = open_terms.join(floors, "query_id", "left").withColumn(
+        "_idle", F.coalesce((F.col("got") >= F.col("k")) & (reach < F.col("floor") - _MARGIN), F.lit(False))
+    )
+    loose = _top(_complete(index, judged.where(~F.col("_idle")), judged.where("_idle")), open_terms)
+    return strict.unionByName(loose)
+
+
+# Seeds should cover this many times the wanted number of hits.
+_ENOUGH = 4
+# Room for the rounding of scores when they are ranked.
+_MARGIN = 1e-6
 
 
 def _top(scored: DataFrame, asked: DataFrame) -> DataFrame:

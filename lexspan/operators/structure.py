@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import normalise_breaks, strip, word_count
+from lexspan.functions.scale import each
 from lexspan.operators.extract import EDITORIAL_NOTE, HEADING_MARK
 
 # Shapes of the text's own markers.
@@ -76,7 +77,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """docs(doc, text) -> (doc, pos, block): page marks out, split on blank lines."""
     clean = F.regexp_replace("text", PAGE_FURNITURE, "")
     placed = docs.select("doc", "text").repartition("doc")
-    split = placed.select("doc", F.posexplode(F.split(clean, r"(?U)\n\s*\n")).alias("pos", "raw"))
+    split = each(placed, ["doc"], F.split(clean, r"(?U)\n\s*\n"), "raw", pos="pos")
     filled = split.where(F.col("raw").rlike(r"(?U)\S"))
     return filled.select("doc", "pos", strip(F.col("raw")).alias("block"))
 
@@ -313,4 +314,4 @@ def lost_paragraphs(docs: DataFrame, clauses: DataFrame) -> DataFrame:
         "hay", F.coalesce(F.array_join("pieces", " "), F.lit(""))
     )
     missing = F.filter("paras", lambda p: ~F.contains(F.col("hay"), p["text"]))
-    return joined.select("doc", F.explode(missing).alias("p")).select("doc", "p.pos", "p.text")
+    return each(joined, ["doc"], missing, "p").select("doc", "p.pos", "p.text")

@@ -122,35 +122,32 @@ def with_fallback_edition(params: DataFrame, editions: DataFrame, standards: Dat
     """As `with_edition`; a date before every edition falls back to the standard's own start day.
 
     Adds `known` (the standard exists), `has_editions` and `fell_back`. The asked date is kept.
-    Both dates are resolved on one timeline.
     """
     std = standards.select(
         F.col("id").alias("standard_id"), "title", "order_date", "order_no",
         F.col("effective_from").alias("std_from"), F.col("effective_to").alias("std_to"), "source_url",
     )
-    described = spread_join(params, std.withColumn("known", F.lit(True)), ["standard_id"])
-    both = described.select("standard_id", "on_date").unionByName(
-        described.where("known").select("standard_id", F.col("std_from").alias("on_date"))
+    # What every standard falls back to is settled once per standard, not per request.
+    started = spread_join(editions, std.select("standard_id", "std_from"), ["standard_id"], "inner")
+    early = F.col("effective_from") <= F.col("std_from")
+    first = started.groupBy("standard_id").agg(
+        F.max_by(
+            F.when(early, F.struct(F.col("id").alias("edition_id"), "edition_no")),
+            F.when(early, F.struct("effective_from", "edition_no", "id")),
+        ).alias("first"),
+        F.lit(True).alias("has_editions"),
     )
-    resolved = edition_as_of(editions, both)
-    first = editions.groupBy("standard_id").agg(F.lit(True).alias("has_editions"))
-    direct = spread_join(described, resolved, ["standard_id", "on_date"])
-    earliest = resolved.select(
-        "standard_id",
-        F.col("on_date").alias("std_from"),
-        F.col("edition_id").alias("first_id"),
-        F.col("edition_no").alias("first_no"),
-    )
-    filled = spread_join(direct, earliest, ["standard_id", "std_from"])
-    filled = spread_join(filled, first, ["standard_id"])
-    fell_back = F.col("edition_id").isNull() & F.col("first_id").isNotNull()
+    std = std.join(first, "standard_id", "left").withColumn("known", F.lit(True))
+    described = spread_join(params, std, ["standard_id"])
+    direct = spread_join(described, edition_as_of(editions, params), ["standard_id", "on_date"])
+    fell_back = F.col("edition_id").isNull() & F.col("first").isNotNull()
     return (
-        filled.withColumn("known", F.coalesce("known", F.lit(False)))
+        direct.withColumn("known", F.coalesce("known", F.lit(False)))
         .withColumn("has_editions", F.coalesce("has_editions", F.lit(False)))
         .withColumn("fell_back", fell_back)
-        .withColumn("edition_id", F.coalesce("edition_id", "first_id"))
-        .withColumn("edition_no", F.coalesce("edition_no", "first_no"))
-        .drop("first_id", "first_no")
+        .withColumn("edition_id", F.coalesce("edition_id", "first.edition_id"))
+        .withColumn("edition_no", F.coalesce("edition_no", "first.edition_no"))
+        .drop("first")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import texts
+from lexspan.functions.scale import written
 
 DATES = [date(1996, 3, 15), date(1998, 7, 1), date(2001, 12, 31)]
 BUILT_AT = date(1999, 6, 30)
@@ -29,10 +30,17 @@ def _tag(prefix: str, c) -> Column:
 class Binding:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """A role table written once, for queries that read it several times: the built corpus."""
+        if name not in self._stored:
+            self._stored[name] = written(getattr(self, name), name)
+        return self._stored[name]
+
     @cached_property
     def orders(self) -> DataFrame:
         return self.read("orders").withColumn("day", F.to_date("o_orderdate"))
@@ -227,10 +235,10 @@ class Binding:
         return known.unionByName(words).unionByName(digits)
 
     def tables(self) -> dict[str, DataFrame]:
+        derived = ["standard", "edition", "clause", "mapping", "standard_relation", "clause_relation"]
         return {
-            "standard": self.standard, "edition": self.edition, "clause": self.clause,
-            "mapping": self.mapping, "config_object": self.config_object, "link": self.link,
-            "standard_relation": self.standard_relation, "clause_relation": self.clause_relation,
+            **{name: self.stored(name) for name in derived},
+            "config_object": self.config_object, "link": self.link,
         }
 
 

@@ -111,7 +111,9 @@ def outline(b: Binding) -> DataFrame:
     ) r"""
 )
 def clause_lookup(b: Binding) -> DataFrame:
-    return lookup.get_clauses(b.clause_request, b.standard, b.edition, b.clause)
+    return lookup.get_clauses(
+        b.clause_request, b.stored("standard"), b.stored("edition"), b.stored("clause")
+    )
 
 
 @query(
@@ -493,7 +495,7 @@ def _clause_queries(b: Binding) -> DataFrame:
 
 def _clause_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
     asked = _clause_queries(b)
-    dated = search.with_validity(b.clause, b.edition)
+    dated = search.with_validity(b.stored("clause"), b.edition)
     index = search.build_index(dated, vocabulary=search.query_terms(asked))
     return asked, search.search(asked, index)
 
@@ -507,7 +509,7 @@ def _clause_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
 )
 def search_clauses(b: Binding) -> DataFrame:
     asked, hits = _clause_hits(b)
-    shown = search.present(hits, asked, b.clause, b.standard)
+    shown = search.present(hits, asked, b.stored("clause"), b.standard)
     return shown.withColumn("score", F.round("score", 6))
 
 
@@ -608,9 +610,9 @@ _VIOLATIONS = ",\nviolations AS (\n" + "\nUNION ALL ".join(
 
 def _checked_tables(b: Binding) -> dict[str, DataFrame]:
     found = search.terms(
-        b.clause.withColumn("_t", search.index_text(F.col("heading"), F.col("text"))), "_t", ["id"]
+        b.stored("clause").withColumn("_t", search.index_text(F.col("heading"), F.col("text"))), "_t", ["id"]
     )
-    meta = b.standard.agg(F.max("order_date").alias("built_at"))
+    meta = b.stored("standard").agg(F.max("order_date").alias("built_at"))
     return {
         **b.tables(),
         "index": found.select(F.col("id").alias("clause_id")).distinct(),

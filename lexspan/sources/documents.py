@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import schemas, texts
-from lexspan.functions.scale import spread_join
+from lexspan.functions.scale import each, spread_join
 from lexspan.operators.quality import unstable
 
 # Clauses per written part of a document.
@@ -74,7 +74,7 @@ def document_errors(docs: DataFrame) -> DataFrame:
 
     own = F.array_compact(F.array(F.when(F.col("id").isNull(), F.lit("missing id"))))
     nested = F.flatten(F.transform(F.coalesce("editions", F.array()), of_edition))
-    return docs.select("id", F.explode(F.array_distinct(F.concat(own, nested))).alias("error"))
+    return each(docs, ["id"], F.array_distinct(F.concat(own, nested)), "error")
 
 
 def duplicate_sources(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def check_mappings(mapping: DataFrame, clauses: DataFrame, catalog: DataFrame) -
         F.when(F.col("_kind") != F.col("kind"), F.lit("kind differs")),
         F.when(F.col("confidence") < texts.MIN_CONFIDENCE, F.lit("low confidence")),
     ))
-    return seen.select(*mapping.columns, F.explode(broken).alias("violation"))
+    return each(seen, mapping.columns, broken, "violation")
 
 
 def check_links(links: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -172,6 +172,6 @@ def check_links(links: DataFrame, clauses: DataFrame) -> DataFrame:
         F.when(stable & F.col("_path").isNull(), F.lit("unknown path")),
         F.when(F.length("summary") > texts.MAX_SUMMARY_CHARS, F.lit("summary too long")),
     ))
-    return seen.select(*links.columns, F.explode(broken).alias("violation"))
+    return each(seen, links.columns, broken, "violation")
 
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import (
-    absolute_url, form_encode, make_id, normalise_year, parse_effective_from, parse_effective_to,
+    absolute_url, after_first, form_encode, make_id, normalise_year, parse_effective_from, parse_effective_to,
     ru_date, strip,
 )
+from lexspan.functions.scale import each
 from lexspan.functions.html import decode_entities, drop_invisible, node_text
 
 # How a registry row names a standard and its order.
@@ -15,37 +16,39 @@ TITLE = r"""(?U)(ФСБУ|ПБУ)\s*(\d+/\d+)\s*[«"']([^»"']+)[»"']"""
 ORDER = r"(?U)([0-9]{2}\.[0-9]{2}\.[0-9]{4})[^\n]*?№\s*(\S+)"
 
 
-def _after_first(parts: Column) -> Column:
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-
-
 def parse_registry(pages: DataFrame) -> DataFrame:
     """pages(source_url, html) -> one row per registry entry, with `error` where it is incomplete.
 
     Rows of fewer than three cells, without a title or without an order are no entries.
     """
-    rows = pages.select(
-        "source_url",
-        F.explode(_after_first(F.split(drop_invisible(F.col("html")), r"(?i)<tr(?=[\s>])"))).alias("tr"),
-    )
-    row_end = F.regexp_replace("tr", r"(?is)</(?:tr|table|tbody)\s*>.*\z", "")
-    cells = _after_first(F.split(row_end, r"(?i)<td(?=[\s>])"))
-    body = F.transform(
-        cells, lambda c: F.regexp_replace(F.regexp_replace(c, r"\A[^>]*>", ""), r"(?is)</td\s*>.*\z", "")
-    )
-    celled = rows.select("source_url", body.alias("tds")).withColumn(
-        "cells", F.transform("tds", node_text)
-    )
+    pieces = after_first(F.split(drop_invisible(F.col("html")), r"(?i)<tr(?=[\s>])"))
+
+    def cells_of(piece: Column) -> Column:
+        row = F.regexp_replace(piece, r"(?is)</(?:tr|table|tbody)\s*>.*\z", "")
+        tds = F.transform(
+            after_first(F.split(row, r"(?i)<td(?=[\s>])")),
+            lambda td: F.regexp_replace(F.regexp_replace(td, r"\A[^>]*>", ""), r"(?is)</td\s*>.*\z", ""),
+        )
+        return F.transform(tds, lambda td: F.struct(td.alias("html"), node_text(td).alias("text")))
+
+    # Rows are judged inside the array: a filter after the explode would be pushed down and read
+    # every cell again.
+    def is_entry(tds: Column) -> Column:
+        line = F.array_join(F.transform(tds, lambda td: td["text"]), " ")
+        return (F.size(tds) >= 3) & line.rlike(TITLE) & F.exists(tds, lambda td: td["text"].rlike(ORDER))
+
+    rows = F.filter(F.transform(pieces, cells_of), is_entry)
     entries = (
-        celled.where(F.size("cells") >= 3)
+        each(pages, ["source_url"], rows, "tds")
+        .withColumn("cells", F.transform("tds", lambda td: td["text"]))
         .withColumn("joined", F.array_join("cells", " "))
-        .where(F.col("joined").rlike(TITLE))
         .withColumn("order_cell", F.get(F.filter("cells", lambda c: c.rlike(ORDER)), F.lit(0)))
-        .where("order_cell IS NOT NULL")
     )
-    title_td = F.get(F.filter("tds", lambda td: node_text(td).rlike(TITLE)), F.lit(0))
+    titled = F.array_position(F.transform("cells", lambda c: c.rlike(TITLE)), F.lit(True))
+    title_td = F.get("tds", titled - 1)["html"]
     href = F.regexp_extract(title_td, r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
     href = decode_entities(strip(F.regexp_replace(href, r"""\A["']|["']\z""", "")))
+    entries = entries.withColumn("href", href)
     kind, number = F.regexp_extract("joined", TITLE, 1), F.regexp_extract("joined", TITLE, 2)
     typed = entries.select(
         make_id(kind, number).alias("id"),
@@ -58,7 +61,7 @@ def parse_registry(pages: DataFrame) -> DataFrame:
         parse_effective_from(F.element_at("cells", -1)).alias("effective_from"),
         parse_effective_to(F.col("joined")).alias("effective_to"),
         "source_url",
-        F.when(href != "", absolute_url(href)).alias("document_url"),
+        F.when(F.col("href") != "", absolute_url(F.col("href"))).alias("document_url"),
     )
     error = F.concat_ws(
         "; ",
@@ -81,7 +84,7 @@ def parse_acts(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         F.try_variant_get("_v", "$.items", "array<variant>"),
         F.try_variant_get("_v", "$", "array<variant>"),
     )
-    item = parsed.select(*keep, F.explode(items).alias("_i"))
+    item = each(parsed, keep, items, "_i")
 
     def first(*names: str):
         found = [F.nullif(F.try_variant_get("_i", f"$.{n}", "string"), F.lit("")) for n in names]
