@@ -453,7 +453,7 @@ corpus_clauses AS (SELECT c.*, v.valid_from, v.valid_to FROM clause c JOIN valid
 clause_query AS (
   SELECT s_suppkey AS query_id, 'supplier ' || s_suppkey || ' ' || CASE WHEN s_acctbal < 5000 THEN 'AF' ELSE 'XX' END AS query,
     CASE WHEN s_acctbal < 3000 THEN DATE '1996-03-15' WHEN s_acctbal < 6000 THEN DATE '1998-07-01' ELSE DATE '2001-12-31' END AS on_date,
-    CASE WHEN s_acctbal < 0 THEN 'c' || s_nationkey END AS only_standard
+    CASE WHEN s_acctbal < 0 THEN 'c' || s_nationkey END AS only_standard, CASE WHEN s_acctbal < 0 THEN 50 ELSE 10 END AS k
   FROM supplier),
 ctok AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(heading, '') || ' ' || text), '[0-9]+|\\p{L}+')) AS term FROM corpus_clauses),
 cpost AS (SELECT id, term, count(*) AS tf FROM ctok WHERE term NOT IN ('что', 'ли') GROUP BY 1, 2),
@@ -489,7 +489,7 @@ def _clause_queries(b: Binding) -> DataFrame:
         F.when(balance < 3000, F.lit(DATES[0])).when(balance < 6000, F.lit(DATES[1]))
         .otherwise(F.lit(DATES[2])).alias("on_date"),
         F.coalesce(only, F.array().cast("array<string>")).alias("standard_ids"),
-        F.lit(60).alias("k"),
+        F.when(balance < 0, 60).otherwise(10).alias("k"),
     )
 
 
@@ -504,7 +504,7 @@ def _clause_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
     f"""SELECT h.query_id, h.rank, h.id AS clause_id, c.standard_id, s.title AS standard_title, c.path, c.heading,
       substr(c.text, 1, 300) AS snippet, round(h.score, 6) AS score, {_STD_STATUS} AS status
     FROM chits h JOIN clause c ON c.id = h.id JOIN standard s ON s.id = c.standard_id
-    JOIN clause_query q ON q.query_id = h.query_id WHERE rank <= 50""",
+    JOIN clause_query q ON q.query_id = h.query_id WHERE rank <= q.k""",
     _CLAUSE_SEARCH,
 )
 def search_clauses(b: Binding) -> DataFrame:
@@ -515,7 +515,7 @@ def search_clauses(b: Binding) -> DataFrame:
 
 @query(
     f"""SELECT q.query_id, count(h.id) AS hits, CASE WHEN count(h.id) > 0 THEN '' ELSE '{texts.MSG_NO_HITS}' END AS message
-    FROM clause_query q LEFT JOIN (SELECT * FROM chits WHERE rank <= 50) h ON h.query_id = q.query_id GROUP BY 1""",
+    FROM clause_query q LEFT JOIN chits h ON h.query_id = q.query_id AND h.rank <= q.k GROUP BY 1""",
     _CLAUSE_SEARCH,
 )
 def search_messages(b: Binding) -> DataFrame:
