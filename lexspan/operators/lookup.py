@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import order_ref, ru_date
-from lexspan.functions.scale import spread_join, top_rows
+from lexspan.functions.scale import spread_join, top_rows, written
 from lexspan.operators import temporal
 
 
@@ -95,9 +95,10 @@ def get_clauses(
     as not yet in force. Children are a relation of their own: `children(clauses)`.
 
     Requests are reduced to distinct (edition, path) keys before they meet the clause table, so a
-    clause asked for by a third of all requests is fetched once.
+    clause asked for by a third of all requests is fetched once. The resolved and the answered
+    requests are each used twice below, so they are written once instead of derived again.
     """
-    resolved = temporal.with_fallback_edition(params, editions, standards)
+    resolved = written(temporal.with_fallback_edition(params, editions, standards), "resolved")
     keys = resolved.where("edition_id IS NOT NULL").select("edition_id", "path").distinct()
     body = clauses.select(
         "edition_id", "path", "heading", "text", "parent_path", F.lit(True).alias("_hit")
@@ -123,15 +124,15 @@ def get_clauses(
         .when(~hit, "clause_not_found")
         .otherwise("found")
     )
-    answered = answered.withColumn("outcome", outcome)
+    answered = written(answered.withColumn("outcome", outcome), "answered")
     misses = answered.where("outcome = 'clause_not_found'").select("edition_id")
     answered = spread_join(answered, available_paths(clauses, misses), ["edition_id"])
     at = F.when(F.col("fell_back"), F.col("std_from")).otherwise(F.col("on_date"))
     error = (
-        F.when(outcome == "standard_not_found", F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id"))
-        .when(outcome == "no_edition", F.format_string(texts.MSG_NO_EDITION, F.col("standard_id"), _iso(F.col("std_from"))))
+        F.when(F.col("outcome") == "standard_not_found", F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id"))
+        .when(F.col("outcome") == "no_edition", F.format_string(texts.MSG_NO_EDITION, F.col("standard_id"), _iso(F.col("std_from"))))
         .when(
-            outcome == "clause_not_found",
+            F.col("outcome") == "clause_not_found",
             F.format_string(texts.MSG_CLAUSE_NOT_FOUND, "standard_id", "path", F.coalesce("available", F.lit(""))),
         )
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import contains_ci
-from lexspan.functions.scale import each, spread_join, top_rows
+from lexspan.functions.scale import each, spread_join, top_rows, written
 from lexspan.operators import temporal
 
 
@@ -254,8 +254,10 @@ def classify_objects(
         .when(F.col("known_object"), "known_no_mapping")
         .otherwise("unknown")
     )
-    decided = marked.withColumn("outcome", outcome)
-    suggestions = suggest_objects(decided.where("outcome = 'unknown'").select(*params.columns), catalog)
+    # Both are read twice: by the answers, and by the suggestions or the caller.
+    decided = written(marked.withColumn("outcome", outcome), "decided")
+    unknown = decided.where("outcome = 'unknown'").select(*params.columns)
+    suggestions = written(suggest_objects(unknown, catalog), "suggestions")
     hinted = suggestions.groupBy("request_id").agg(F.count("*").alias("suggestions"))
     message = (
         F.when(F.col("outcome") == "unknown_config", _unknown_config())
