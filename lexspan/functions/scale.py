@@ -22,8 +22,9 @@ def spread_join(
 
     Every fact row gets a slot derived from its own content (so a re-run task assigns the same
     one) and `dim` is repeated once per slot: a hot key is then spread over `spread` tasks and
-    the result is the same as that of the plain join. `dim` should hold few rows per key. When
-    Spark knows `dim` to be under its broadcast threshold it broadcasts it as usual.
+    the result is the same as that of the plain join. For a `dim` much smaller than the facts
+    (standards, editions, a catalogue, query terms); `even_join` is for large ones. When Spark
+    knows `dim` to be under its broadcast threshold it broadcasts it as usual.
     """
     slot = F.pmod(F.xxhash64(*[F.col(c) for c in (by or facts.columns)]), F.lit(spread)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
@@ -33,6 +34,15 @@ def spread_join(
     return joined.drop("_slot")
 
 
+def even_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join with a `dim` that is as large as the facts and has one row per key.
+
+    Nothing is repeated. Both sides reach the join straight from a shuffle of their own, which is
+    what lets adaptive execution split a partition that one hot key of the facts fills.
+    """
+    return facts.join(dim.repartition(*on), on, how)
+
+
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k) -> DataFrame:
     """The first `k` rows per group with their `rank`; each task prunes before the shuffle."""
     from pyspark.sql import Window

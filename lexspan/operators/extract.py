@@ -4,8 +4,6 @@ A page is one row, so everything that looks at neighbouring paragraphs works on
 that row: extraction is a map over pages, without any shuffle.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,10 +208,13 @@ def pdf_link(html: Column, base: str = texts.REGISTRY_BASE_URL) -> Column:
 
 
 def choose_source(*ranked: DataFrame) -> DataFrame:
-    """One text per id from sources given best first, each (id, source, text)."""
-    tagged = [df.withColumn("_rank", F.lit(i)) for i, df in enumerate(ranked)]
-    everything = reduce(DataFrame.unionByName, tagged)
-    best = everything.groupBy("id").agg(
-        F.min_by(F.struct("source", "text"), "_rank").alias("best")
-    )
-    return best.select("id", "best.source", "best.text")
+    """One text per id from sources given best first, each (id, source, text) with unique ids.
+
+    A source only fills the ids no better one has, so the texts of the best source never move.
+    """
+    best = ranked[0]
+    taken = best.select("id")
+    for df in ranked[1:]:
+        best = best.unionByName(df.join(taken, "id", "left_anti"))
+        taken = taken.unionByName(df.select("id"))
+    return best.select("id", "source", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import order_ref, ru_date
-from lexspan.functions.scale import spread_join, top_rows, written
+from lexspan.functions.scale import even_join, spread_join, top_rows, written
 from lexspan.operators import temporal
 
 
@@ -116,7 +116,7 @@ def get_clauses(
         ["edition_id", "parent_path"],
         "left",
     )
-    answered = spread_join(resolved, with_parent, ["edition_id", "path"])
+    answered = even_join(resolved, with_parent, ["edition_id", "path"])
     hit = F.col("_hit").isNotNull()
     outcome = (
         F.when(~F.col("known") | ~F.col("has_editions"), "standard_not_found")
@@ -126,7 +126,7 @@ def get_clauses(
     )
     answered = written(answered.withColumn("outcome", outcome), "answered")
     misses = answered.where("outcome = 'clause_not_found'").select("edition_id")
-    answered = spread_join(answered, available_paths(clauses, misses), ["edition_id"])
+    answered = even_join(answered, available_paths(clauses, misses), ["edition_id"])
     at = F.when(F.col("fell_back"), F.col("std_from")).otherwise(F.col("on_date"))
     error = (
         F.when(F.col("outcome") == "standard_not_found", F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id"))

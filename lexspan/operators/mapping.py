@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import contains_ci
-from lexspan.functions.scale import each, spread_join, top_rows, written
+from lexspan.functions.scale import each, even_join, spread_join, top_rows, written
 from lexspan.operators import temporal
 
 
@@ -17,7 +17,7 @@ def applicable(mapping: DataFrame, in_force: DataFrame, clauses: DataFrame) -> D
     gated = spread_join(mapping, in_force, ["standard_id"], "inner")
     gated = gated.where("edition_from IS NULL OR edition_from <= edition_no")
     living = clauses.select("edition_id", F.col("path").alias("clause_path")).distinct()
-    return spread_join(gated, living, ["edition_id", "clause_path"], "left_semi")
+    return even_join(gated, living, ["edition_id", "clause_path"], "left_semi")
 
 
 def with_presentation(df: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -88,12 +88,19 @@ def mapping_status(
 
     Mapping rows are first folded to one per (standard, path, gate): whether all are verified.
     """
+    every = temporal.on_dates(standards.select(F.col("id").alias("standard_id")), dates)
+    return status_of(every, mapping, temporal.editions_on(editions, dates), clauses)
+
+
+def status_of(
+    every: DataFrame, mapping: DataFrame, in_force: DataFrame, clauses: DataFrame
+) -> DataFrame:
+    """Mapping status of the given distinct (standard_id, on_date) pairs."""
     folded = mapping.groupBy("standard_id", "clause_path", "edition_from").agg(
         F.bool_and("verified").alias("verified")
     )
-    rows = applicable(folded, temporal.editions_on(editions, dates), clauses)
+    rows = applicable(folded, in_force, clauses)
     verdict = rows.groupBy("standard_id", "on_date").agg(F.bool_and("verified").alias("verified"))
-    every = temporal.on_dates(standards.select(F.col("id").alias("standard_id")), dates)
     named = (
         F.when(F.col("verified"), texts.MAPPING_VERIFIED)
         .when(~F.col("verified"), texts.MAPPING_DRAFT)
@@ -134,7 +141,7 @@ def check_link_path(
     paths = clauses.select(
         "edition_id", F.col("path").alias("clause_path"), F.lit(True).alias("_there")
     ).distinct()
-    checked = spread_join(resolved, paths, ["edition_id", "clause_path"])
+    checked = even_join(resolved, paths, ["edition_id", "clause_path"])
     outcome = (
         F.when(~F.col("known"), "standard_not_found")
         .when(F.col("clause_path").isNull(), "ok")

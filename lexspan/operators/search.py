@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import snippet, tokens
-from lexspan.functions.scale import each, spread_join, top_rows, written
+from lexspan.functions.scale import each, even_join, spread_join, top_rows, written
 from lexspan.operators import temporal
 
 # Clause columns that travel with every posting.
@@ -232,15 +232,16 @@ def _top(scored: DataFrame, asked: DataFrame) -> DataFrame:
 
 def present(hits: DataFrame, queries: DataFrame, clauses: DataFrame, standards: DataFrame) -> DataFrame:
     """Attach title, path, heading, snippet and status on the asked date to the hits."""
+    # Only the clauses that were hit are taken along, cut to what is shown.
     body = clauses.select(
         F.col("id").alias("clause_id"), "path", "heading", snippet(F.col("text")).alias("snippet")
-    )
+    ).join(hits.select("clause_id").distinct(), "clause_id", "left_semi")
     std = standards.select(
         F.col("id").alias("standard_id"), F.col("title").alias("standard_title"),
         "effective_from", "effective_to",
     )
     dated = hits.join(queries.select("query_id", "on_date"), "query_id")
-    full = spread_join(spread_join(dated, body, ["clause_id"], "inner"), std, ["standard_id"], "inner")
+    full = spread_join(even_join(dated, body, ["clause_id"], "inner"), std, ["standard_id"], "inner")
     return temporal.with_status(full).select(
         "query_id", "rank", "clause_id", "standard_id", "standard_title", "path", "heading",
         "snippet", "score", "status",

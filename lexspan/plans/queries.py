@@ -950,3 +950,93 @@ def stale_warning(b: Binding) -> DataFrame:
 )
 def is_populated(b: Binding) -> DataFrame:
     return lookup.is_populated(b.read("nation"), b.standard)
+
+
+# --- whole requests -----------------------------------------------------------------------------
+
+
+def _corpus(b: Binding):
+    from lexspan.plans.requests import Corpus
+
+    return Corpus(
+        b.stored("standard"), b.stored("edition"), b.stored("clause"), b.stored("mapping"),
+        b.config_object, b.link, b.standard_relation, BUILT_AT,
+    )
+
+
+_ASKED = """,
+asked_edition AS (
+  SELECT r.request_id, r.standard_id, r.on_date, v.edition_id, v.edition_no FROM clause_request r
+  LEFT JOIN validity v ON v.standard_id = r.standard_id AND v.valid_from <= r.on_date
+    AND (v.valid_to IS NULL OR r.on_date < v.valid_to)),
+asked_state AS (
+  SELECT a.standard_id, a.on_date, bool_and(m.verified) AS verified
+  FROM (SELECT DISTINCT standard_id, on_date, edition_id, edition_no FROM asked_edition WHERE edition_id IS NOT NULL) a
+  JOIN mapping m ON m.standard_id = a.standard_id
+  WHERE (m.edition_from IS NULL OR m.edition_from <= a.edition_no)
+    AND EXISTS (SELECT 1 FROM clause c WHERE c.edition_id = a.edition_id AND c.path = m.clause_path) GROUP BY 1, 2)"""
+
+
+@query(
+    f"""SELECT a.request_id, a.standard_id, a.on_date, s.title,
+      CASE WHEN s.id IS NULL THEN 'standard_not_found' WHEN a.edition_id IS NULL THEN 'no_edition' ELSE 'found' END AS outcome,
+      CASE WHEN s.id IS NULL THEN 'Стандарт ''' || a.standard_id || ''' отсутствует в корпусе'
+           WHEN a.edition_id IS NULL THEN 'У стандарта ''' || a.standard_id || ''' нет редакции, действующей на ' || a.on_date END AS error,
+      CASE WHEN s.id IS NOT NULL AND a.edition_id IS NOT NULL THEN {_STATUS.format(d="a.on_date", f="s.effective_from", t="s.effective_to")} END AS status,
+      CASE WHEN s.id IS NULL OR a.edition_id IS NULL THEN NULL WHEN st.verified IS NULL THEN 'нет' WHEN st.verified THEN 'проверено' ELSE 'черновик' END AS mapping_status
+    FROM asked_edition a LEFT JOIN standard s ON s.id = a.standard_id
+    LEFT JOIN asked_state st ON st.standard_id = a.standard_id AND st.on_date = a.on_date""",
+    _ASKED,
+)
+def get_standard(b: Binding) -> DataFrame:
+    asked = b.clause_request.select("request_id", "standard_id", "on_date")
+    summaries, _ = _corpus(b).get_standard(asked)
+    return summaries.select(
+        "request_id", "standard_id", "on_date", "title", "outcome", "error", "status", "mapping_status"
+    )
+
+
+@query(
+    """SELECT a.request_id, a.on_date, a.standard_id, a.edition_id, c.pos, c.path, c.heading
+    FROM asked_edition a JOIN clause c ON c.edition_id = a.edition_id""",
+    _ASKED,
+)
+def get_standard_outline(b: Binding) -> DataFrame:
+    asked = b.clause_request.select("request_id", "standard_id", "on_date")
+    return _corpus(b).get_standard(asked)[1]
+
+
+@query(
+    f"""SELECT r.request_id, r.standard_id, r.clause_path, r.outcome, coalesce(n.links, 0) AS links,
+      coalesce(n.unverified, false) AS unverified,
+      CASE WHEN r.outcome <> 'ok' THEN NULL WHEN n.links > 0 THEN '' ELSE '{texts.MSG_NO_LINKS}' END AS message
+    FROM (
+      SELECT r.request_id, r.standard_id, r.clause_path,
+        CASE WHEN s.id IS NULL THEN 'standard_not_found' WHEN r.clause_path IS NULL THEN 'ok'
+             WHEN NOT EXISTS (SELECT 1 FROM edition e WHERE e.standard_id = r.standard_id) THEN 'standard_not_found'
+             WHEN coalesce(bt.edition_id, f.edition_id) IS NULL THEN 'no_edition'
+             WHEN NOT EXISTS (SELECT 1 FROM clause c WHERE c.edition_id = coalesce(bt.edition_id, f.edition_id)
+                              AND c.path = r.clause_path) THEN 'clause_not_found' ELSE 'ok' END AS outcome
+      FROM mapping_request r LEFT JOIN standard s ON s.id = r.standard_id
+      LEFT JOIN built bt ON bt.standard_id = r.standard_id
+      LEFT JOIN validity f ON f.standard_id = s.id AND f.valid_from <= s.effective_from
+        AND (f.valid_to IS NULL OR s.effective_from < f.valid_to)) r
+    LEFT JOIN (SELECT q.request_id, count(*) AS links, bool_or(NOT l.verified) AS unverified FROM mapping_request q
+               JOIN link l ON l.standard_id = q.standard_id AND (q.clause_path IS NULL OR q.clause_path = l.clause_path)
+               GROUP BY 1) n ON n.request_id = r.request_id AND r.outcome = 'ok'"""
+)
+def get_references(b: Binding) -> DataFrame:
+    asked = b.mapping_request.drop("config")
+    return _corpus(b).get_references(asked)[1]
+
+
+@query(
+    """SELECT on_date, 'Хотя' AS starts FROM (
+      SELECT f.on_date, bool_or(NOT m.verified) AS draft FROM mapping m JOIN in_force f ON f.standard_id = m.standard_id
+      WHERE (m.edition_from IS NULL OR m.edition_from <= f.edition_no)
+        AND EXISTS (SELECT 1 FROM clause c WHERE c.edition_id = f.edition_id AND c.path = m.clause_path) GROUP BY 1) WHERE draft"""
+)
+def draft_warnings(b: Binding) -> DataFrame:
+    corpus = _corpus(b)
+    warned = corpus.draft_warnings(corpus.list_standards(DATES))
+    return warned.select("on_date", F.split_part("warning", F.lit(" "), F.lit(1)).alias("starts"))

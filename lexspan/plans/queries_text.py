@@ -137,15 +137,18 @@ def pdf_links(b: Binding) -> DataFrame:
 @query(
     """SELECT id, source, md5(text) AS digest FROM (
       SELECT id, source, text, row_number() OVER (PARTITION BY id ORDER BY prio) AS rn FROM (
-        SELECT page_id AS id, 'html' AS source, html AS text, 0 AS prio FROM pages WHERE length(html) > 8000
-        UNION ALL SELECT doc_id, 'pdf', text, 1 FROM documents WHERE lang = 'en'
+        SELECT page_id AS id, 'html' AS source, html AS text, 0 AS prio FROM pages
+          WHERE len(regexp_extract_all(html, '<p[\\s>]')) >= 5
+        UNION ALL SELECT doc_id, 'pdf', text, 1 FROM documents WHERE len(regexp_extract_all(text, '\\n')) >= 4
         UNION ALL SELECT conv_id, 'order', text, 2 FROM conversations WHERE turn = 0)) WHERE rn = 1"""
 )
 def choose_source(b: Binding) -> DataFrame:
-    html = b.read("pages").where(F.length("html") > 8000).select(
+    enough = texts.MIN_TOP_LEVEL_CLAUSES
+    complete = F.regexp_count("html", F.lit(r"<p[\s>]")) >= enough
+    html = b.read("pages").where(complete).select(
         F.col("page_id").alias("id"), F.lit("html").alias("source"), F.col("html").alias("text")
     )
-    pdf = b.read("documents").where("lang = 'en'").select(
+    pdf = b.read("documents").where(F.regexp_count("text", F.lit("\n")) >= enough - 1).select(
         F.col("doc_id").alias("id"), F.lit("pdf").alias("source"), "text"
     )
     order = b.read("conversations").where("turn = 0").select(

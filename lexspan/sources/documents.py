@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import schemas, texts
-from lexspan.functions.scale import each, spread_join
+from lexspan.functions.scale import each, even_join, spread_join
 from lexspan.operators.quality import unstable
 
 # Clauses per written part of a document.
@@ -147,7 +147,7 @@ def check_mappings(mapping: DataFrame, clauses: DataFrame, catalog: DataFrame) -
     objects = catalog.select(
         "config", F.col("ref").alias("object_ref"), F.col("kind").alias("_kind")
     ).distinct()
-    seen = spread_join(mapping, paths, ["standard_id", "clause_path"])
+    seen = even_join(mapping, paths, ["standard_id", "clause_path"])
     seen = spread_join(seen, objects, ["config", "object_ref"])
     stable = ~unstable(F.col("clause_path"))
     broken = F.array_compact(F.array(
@@ -165,7 +165,7 @@ def check_links(links: DataFrame, clauses: DataFrame) -> DataFrame:
     paths = clauses.select(
         "standard_id", F.col("path").alias("clause_path"), F.lit(True).alias("_path")
     ).distinct()
-    seen = spread_join(links, paths, ["standard_id", "clause_path"])
+    seen = even_join(links, paths, ["standard_id", "clause_path"])
     stable = ~unstable(F.col("clause_path"))
     broken = F.array_compact(F.array(
         F.when(~stable, F.lit("unstable path")),
