@@ -64,9 +64,15 @@ def drop_invisible(html: Column) -> Column:
     return F.regexp_replace(visible, r"(?s)<!--.*?(?:-->|\z)", "<!>")
 
 
+# Stands for a tag while a fragment is read; a private-use character.
+_TAG = "\ue002"
+
+
 def node_text(html: Column) -> Column:
     """Text nodes, each trimmed, empty ones dropped, joined by one blank."""
-    nodes = F.transform(F.split(html, r"<[^>]*>"), lambda n: strip(decode_entities(n)))
+    # Tags become a mark first, so that entities are decoded once per text and not per node.
+    text = decode_entities(F.regexp_replace(html, r"<[^>]*>", _TAG))
+    nodes = F.transform(F.split(text, _TAG), strip)
     return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions import columns as C
-from lexspan.operators import lookup, mapping, quality, search, structure, temporal
+from lexspan.operators import lookup, mapping, quality, search, temporal
 from lexspan.plans.binding import BUILT_AT, DATES, SQL, TODAY, Binding
-from lexspan.sources import documents, publish, registry
+from lexspan.sources import documents, publish
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -525,9 +525,6 @@ def search_messages(b: Binding) -> DataFrame:
 
 # --- quality ------------------------------------------------------------------------------------
 
-_Q = "SELECT '{c}' AS \"check\", {o} AS offender"
-
-
 @query(
     """SELECT 'clause: edition exists' AS "check", l_orderkey || '#' || l_linenumber AS offender,
       CAST(l_orderkey AS VARCHAR) AS detail
