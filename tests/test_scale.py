@@ -33,3 +33,13 @@ def test_written_table_reads_back(spark):
     df = spark.range(10).withColumn("s", F.lit("x"))
     back = scale.written(df, "t")
     assert back.count() == 10 and "FileScan parquet" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_even_join_shuffles_both_sides_and_keeps_every_row(spark):
+    facts = spark.range(900).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    dim = spark.range(500).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    # Tables of this size would be broadcast; asking for a merge join shows the plan large ones get.
+    joined = scale.even_join(facts.hint("merge"), dim, ["k"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, facts.join(dim, "k", "left").collect()), key=str)
