@@ -6,7 +6,7 @@ edges), square-rooted. Languages are grouped into families: the two groups whose
 profile of the families, each with a linear support vector machine against every other family; inside the family, one
 linear support vector machine for every pair of languages votes.
 
-Only the fitting works on a bounded sample: the first `SAMPLE` documents of each language in the order of a hash.
+Only the fitting works on a bounded sample: about `SAMPLE` documents, as many of each language, drawn by a hash of the id.
 Predictions read whole texts and nothing else.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled text everything is
@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 # Hashed features of each order (one, two, three characters), a power of two.
 WIDTH = 2048
 ORDERS = 3
-# Labelled documents of one language that the machines are fitted on.
-SAMPLE = 1000
+# Labelled documents that the machines are fitted on, shared out evenly among the languages, each of which has at least so many.
+SAMPLE = 3000
+LEAST = 50
 EPOCHS = 12
 REGULAR = 1e-4
 
@@ -123,14 +124,17 @@ class Model:
 
 
 def fit(labelled: DataFrame, families: int | None = None) -> Model:
-    """The model from (doc_id, text, lang), on at most `SAMPLE` texts of each language, whole ones."""
+    """The model from (doc_id, text, lang), on at most `SAMPLE` whole texts."""
     trains = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(trains)
-    order = Window.partitionBy("lang").orderBy("_order", "doc_id")
-    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_order")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
-    # The chosen keys are bounded by languages times SAMPLE; only their texts travel.
-    last = keys.groupBy("lang").agg(F.max("_order").alias("_last"))
-    chosen = rows.select("lang", "text", F.xxhash64("doc_id").alias("_order")).join(F.broadcast(last), "lang").where("_order <= _last")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return Model({}, families)
+    each = max(LEAST, SAMPLE // len(counts))
+    # A language's share of hash values lets through a little more than it may keep.
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.3 * each / n))])
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = rows.where(drawn < F.element_at(share, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +144,7 @@ def fit(labelled: DataFrame, families: int | None = None) -> Model:
     samples: dict[str, list] = {}
     for r in chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").toLocalIterator():
         kept = samples.setdefault(r["lang"], [])
-        if len(kept) < SAMPLE:
+        if len(kept) < each:
             kept.append(np.frombuffer(bytes(r["x"]), dtype=np.float32))
     return Model({k: np.vstack(v) for k, v in samples.items()}, families)
 
