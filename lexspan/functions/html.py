@@ -1,32 +1,16 @@
 """HTML fragments to text with column expressions."""
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexspan.functions.columns import bind, strip
 
-# Named character references that occur in prose.
-ENTITIES = {
-    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "laquo": "«", "raquo": "»",
-    "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "bdquo": "„", "sbquo": "‚",
-    "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·", "bull": "•", "sect": "§",
-    "para": "¶", "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "minus": "−",
-    "frac12": "½", "frac14": "¼", "frac34": "¾", "sup1": "¹", "sup2": "²", "sup3": "³",
-    "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "cent": "¢", "yen": "¥",
-    "shy": "\u00ad", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "numero": "№",
-    "le": "≤", "ge": "≥", "ne": "≠", "asymp": "≈", "infin": "∞", "sum": "∑",
-    "iexcl": "¡", "iquest": "¿", "szlig": "ß", "aelig": "æ", "AElig": "Æ", "oelig": "œ",
-    "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å",
-    "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "igrave": "ì",
-    "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó",
-    "ocirc": "ô", "otilde": "õ", "ouml": "ö", "ugrave": "ù", "uacute": "ú", "ucirc": "û",
-    "uuml": "ü", "yacute": "ý", "yuml": "ÿ", "Agrave": "À", "Aacute": "Á", "Acirc": "Â",
-    "Auml": "Ä", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ecirc": "Ê", "Ntilde": "Ñ",
-    "Oacute": "Ó", "Ouml": "Ö", "Uacute": "Ú", "Uuml": "Ü",
-    "amp": "&",
-}
-
-_REFERENCE = r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z]+[0-9]*));"
+# All named character references, from the standard library's table.
+ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+
+_REFERENCE = r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));"
 
 
 def _named() -> Column:

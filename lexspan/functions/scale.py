@@ -6,41 +6,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tasks over which one hot join key is split.
-SPREAD = 8
-
-
-def spread_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: list[str],
-    how: str = "left",
-    spread: int = SPREAD,
-    by: list[str] | None = None,
-) -> DataFrame:
-    """Equi-join whose `facts` side may hold a third of its rows under one key.
-
-    Every fact row gets a slot derived from its own content (so a re-run task assigns the same
-    one) and `dim` is repeated once per slot: a hot key is then spread over `spread` tasks and
-    the result is the same as that of the plain join. For a `dim` much smaller than the facts
-    (standards, editions, a catalogue, query terms); `even_join` is for large ones. When Spark
-    knows `dim` to be under its broadcast threshold it broadcasts it as usual.
-    """
-    slot = F.pmod(F.xxhash64(*[F.col(c) for c in (by or facts.columns)]), F.lit(spread)).cast("int")
-    slots = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    joined = facts.withColumn("_slot", slot).join(
-        dim.withColumn("_slot", slots), [*on, "_slot"], how
-    )
-    return joined.drop("_slot")
 
+def keyed_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join whose `facts` side may hold a third of its rows under one key.
 
-def even_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Equi-join with a `dim` that is as large as the facts and has one row per key.
-
-    Nothing is repeated. Both sides reach the join straight from a shuffle of their own, which is
-    what lets adaptive execution split a partition that one hot key of the facts fills.
+    Both sides reach the join from shuffles that the planner adds itself, because only those can be split:
+    adaptive execution measures every partition at run time, reads a hot one in several tasks, and repeats
+    only that partition's rows of `dim`. A `dim` under the broadcast threshold is broadcast as usual.
     """
-    return facts.join(dim.repartition(*on), on, how)
+    return facts.join(dim, on, how)
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k) -> DataFrame:
@@ -84,5 +58,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import order_ref, ru_date
-from lexspan.functions.scale import even_join, spread_join, top_rows, written
+from lexspan.functions.scale import keyed_join, top_rows, written
 from lexspan.operators import temporal
 
 
 def lookup(params: DataFrame, standards: DataFrame) -> DataFrame:
     """params(standard_id, ...) -> standard columns plus `outcome` and `error`."""
     std = standards.withColumnRenamed("id", "standard_id").withColumn("_known", F.lit(True))
-    found = spread_join(params, std, ["standard_id"])
+    found = keyed_join(params, std, ["standard_id"])
     return (
         found.withColumn("outcome", F.when(F.col("_known"), "found").otherwise("standard_not_found"))
         .withColumn(
@@ -41,9 +41,9 @@ def list_standards(
 def outline(editions: DataFrame, clauses: DataFrame, dates: Sequence[date]) -> DataFrame:
     """(standard_id, on_date, pos, path, heading) of the edition in force, in document order."""
     current = temporal.editions_on(editions, dates).select("edition_id", "on_date")
-    listed = spread_join(
+    listed = keyed_join(
         clauses.select("standard_id", "edition_id", "pos", "path", "heading"),
-        current, ["edition_id"], "inner", by=["edition_id", "pos", "path"],
+        current, ["edition_id"], "inner",
     )
     return listed.select("standard_id", "on_date", "pos", "path", "heading").orderBy(
         "on_date", "standard_id", "pos"
@@ -116,7 +116,7 @@ def get_clauses(
         ["edition_id", "parent_path"],
         "left",
     )
-    answered = even_join(resolved, with_parent, ["edition_id", "path"])
+    answered = keyed_join(resolved, with_parent, ["edition_id", "path"])
     hit = F.col("_hit").isNotNull()
     outcome = (
         F.when(~F.col("known") | ~F.col("has_editions"), "standard_not_found")
@@ -126,7 +126,7 @@ def get_clauses(
     )
     answered = written(answered.withColumn("outcome", outcome), "answered")
     misses = answered.where("outcome = 'clause_not_found'").select("edition_id")
-    answered = even_join(answered, available_paths(clauses, misses), ["edition_id"])
+    answered = keyed_join(answered, available_paths(clauses, misses), ["edition_id"])
     at = F.when(F.col("fell_back"), F.col("std_from")).otherwise(F.col("on_date"))
     error = (
         F.when(F.col("outcome") == "standard_not_found", F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import contains_ci
-from lexspan.functions.scale import each, even_join, spread_join, top_rows, written
+from lexspan.functions.scale import each, keyed_join, top_rows, written
 from lexspan.operators import temporal
 
 
@@ -14,16 +14,16 @@ def applicable(mapping: DataFrame, in_force: DataFrame, clauses: DataFrame) -> D
 
     in_force(standard_id, on_date, edition_id, edition_no); the result carries its columns.
     """
-    gated = spread_join(mapping, in_force, ["standard_id"], "inner")
+    gated = keyed_join(mapping, in_force, ["standard_id"], "inner")
     gated = gated.where("edition_from IS NULL OR edition_from <= edition_no")
     living = clauses.select("edition_id", F.col("path").alias("clause_path")).distinct()
-    return even_join(gated, living, ["edition_id", "clause_path"], "left_semi")
+    return keyed_join(gated, living, ["edition_id", "clause_path"], "left_semi")
 
 
 def with_presentation(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Label of the row's own object, falling back to the reference itself."""
     labels = catalog.select("config", F.col("ref").alias("object_ref"), F.col("presentation").alias("_label"))
-    named = spread_join(df, labels, ["config", "object_ref"])
+    named = keyed_join(df, labels, ["config", "object_ref"])
     return named.withColumn("presentation", F.coalesce("_label", "object_ref")).drop("_label")
 
 
@@ -31,8 +31,8 @@ def _requested(rows: DataFrame, asked: DataFrame, extra: list[str]) -> DataFrame
     """Rows per request: by exact path where one is given, else all rows of the standard."""
     exact = asked.where("clause_path IS NOT NULL")
     whole = asked.where("clause_path IS NULL").drop("clause_path")
-    by_path = spread_join(rows, exact, ["standard_id", "clause_path", *extra], "inner")
-    by_standard = spread_join(rows, whole, ["standard_id", *extra], "inner")
+    by_path = keyed_join(rows, exact, ["standard_id", "clause_path", *extra], "inner")
+    by_standard = keyed_join(rows, whole, ["standard_id", *extra], "inner")
     return by_path.unionByName(by_standard)
 
 
@@ -69,12 +69,12 @@ def clauses_by_object(
         "_ref", "config", "standard_id", "clause_path", "kind", "object_ref", "note", "confidence",
         "verified",
     ).distinct()
-    titled = spread_join(
+    titled = keyed_join(
         facts, standards.select(F.col("id").alias("standard_id"), F.col("title").alias("standard_title")),
         ["standard_id"], "inner",
     )
     asked = params.select("request_id", "config", F.lower("object_ref").alias("_ref"))
-    hits = spread_join(with_presentation(titled, catalog), asked, ["config", "_ref"], "inner")
+    hits = keyed_join(with_presentation(titled, catalog), asked, ["config", "_ref"], "inner")
     return hits.select(
         "request_id", "config", "standard_id", "standard_title", "clause_path", "kind", "object_ref",
         "presentation", "note", "confidence", "verified",
@@ -141,7 +141,7 @@ def check_link_path(
     paths = clauses.select(
         "edition_id", F.col("path").alias("clause_path"), F.lit(True).alias("_there")
     ).distinct()
-    checked = even_join(resolved, paths, ["edition_id", "clause_path"])
+    checked = keyed_join(resolved, paths, ["edition_id", "clause_path"])
     outcome = (
         F.when(~F.col("known"), "standard_not_found")
         .when(F.col("clause_path").isNull(), "ok")
@@ -174,7 +174,7 @@ def is_known(params: DataFrame, catalog: DataFrame) -> DataFrame:
         "_object", F.lit(True)
     )
     asked = params.withColumn("_ref", F.lower("object_ref"))
-    marked = spread_join(spread_join(asked, configs, ["config"]), objects, ["config", "_ref"])
+    marked = keyed_join(keyed_join(asked, configs, ["config"]), objects, ["config", "_ref"])
     return marked.select(
         *params.columns,
         F.col("_config").isNotNull().alias("known_config"),
@@ -224,13 +224,13 @@ def suggest_objects(params: DataFrame, catalog: DataFrame, k: int = texts.SUGGES
         .groupBy("config", "gram").agg(F.count("*").alias("n"))
     )
     rarest = (
-        spread_join(looked, sizes_by_gram, ["config", "gram"])
+        keyed_join(looked, sizes_by_gram, ["config", "gram"])
         .groupBy("config", "frag")
         .agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"))
         .where("g.n IS NOT NULL")
         .select("config", "frag", F.col("g.gram").alias("gram"))
     )
-    tested = spread_join(grams, rarest, ["config", "gram"], "inner").where(
+    tested = keyed_join(grams, rarest, ["config", "gram"], "inner").where(
         contains_ci(F.col("ref"), F.col("frag")) | contains_ci(F.col("presentation"), F.col("frag"))
     )
     from_long = top_rows(tested.select("config", "frag", "ref"), ["config", "frag"], [F.col("ref")], k)
@@ -238,7 +238,7 @@ def suggest_objects(params: DataFrame, catalog: DataFrame, k: int = texts.SUGGES
         from_long.select("config", "frag", "rank", "ref")
     )
     requests = params.select("request_id", "config", F.lower("object_ref").alias("frag"))
-    return spread_join(requests, best, ["config", "frag"], "inner").select(
+    return keyed_join(requests, best, ["config", "frag"], "inner").select(
         "request_id", "rank", F.col("ref").alias("suggestion")
     )
 
@@ -298,7 +298,7 @@ def mapping_message(params: DataFrame, hits: DataFrame, catalog: DataFrame) -> D
         F.count("*").alias("mappings"), F.bool_or(~F.col("verified")).alias("unverified")
     )
     configs = catalog.select("config").distinct().withColumn("_known", F.lit(True))
-    marked = spread_join(params, configs, ["config"]).join(found, "request_id", "left")
+    marked = keyed_join(params, configs, ["config"]).join(found, "request_id", "left")
     message = (
         F.when(F.col("mappings") > 0, "")
         .when(F.col("_known").isNull(), _unknown_config())

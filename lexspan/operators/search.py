@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import snippet, tokens
-from lexspan.functions.scale import each, even_join, spread_join, top_rows, written
+from lexspan.functions.scale import each, keyed_join, top_rows, written
 from lexspan.operators import temporal
 
 # Clause columns that travel with every posting.
@@ -41,7 +41,7 @@ def terms(
         forms = lemmas.where(~F.col("form").isin(texts.PROTECTED_TERMS)).select(
             F.col("form").alias("term"), "lemma"
         )
-        found = spread_join(found, forms, ["term"], by=[*keep, "pos"])
+        found = keyed_join(found, forms, ["term"])
         found = found.withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
     return found.where(~F.col("term").isin(texts.STOP_LEMMAS))
 
@@ -53,9 +53,8 @@ def index_text(heading: Column, text: Column) -> Column:
 def with_validity(clauses: DataFrame, editions: DataFrame) -> DataFrame:
     """Clauses with the days on which their edition is the one in force."""
     spans = temporal.validity(editions).select("edition_id", "valid_from", "valid_to")
-    return spread_join(
+    return keyed_join(
         clauses.withColumnRenamed("id", "clause_id"), spans, ["edition_id"], "inner",
-        by=["clause_id"],
     )
 
 
@@ -80,7 +79,7 @@ def build_index(
         found = terms(texted, "_text", carried, lemmas)
     if vocabulary is not None:
         known = vocabulary.select("term").distinct().withColumn("_known", F.lit(True))
-        found = spread_join(found, known, ["term"], by=["clause_id"]).withColumn(
+        found = keyed_join(found, known, ["term"]).withColumn(
             "term", F.when(F.col("_known"), F.col("term"))
         )
     sized = found.groupBy(*carried, "term").agg(F.count("*").alias("tf"))
@@ -139,7 +138,7 @@ _KEYS = ["query_id", "clause_id", "standard_id", "n_terms"]
 def _matches(index: Index, asked: DataFrame) -> DataFrame:
     """Postings of the query terms with the term's contribution; a common term is spread."""
     avgdl = index.stats.select("avgdl").scalar()
-    rows = spread_join(index.postings, asked, ["term"], "inner", by=["clause_id"])
+    rows = keyed_join(index.postings, asked, ["term"], "inner")
     return rows.withColumn("part", _part(avgdl))
 
 
@@ -161,8 +160,8 @@ def _complete(index: Index, leading: DataFrame, other: DataFrame) -> DataFrame:
     """
     found = _matches(index, leading).where(_IN_FORCE).where(_WANTED).select(*_KEYS, "part")
     candidates = found.select(*_KEYS).distinct()
-    checks = spread_join(
-        candidates, other.select("query_id", "term", "weight"), ["query_id"], "inner", by=["clause_id"]
+    checks = keyed_join(
+        candidates, other.select("query_id", "term", "weight"), ["query_id"], "inner"
     )
     avgdl = index.stats.select("avgdl").scalar()
     # Postings are unique per (clause, term), so a check finds at most one.
@@ -241,7 +240,7 @@ def present(hits: DataFrame, queries: DataFrame, clauses: DataFrame, standards:
         "effective_from", "effective_to",
     )
     dated = hits.join(queries.select("query_id", "on_date"), "query_id")
-    full = spread_join(even_join(dated, body, ["clause_id"], "inner"), std, ["standard_id"], "inner")
+    full = keyed_join(keyed_join(dated, body, ["clause_id"], "inner"), std, ["standard_id"], "inner")
     return temporal.with_status(full).select(
         "query_id", "rank", "clause_id", "standard_id", "standard_title", "path", "heading",
         "snippet", "score", "status",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions.columns import parse_on_date, ru_date
-from lexspan.functions.scale import even_join, spread_join
+from lexspan.functions.scale import keyed_join
 
 
 def status(effective_from: Column, effective_to: Column, on_date: Column) -> Column:
@@ -115,7 +115,7 @@ def edition_as_of(editions: DataFrame, params: DataFrame) -> DataFrame:
 
 def with_edition(params: DataFrame, editions: DataFrame) -> DataFrame:
     """params(standard_id, on_date, ...) -> the same rows with `edition_id` and `edition_no`."""
-    return even_join(params, edition_as_of(editions, params), ["standard_id", "on_date"])
+    return keyed_join(params, edition_as_of(editions, params), ["standard_id", "on_date"])
 
 
 def with_fallback_edition(params: DataFrame, editions: DataFrame, standards: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def with_fallback_edition(params: DataFrame, editions: DataFrame, standards: Dat
         F.col("effective_from").alias("std_from"), F.col("effective_to").alias("std_to"), "source_url",
     )
     # What every standard falls back to is settled once per standard, not per request.
-    started = spread_join(editions, std.select("standard_id", "std_from"), ["standard_id"], "inner")
+    started = keyed_join(editions, std.select("standard_id", "std_from"), ["standard_id"], "inner")
     early = F.col("effective_from") <= F.col("std_from")
     first = started.groupBy("standard_id").agg(
         F.max_by(
@@ -138,8 +138,8 @@ def with_fallback_edition(params: DataFrame, editions: DataFrame, standards: Dat
         F.lit(True).alias("has_editions"),
     )
     std = std.join(first, "standard_id", "left").withColumn("known", F.lit(True))
-    described = spread_join(params, std, ["standard_id"])
-    direct = even_join(described, edition_as_of(editions, params), ["standard_id", "on_date"])
+    described = keyed_join(params, std, ["standard_id"])
+    direct = keyed_join(described, edition_as_of(editions, params), ["standard_id", "on_date"])
     fell_back = F.col("edition_id").isNull() & F.col("first").isNotNull()
     return (
         direct.withColumn("known", F.coalesce("known", F.lit(False)))

@@ -139,8 +139,8 @@ def pdf_links(b: Binding) -> DataFrame:
       SELECT id, source, text, row_number() OVER (PARTITION BY id ORDER BY prio) AS rn FROM (
         SELECT page_id AS id, 'html' AS source, html AS text, 0 AS prio FROM pages
           WHERE len(regexp_extract_all(html, '<p[\\s>]')) >= 5
-        UNION ALL SELECT doc_id, 'pdf', text, 1 FROM documents WHERE len(regexp_extract_all(text, '\\n')) >= 4
-        UNION ALL SELECT conv_id, 'order', text, 2 FROM conversations WHERE turn = 0)) WHERE rn = 1"""
+        UNION ALL SELECT doc_id, 'pdf', text, 1 FROM documents
+        UNION ALL SELECT conv_id * 1000 + turn, 'order', text, 2 FROM conversations)) WHERE rn = 1"""
 )
 def choose_source(b: Binding) -> DataFrame:
     enough = texts.MIN_TOP_LEVEL_CLAUSES
@@ -148,11 +148,9 @@ def choose_source(b: Binding) -> DataFrame:
     html = b.read("pages").where(complete).select(
         F.col("page_id").alias("id"), F.lit("html").alias("source"), F.col("html").alias("text")
     )
-    pdf = b.read("documents").where(F.regexp_count("text", F.lit("\n")) >= enough - 1).select(
-        F.col("doc_id").alias("id"), F.lit("pdf").alias("source"), "text"
-    )
-    order = b.read("conversations").where("turn = 0").select(
-        F.col("conv_id").alias("id"), F.lit("order").alias("source"), "text"
+    pdf = b.read("documents").select(F.col("doc_id").alias("id"), F.lit("pdf").alias("source"), "text")
+    order = b.read("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("order").alias("source"), "text"
     )
     return extract.choose_source(html, pdf, order).select("id", "source", F.md5("text").alias("digest"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan import texts
-from lexspan.functions.scale import even_join, spread_join, written
+from lexspan.functions.scale import keyed_join, written
 from lexspan.operators import lookup, mapping, search, temporal
 from lexspan.sources import publish
 
@@ -54,9 +54,9 @@ class Corpus:
         too; what replaces a standard is `lookup.successors`.
         """
         in_force = temporal.edition_as_of(self.edition, params)
-        dated = even_join(params, in_force, ["standard_id", "on_date"])
+        dated = keyed_join(params, in_force, ["standard_id", "on_date"])
         numbered = self.edition.groupBy("standard_id").agg(F.lit(True).alias("_has"))
-        known = spread_join(lookup.lookup(dated, self.standard), numbered, ["standard_id"])
+        known = keyed_join(lookup.lookup(dated, self.standard), numbered, ["standard_id"])
         outcome = (
             F.when((F.col("outcome") != "found") | F.col("_has").isNull(), "standard_not_found")
             .when(F.col("edition_id").isNull(), "no_edition")
@@ -77,10 +77,10 @@ class Corpus:
         states = mapping.status_of(
             pairs, self.mapping, found.select("standard_id", "on_date", "edition_id", "edition_no").distinct(), self.clause
         )
-        summaries = even_join(answered, states, ["standard_id", "on_date"])
+        summaries = keyed_join(answered, states, ["standard_id", "on_date"])
         asked = found.select("request_id", "on_date", "edition_id")
         listed = self.clause.select("standard_id", "edition_id", "pos", "path", "heading")
-        return summaries, spread_join(listed, asked, ["edition_id"], "inner")
+        return summaries, keyed_join(listed, asked, ["edition_id"], "inner")
 
     def get_clause(self, params: DataFrame) -> DataFrame:
         """params(..., standard_id, path, on_date) -> the clause, its provenance, or why not."""

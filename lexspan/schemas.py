@@ -49,15 +49,15 @@ CORPUS_META = _table(
 )
 
 NESTED_CLAUSE = _table(
-    ("path", _s, True), ("parent_path", _s, True), ("heading", _s, True), ("text", _s, True),
+    ("pos", _i, True), ("path", _s, True), ("parent_path", _s, True), ("heading", _s, True), ("text", _s, True),
 )
 NESTED_EDITION = _table(
     ("edition_no", _i, True), ("amending_order", _s, True), ("effective_from", _d, True),
-    ("first_pos", _i, True), ("clauses", T.ArrayType(NESTED_CLAUSE), True),
+    ("part", _i, True), ("clauses", T.ArrayType(NESTED_CLAUSE), True),
 )
-# One source document. `first_pos` is only set on the later parts of a document that was
-# written in several parts (see sources.documents.nest_documents).
+# One source document, or a part of one (see sources.documents.nest_documents): `continues` marks the parts
+# whose standard another part describes, `part` those whose edition does; a clause may state its position.
 DOCUMENT = T.StructType(
     [T.StructField(f.name, f.dataType, True) for f in STANDARD.fields]
-    + [T.StructField("editions", T.ArrayType(NESTED_EDITION), True)]
+    + [T.StructField("editions", T.ArrayType(NESTED_EDITION), True), T.StructField("continues", T.BooleanType(), True)]
 )

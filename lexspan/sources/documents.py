@@ -4,11 +4,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import schemas, texts
-from lexspan.functions.scale import each, even_join, spread_join
+from lexspan.functions.scale import each, keyed_join
 from lexspan.operators.quality import unstable
 
-# Clauses per written part of a document.
-PART_CLAUSES = 500
+# Positions that one written part of an edition spans; every edition is written in such parts.
+PART_SPAN = 500
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -28,30 +28,25 @@ def clause_id(edition: Column, path: Column) -> Column:
 def flatten_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs -> (standard, edition, clause); ids are derived, document order becomes `pos`.
 
-    A document may come in several parts (`first_pos` above 0); its standard and edition rows come
-    from the part that starts at 0.
+    A document may come in parts: the standard is described by the one that does not continue another,
+    an edition by its part 0. A clause keeps the position it states, else its place in the document.
     """
-    head = docs.where(
-        F.col("editions").isNull()
-        | (F.size("editions") == 0)
-        | F.exists("editions", lambda e: F.coalesce(e["first_pos"], F.lit(0)) == 0)
-    )
-    standard = head.select(*[f.name for f in schemas.STANDARD.fields])
+    standard = docs.where(~F.coalesce("continues", F.lit(False))).select(*[f.name for f in schemas.STANDARD.fields])
     parts = docs.select("id", F.explode("editions").alias("e")).select(
         F.col("id").alias("standard_id"),
         edition_id(F.col("id"), F.col("e.edition_no")).alias("edition_id"),
         "e.edition_no", "e.amending_order", "e.effective_from",
-        F.coalesce("e.first_pos", F.lit(0)).alias("first_pos"), "e.clauses",
+        F.coalesce("e.part", F.lit(0)).alias("part"), "e.clauses",
     )
-    edition = parts.where("first_pos = 0").select(
+    edition = parts.where("part = 0").select(
         F.col("edition_id").alias("id"), "standard_id", "edition_no", "amending_order", "effective_from"
     )
-    clause = parts.select("standard_id", "edition_id", "first_pos", F.posexplode("clauses").alias("at", "c"))
+    clause = parts.select("standard_id", "edition_id", F.posexplode("clauses").alias("at", "c"))
     return standard, edition, clause.select(
         clause_id(F.col("edition_id"), F.col("c.path")).alias("id"),
         "standard_id",
         "edition_id",
-        (F.col("first_pos") + F.col("at")).alias("pos"),
+        F.coalesce("c.pos", "at").alias("pos"),
         "c.path", "c.parent_path", "c.heading", "c.text",
     )
 
@@ -81,43 +76,41 @@ def duplicate_sources(docs: DataFrame) -> DataFrame:
     """(id, source_file, files): every file that declares an id some other file declares too."""
     files = docs.select("id", "source_file").distinct()
     shared = files.groupBy("id").agg(F.count("*").alias("files")).where("files > 1")
-    return spread_join(files, shared, ["id"], "inner")
+    return keyed_join(files, shared, ["id"], "inner")
 
 
 def nest_documents(
-    standard: DataFrame, edition: DataFrame, clause: DataFrame, part_clauses: int = PART_CLAUSES
+    standard: DataFrame, edition: DataFrame, clause: DataFrame, span: int = PART_SPAN
 ) -> DataFrame:
-    """Flat tables -> (standard_id, edition_no, part, document): one JSON document per part.
+    """Flat tables -> (standard_id, edition_no, part, document): JSON documents that `flatten_documents` reads back.
 
-    A part holds the clauses of one range of `pos`, so no group outgrows `part_clauses` however
-    long one document is. An ordinary document has a single part.
+    Every standard is written the same way, whatever its size: a row for each range of `span` positions of each
+    edition, part 0 also when it holds no clause, and one row for a standard without editions. The part 0
+    of a standard's first edition describes the standard, the others continue it.
     """
-    part = F.floor(F.col("pos") / part_clauses).cast("int")
     fields = F.struct("pos", "path", "parent_path", "heading", "text")
-    chunks = clause.groupBy("edition_id", part.alias("part")).agg(F.collect_list(fields).alias("c"))
-    ordered = F.transform(
-        F.array_sort("c"), lambda x: F.struct(x["path"], x["parent_path"], x["heading"], x["text"])
+    chunks = clause.groupBy("edition_id", F.floor(F.col("pos") / span).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(fields)).alias("clauses")
     )
     ed = edition.select(
         F.col("id").alias("edition_id"), "standard_id", "edition_no", "amending_order",
         F.col("effective_from").alias("edition_from"),
     )
-    chunks = spread_join(
-        chunks.select("edition_id", "part", ordered.alias("clauses")), ed, ["edition_id"], "inner",
-        by=["edition_id", "part"],
-    )
-    std = standard.withColumnRenamed("id", "standard_id")
-    full = spread_join(chunks, std, ["standard_id"], "inner", by=["edition_id", "part"])
+    heads = ed.select("edition_id", F.lit(0).alias("part"))
+    parts = heads.join(chunks, ["edition_id", "part"], "full")
+    described = keyed_join(parts, ed, ["edition_id"], "inner")
+    first = ed.groupBy("standard_id").agg(F.min(F.struct("edition_no", "edition_id"))["edition_id"].alias("first_id"))
+    std = standard.withColumnRenamed("id", "standard_id").join(first, "standard_id", "left")
+    full = std.join(described, "standard_id", "left")
     nested = F.struct(
-        "edition_no",
-        "amending_order",
-        F.col("edition_from").alias("effective_from"),
-        F.when(F.col("part") > 0, F.col("part") * part_clauses).alias("first_pos"),
-        "clauses",
+        "edition_no", "amending_order", F.col("edition_from").alias("effective_from"), "part",
+        F.coalesce("clauses", F.array().cast(schemas.DOCUMENT["editions"].dataType.elementType["clauses"].dataType)).alias("clauses"),
     )
+    editions = F.when(F.col("edition_id").isNotNull(), F.array(nested)).otherwise(F.array().cast(schemas.DOCUMENT["editions"].dataType))
+    continues = F.coalesce((F.col("edition_id") != F.col("first_id")) | (F.col("part") > 0), F.lit(False))
     own = [F.col("standard_id").alias("id")] + [F.col(f.name) for f in schemas.STANDARD.fields[1:]]
-    document = F.struct(*own, F.array(nested).alias("editions"))
-    return full.select("standard_id", "edition_no", "part", F.to_json(document).alias("document"))
+    document = F.struct(*own, editions.alias("editions"), continues.alias("continues"))
+    return full.select("standard_id", "edition_no", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(document).alias("document"))
 
 
 def valid_edges(edges: DataFrame, standards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +119,7 @@ def valid_edges(edges: DataFrame, standards: DataFrame) -> tuple[DataFrame, Data
     marked = edges
     for end in ("from_standard", "to_standard"):
         known = ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
-        marked = spread_join(marked, known, [end])
+        marked = keyed_join(marked, known, [end])
     both = F.col("_from_standard").isNotNull() & F.col("_to_standard").isNotNull()
     columns = edges.columns
     return marked.where(both).select(*columns), marked.where(~both).select(*columns)
@@ -147,8 +140,8 @@ def check_mappings(mapping: DataFrame, clauses: DataFrame, catalog: DataFrame) -
     objects = catalog.select(
         "config", F.col("ref").alias("object_ref"), F.col("kind").alias("_kind")
     ).distinct()
-    seen = even_join(mapping, paths, ["standard_id", "clause_path"])
-    seen = spread_join(seen, objects, ["config", "object_ref"])
+    seen = keyed_join(mapping, paths, ["standard_id", "clause_path"])
+    seen = keyed_join(seen, objects, ["config", "object_ref"])
     stable = ~unstable(F.col("clause_path"))
     broken = F.array_compact(F.array(
         F.when(~stable, F.lit("unstable path")),
@@ -165,7 +158,7 @@ def check_links(links: DataFrame, clauses: DataFrame) -> DataFrame:
     paths = clauses.select(
         "standard_id", F.col("path").alias("clause_path"), F.lit(True).alias("_path")
     ).distinct()
-    seen = even_join(links, paths, ["standard_id", "clause_path"])
+    seen = keyed_join(links, paths, ["standard_id", "clause_path"])
     stable = ~unstable(F.col("clause_path"))
     broken = F.array_compact(F.array(
         F.when(~stable, F.lit("unstable path")),

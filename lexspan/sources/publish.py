@@ -10,8 +10,6 @@ from lexspan import texts
 from lexspan.functions.columns import ru_date
 
 _MANIFEST = "manifest"
-# Rows up to which one exact digest over all of them is taken.
-EXACT_ROWS = 100_000
 # Leading hex digits of a row digest that name its first-level bucket.
 _DEPTH = 5
 
@@ -66,17 +64,9 @@ def _row_text() -> Column:
     return F.concat_ws("|", "id", "order_no", F.col("effective_from").cast("string"))
 
 
-def registry_hash(standards: DataFrame, most: int = EXACT_ROWS) -> DataFrame:
-    """One row: sha256 over `id|order_no|effective_from` of all standards in id order.
-
-    One digest over everything is a sequential read of everything, so this is for registries of
-    at most `most` rows; `corpus_fingerprint` has no such limit.
-    """
-    if standards.select("id").limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} standards: use corpus_fingerprint")
-    rows = F.array_sort(F.collect_list(F.struct("id", _row_text().alias("s"))))
-    joined = F.array_join(F.transform(rows, lambda r: r["s"]), "")
-    return standards.agg(F.sha2(joined, 256).alias("registry_hash"))
+def registry_hash(standards: DataFrame) -> DataFrame:
+    """One row: the merged digest of `id|order_no|effective_from` over all standards, at any size."""
+    return corpus_fingerprint(standards, _row_text()).select(F.col("fingerprint").alias("registry_hash"))
 
 
 def corpus_fingerprint(df: DataFrame, row_text: Column) -> DataFrame:

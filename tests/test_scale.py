@@ -3,18 +3,6 @@ from pyspark.sql import functions as F
 from lexspan.functions import scale
 
 
-def test_spread_join_equals_the_plain_join_and_splits_a_hot_key(spark):
-    facts = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
-    dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for how in ("left", "inner", "left_anti", "left_semi"):
-        mine = scale.spread_join(facts, dim, ["k"], how)
-        plain = facts.join(dim, "k", how)
-        assert sorted(map(str, mine.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
-    slots = facts.where("k = 7").select(F.pmod(F.xxhash64("id", "k"), F.lit(scale.SPREAD)).alias("s"))
-    sizes = [r["count"] for r in slots.groupBy("s").count().collect()]
-    assert len(sizes) == scale.SPREAD and max(sizes) < 2 * 3000 / scale.SPREAD
-
-
 def test_top_rows_prunes_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     best = scale.top_rows(df, ["g"], [F.col("id").desc()], 2)
@@ -35,11 +23,27 @@ def test_written_table_reads_back(spark):
     assert back.count() == 10 and "FileScan parquet" in back._jdf.queryExecution().executedPlan().toString()
 
 
-def test_even_join_shuffles_both_sides_and_keeps_every_row(spark):
-    facts = spark.range(900).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
-    dim = spark.range(500).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    # Tables of this size would be broadcast; asking for a merge join shows the plan large ones get.
-    joined = scale.even_join(facts.hint("merge"), dim, ["k"])
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
-    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, facts.join(dim, "k", "left").collect()), key=str)
+def test_a_hot_key_is_split_at_run_time(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "12",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        facts = spark.range(0, 200_000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
+        dim = spark.range(50_000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+        for how in ("left", "inner", "left_semi", "left_anti"):
+            joined = scale.keyed_join(facts, dim, ["k"], how)
+            count = len(joined.select("id").collect())
+            rows = joined.select("id")
+            rows.write.format("noop").mode("overwrite").save()
+            assert count == {"left": 200_000, "inner": 125_000, "left_semi": 125_000, "left_anti": 75_000}[how]
+        plan_of = scale.keyed_join(facts, dim, ["k"])
+        plan_of.collect()
+        assert "skew=true" in plan_of._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -19,57 +19,54 @@ def lines(*blocks):
 
 
 def model(blocks):
-    """The clause rules read one block at a time, written apart from the windows.
+    """The clause rules stated for each block on its own, by looking back and ahead in the whole list.
 
     Blocks are (kind, value): H heading, U heading without number, C clause number, S letter,
     D digit, T text, E editorial note.
     """
-    made, waiting = [], []
-    heading = number = key = letter = None
-    skipping = False
-
-    def settle():
-        real = [v for k, v in waiting if k != "E"]
-        if made and made[-1]["parent"] and real:
-            p = made[-1]["parent"]
-            made.append({"path": p + ".заключение", "parent": p, "heading": None, "parts": real})
-        waiting.clear()
-
-    for kind, value in blocks:
-        if kind == "H" or (kind == "U" and number is not None):
-            settle()
-            heading, skipping = value, False
-        elif kind == "C":
-            new = tuple(int(x) for x in (value + ".0").split(".")[:2])
-            settle()
-            if key is not None and new <= key:
-                skipping = True
-                continue
-            number, key, letter, skipping = value, new, None, False
-            made.append({"path": value, "parent": None, "heading": heading, "parts": [f"c{value}."]})
-        elif kind in "SD":
-            meant = value if kind == "S" else {("6", "а"): "б", ("3", "ж"): "з"}.get((value, letter))
-            if skipping:
-                continue
-            if meant is not None and number is not None:
-                if waiting:
-                    made[-1]["parts"] += [v for _, v in waiting]
-                    waiting.clear()
-                letter = meant
-                made.append({"path": f"{number}.{meant}", "parent": number, "heading": None, "parts": ["s" + value]})
-            elif kind == "D" and made:
-                text = f"{value}) s{value}"
-                if made[-1]["parent"]:
-                    waiting.append(("T", text))
-                else:
-                    made[-1]["parts"].append(text)
-        elif kind in "TE" and not skipping and made:
-            if made[-1]["parent"]:
-                waiting.append((kind, value))
-            else:
-                made[-1]["parts"].append(value)
-    settle()
-    return [(m["path"], m["parent"], m["heading"], " ".join(m["parts"])) for m in made]
+    at = range(len(blocks))
+    key = {i: tuple(map(int, f"{blocks[i][1]}.0".split(".")[:2])) for i in at if blocks[i][0] == "C"}
+    # A clause counts when it is beyond every clause that counts before it: beyond the greatest number so far.
+    opens = [i for i in key if all(key[j] < key[i] for j in key if j < i)]
+    last = lambda places, i: max((j for j in places if j < i), default=None)
+    headings = [i for i in at if blocks[i][0] == "H" or (blocks[i][0] == "U" and last(opens, i) is not None)]
+    # Whatever follows a clause out of order is passed over, up to the next heading or clause that counts.
+    refused = [i for i in key if i not in opens]
+    passed = {i for i in at if (r := last(refused, i)) is not None and not any(r < j < i for j in (*opens, *headings))}
+    letter = {}
+    for i in at:
+        kind, value = blocks[i]
+        if kind in "SD" and i not in passed and last(opens, i) is not None:
+            before = last([j for j in letter if j > last(opens, i)], i)
+            told = value if kind == "S" else {("6", "а"): "б", ("3", "ж"): "з"}.get((value, letter.get(before)))
+            if told:
+                letter[i] = told
+    starts = sorted([*opens, *letter])
+    ends = sorted([*opens, *headings, *refused])
+    rows = []
+    for i in starts:
+        after = [j for j in at if j > i and last(starts, j) == i and j not in starts and j not in headings and j not in key and j not in passed]
+        said = [(blocks[j][0], f"{blocks[j][1]}) s{blocks[j][1]}" if blocks[j][0] == "D" else blocks[j][1]) for j in after if blocks[j][0] in "TED"]
+        if i in key:
+            heading = last(headings, i)
+            rows.append((blocks[i][1], None, None if heading is None else blocks[heading][1], " ".join([f"c{blocks[i][1]}.", *(v for _, v in said)])))
+            continue
+        number = blocks[last(opens, i)][1]
+        # Text after a letter belongs to it when the next letter of the list follows first. A heading, a clause or
+        # the end closes the list: what stands before it (without notes) is a conclusion, which then takes the letter's place.
+        parts, path = [f"s{blocks[i][1]}"], f"{number}.{letter[i]}"
+        nxt = min((j for j in starts if j > i), default=len(blocks))
+        spoken = [j for j in after if blocks[j][0] in "TED"]
+        stops = [j for j in ends if i < j < nxt] + [nxt]
+        for low, high in zip([i, *stops], stops, strict=False):
+            here = [said[k] for k, j in enumerate(spoken) if low < j < high]
+            if high in letter:
+                parts += [v for _, v in here]
+            elif any(k != "E" for k, _ in here):
+                rows.append((path, number, None, " ".join(parts)))
+                parts, path = [v for k, v in here if k != "E"], f"{number}.заключение"
+        rows.append((path, number, None, " ".join(parts)))
+    return rows
 
 
 def written(kind, value):
