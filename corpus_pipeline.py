@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from lexspan.functions.scale import written  # noqa: E402
 from lexspan.llm import chosenpath, decontaminate, langid, packing, pii  # noqa: E402
+from lexspan.llm.common import small_batches  # noqa: E402
 from lexspan.llm.queries import table, vocabulary  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification; documents without a language (no text, no letter) go."""
+    small_batches(spark)
     return langid.filtered(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingle Jaccard join; one document of each group of near copies stays."""
+    small_batches(spark)
     return chosenpath.deduplicate(docs)
 
 
@@ -33,11 +36,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences: one row per piece."""
+    small_batches(spark)
     return packing.digests(docs, *vocabulary())
 
 

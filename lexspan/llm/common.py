@@ -1,7 +1,7 @@
 """Helpers of the text operators: stored tables, gapless ranks, checked joins, words and their hashes."""
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
@@ -12,6 +12,11 @@ SMALL_ROWS = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python tasks fewer rows at a time: a row is a whole text, and some texts are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, with a unique `_mid` per row.
 

@@ -28,7 +28,7 @@ END_ID = 1
 # Tokens per length class. A smaller grain pads less and makes a larger linear program.
 GRAIN = 8
 # Distinct words whose ids one task keeps: the first it meets, so the frequent ones; others are encoded anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 # The linear program stops when its bound proves it within this share of the optimum.
 GAP = 0.002
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import chosenpath, decontaminate, forest, langid, licenses, mixing, packing, pii, rendezvous, toolcalls
+from lexspan.llm.common import small_batches
 
 SHARDS = 16
 NEIGHBOURS = 20
@@ -12,6 +13,7 @@ QUERY_EVERY = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -137,13 +139,4 @@ SELECT call_id, status, n_results, depth, errors,
 FROM joined
 """
 
-NEAREST = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
-FROM p QUALIFY rank <= 20
-"""
-
 ORACLES = {"op5_tool_calls": TOOL_CALLS, "op9_decontamination": LEAKS, "op10_chosen_path_join": LINKS}
