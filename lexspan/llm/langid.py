@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 # Hashed features of each order (one, two, three characters), a power of two.
-WIDTH = 2048
+WIDTH = 1024
 ORDERS = 3
 # Labelled documents that the machines are fitted on, shared out evenly among the languages, each of which has at least so many.
-SAMPLE = 3000
+SAMPLE = 1200
 LEAST = 50
 EPOCHS = 12
 REGULAR = 1e-4
