@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
-from lexspan.llm.common import WordHasher, checked, mix64, row_key, shingles, stored
+from lexspan.llm.common import WordHasher, checked, free_name, mix64, row_key, shingles, stored
 
 SIMILARITY = 0.8
 COORDINATES = 64
@@ -327,10 +327,11 @@ def join(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each class; of rows equal in id and text one stays."""
-    rows = written(join(docs).select(F.col("key").alias("_dup_key"), F.col("keep").alias("_dup_keep")), "kept")
-    told = rows.groupBy("_dup_key").agg(F.count("*").alias("_dup_n"), F.max("_dup_keep").alias("_dup_keep"))
-    told = told.where("_dup_n > 1 or not _dup_keep")
-    marked = docs.withColumn("_dup_key", row_key()).join(checked(told), "_dup_key", "left")
-    single = marked.where("_dup_n is null").select(*docs.columns)
-    repeated = marked.where("_dup_n is not null and _dup_keep").dropDuplicates(["_dup_key"]).select(*docs.columns)
+    key, times, keep = (free_name(docs, c) for c in ("_dup_key", "_dup_n", "_dup_keep"))
+    rows = written(join(docs).select(F.col("key").alias(key), F.col("keep").alias(keep)), "kept")
+    told = rows.groupBy(key).agg(F.count("*").alias(times), F.max(keep).alias(keep))
+    told = told.where((F.col(times) > 1) | ~F.col(keep))
+    marked = docs.withColumn(key, row_key()).join(checked(told), key, "left")
+    single = marked.where(F.col(times).isNull()).select(*docs.columns)
+    repeated = marked.where(F.col(times).isNotNull() & F.col(keep)).dropDuplicates([key]).select(*docs.columns)
     return single.union(repeated)

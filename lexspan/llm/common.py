@@ -12,6 +12,14 @@ SMALL_ROWS = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send Python tasks fewer rows at a time: a row is a whole text, and some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

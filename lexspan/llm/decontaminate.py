@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.columns import bind
 from lexspan.functions.scale import each, written
-from lexspan.llm.common import checked, row_key
+from lexspan.llm.common import checked, free_name, row_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -139,5 +139,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage."""
-    gone = checked(leaks(docs, benchmark).select(F.col("key").alias("_leak_key")).distinct())
-    return docs.withColumn("_leak_key", row_key()).join(gone, "_leak_key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_leak_key")
+    gone = checked(leaks(docs, benchmark).select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*docs.columns)

@@ -27,9 +27,10 @@ BITS = 32
 # Rows of a block, and queries that visit it together.
 BLOCK = 4096
 QUERIES = 2048
-# The ascent goes on until the vectors under the prefixes, over all trees, number this share of the block. Measured on
-# vectors without structure (the hardest case), 0.75 finds 96 to 99 percent of the true neighbours.
+# The ascent goes on until the vectors under the prefixes, over all trees, number this share of the block and so many
+# for each neighbour that is asked for; the second part matters in small blocks, whose neighbours are far.
 ENOUGH = 0.75
+PER_NEIGHBOUR = 40
 SEED = 20_240_607
 
 
@@ -67,10 +68,11 @@ class Forest:
         hi = np.stack([np.searchsorted(t, q) for t, q in zip(self.sorted, low + (1 << drop), strict=True)])
         return lo, hi
 
-    def candidates(self, queries):
+    def candidates(self, queries, k: int):
         """Candidate places for each query: those under its prefixes at the deepest level that has enough."""
         strings = self.strings(np.hstack([queries, np.zeros((len(queries), 1))]))
-        enough = min(ENOUGH, TREES) * self.vectors.shape[0]
+        n = self.vectors.shape[0]
+        enough = min(ENOUGH * n + PER_NEIGHBOUR * k, TREES * n)
         good, bad = np.zeros(len(queries), dtype=np.int64), np.full(len(queries), BITS + 1)
         while (bad - good > 1).any():
             middle = (good + bad) // 2
@@ -102,7 +104,7 @@ def block_search(k: int):
             if not len(items):
                 continue
             forest = Forest(items)
-            for q, at in enumerate(forest.candidates(queries)):
+            for q, at in enumerate(forest.candidates(queries, k)):
                 at = at[item_ids[at] != query_ids[q]]
                 # Row sums, not a matrix product: equal vectors get equal scores, so that ties are ties.
                 score = (items[at] * queries[q]).sum(axis=1)
