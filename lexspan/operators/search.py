@@ -176,7 +176,7 @@ def search(
 
     A clause must hold every term of the query; only for queries without such a clause in the
     editions in force does any term do. `k` is cut to the largest allowed number of hits, and a
-    `k` below 1 asks for nothing. Common terms generate no candidates where rarer ones decide:
+    `k` below 1 is an error, which `search_messages` reports. Common terms generate no candidates where rarer ones decide:
 
     1. Whatever holds all terms holds the rarest one: candidates come from it alone.
     2. Queries left open are tried on their rarest terms, as many as should give `k` hits. The
@@ -248,11 +248,18 @@ def present(hits: DataFrame, queries: DataFrame, clauses: DataFrame, standards:
 
 
 def search_messages(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, hits, message): queries without any hit get the hint."""
+    """(query_id, hits, message, error): queries without any hit get the hint.
+
+    A `k` below 1 (or null) is an error: nothing was searched, so there is no message.
+    """
     counted = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
-    joined = queries.select("query_id").join(counted, "query_id", "left")
-    return joined.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn(
-        "message", F.when(F.col("hits") > 0, "").otherwise(texts.MSG_NO_HITS)
+    joined = queries.select("query_id", F.coalesce(F.col("k") >= 1, F.lit(False)).alias("_asked")).join(counted, "query_id", "left")
+    asked = F.col("_asked")
+    return joined.select(
+        "query_id",
+        F.coalesce("hits", F.lit(0)).alias("hits"),
+        F.when(~asked, None).when(F.col("hits") > 0, "").otherwise(texts.MSG_NO_HITS).alias("message"),
+        F.when(~asked, texts.MSG_BAD_LIMIT).alias("error"),
     )
 
 

@@ -296,22 +296,22 @@ def lost_paragraphs(docs: DataFrame, clauses: DataFrame) -> DataFrame:
         & (F.col("begun") | F.col("acc"))
         & (F.col("acc") | (~opener & ~F.col("disc")))
     )
-    candidate = F.when(opener, F.col("opened")).otherwise(F.col("body"))
+    said = F.when(opener, F.col("opened")).otherwise(F.col("body"))
     candidate = F.when(
-        candidate.rlike(SUBCLAUSE), F.regexp_replace(candidate, SUBCLAUSE, "")
-    ).otherwise(F.regexp_replace(candidate, DIGIT_SUBCLAUSE, ""))
+        said.rlike(SUBCLAUSE), F.regexp_replace(said, SUBCLAUSE, "")
+    ).otherwise(F.regexp_replace(said, DIGIT_SUBCLAUSE, ""))
     listed = (
-        kept.where(~F.col("body").rlike(EDITORIAL_NOTE))
+        kept.where(~strip(said).rlike(EDITORIAL_NOTE))
         .select("doc", "pos", strip(candidate).alias("text"))
         .where("text != ''")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("pos", "text")).alias("paras"))
     )
     hay = clauses.groupBy("doc").agg(
-        F.collect_list(F.concat_ws(" ", "text", "heading")).alias("pieces")
+        F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "text", "heading").alias("said")))).alias("pieces")
     )
     joined = listed.join(hay, "doc", "left").withColumn(
-        "hay", F.coalesce(F.array_join("pieces", " "), F.lit(""))
+        "hay", F.coalesce(F.array_join("pieces.said", " "), F.lit(""))
     )
     missing = F.filter("paras", lambda p: ~F.contains(F.col("hay"), p["text"]))
     return each(joined, ["doc"], missing, "p").select("doc", "p.pos", "p.text")

@@ -515,8 +515,9 @@ def search_clauses(b: Binding) -> DataFrame:
 
 
 @query(
-    f"""SELECT q.query_id, count(h.id) AS hits, CASE WHEN count(h.id) > 0 THEN '' ELSE '{texts.MSG_NO_HITS}' END AS message
-    FROM clause_query q LEFT JOIN chits h ON h.query_id = q.query_id AND h.rank <= q.k GROUP BY 1""",
+    f"""SELECT q.query_id, count(h.id) AS hits, CASE WHEN count(h.id) > 0 THEN '' WHEN q.k >= 1 THEN '{texts.MSG_NO_HITS}' END AS message,
+      CASE WHEN q.k < 1 THEN '{texts.MSG_BAD_LIMIT}' END AS error
+    FROM clause_query q LEFT JOIN chits h ON h.query_id = q.query_id AND h.rank <= q.k GROUP BY q.query_id, q.k""",
     _CLAUSE_SEARCH,
 )
 def search_messages(b: Binding) -> DataFrame:

@@ -97,14 +97,24 @@ class Corpus:
     def get_mapping(self, params: DataFrame) -> tuple[DataFrame, DataFrame]:
         """params(request_id, standard_id, clause_path, config) -> (mapping rows, messages).
 
-        Requests for an unknown standard are an error and get no row in either.
+        Every request has one row of messages: `outcome` says whether its standard is known; for an unknown one
+        `error` says so, `message` is null and there are no mapping rows.
         """
-        known = params.join(self.standard.select(F.col("id").alias("standard_id")), "standard_id", "left_semi")
+        there = self.standard.select(F.col("id").alias("standard_id"))
+        known = params.join(there, "standard_id", "left_semi")
         hits = written(
             mapping.mappings_for(known, self.mapping, self.edition, self.clause, self.config_object, self.built_at),
             "mappings",
         )
-        return hits, mapping.mapping_message(known, hits, self.config_object)
+        marked = keyed_join(params, there.distinct().withColumn("_there", F.lit(True)), ["standard_id"])
+        told = mapping.mapping_message(marked, hits, self.config_object)
+        unknown = F.col("_there").isNull()
+        return hits, told.select(
+            *params.columns, "mappings", "unverified",
+            F.when(unknown, "standard_not_found").otherwise("ok").alias("outcome"),
+            F.when(~unknown, F.col("message")).alias("message"),
+            F.when(unknown, F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id")).alias("error"),
+        )
 
     def find_by_object(self, params: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """params(request_id, object_ref, config) -> (clauses, outcomes, suggestions)."""
@@ -141,9 +151,10 @@ class Corpus:
         return publish.registry_report(dated, states, on_date, self.warnings(today))
 
 
-def load(spark, root: str, built_at: date, lemmas: DataFrame | None = None) -> Corpus:
-    """The newest published build under `root`, with its index when one was published."""
+def load(spark, root: str, lemmas: DataFrame | None = None) -> Corpus:
+    """The newest published build under `root` and its build date, with its index when one was published."""
     build = publish.latest(spark, root)
     names = ["standard", "edition", "clause", "mapping", "config_object", "link", "standard_relation"]
-    index = search.Index(*[build.table(spark, n) for n in ("postings", "term_df", "index_stats")])
-    return Corpus(**{n: build.table(spark, n) for n in names}, built_at=built_at, index=index, lemmas=lemmas)
+    parts = ["postings", "term_df", "index_stats"]
+    index = search.Index(*[build.table(spark, n) for n in parts]) if set(parts) <= set(build.tables) else None
+    return Corpus(**{n: build.table(spark, n) for n in names}, built_at=build.built_at, index=index, lemmas=lemmas)

@@ -22,6 +22,8 @@ class PublishError(Exception):
 class Build:
     build_id: str
     path: str
+    built_at: date
+    tables: tuple[str, ...]
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/{name}")
@@ -33,28 +35,37 @@ def publish(
     """Write all tables under their own build folder, check what was written, then announce it.
 
     `checks(tables)` returns violations(check, offender, detail). Readers only follow the
-    manifest, and its row is appended last: a build that fails on the way is never seen.
+    manifest, and its row is appended last: a build that fails on the way is never seen, and the
+    folder it has begun is removed, so that it can be tried again under the same id.
     """
-    path = f"{root}/build_id={build_id}"
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    stored = {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
-    broken = checks(stored).limit(texts.PREVIEW_OFFENDERS).collect()
-    if broken:
-        raise PublishError("; ".join(f"{r['check']}: {r['offender']}" for r in broken))
+    path, names = f"{root}/build_id={build_id}", sorted(tables)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        raise PublishError(f"{path} exists")
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        stored = {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
+        broken = checks(stored).limit(texts.PREVIEW_OFFENDERS).collect()
+        if broken:
+            raise PublishError("; ".join(f"{r['check']}: {r['offender']}" for r in broken))
+    except Exception:
+        files.delete(folder, True)
+        raise
     row = spark.range(1).select(
-        F.lit(build_id).alias("build_id"), F.lit(built_at).alias("built_at"),
-        F.lit(path).alias("path"), F.current_timestamp().alias("published_at"),
+        F.lit(build_id).alias("build_id"), F.lit(built_at).alias("built_at"), F.lit(path).alias("path"),
+        F.array(*[F.lit(n) for n in names]).alias("tables"), F.current_timestamp().alias("published_at"),
     )
     row.coalesce(1).write.mode("append").parquet(f"{root}/{_MANIFEST}")
-    return Build(build_id, path)
+    return Build(build_id, path, built_at, tuple(names))
 
 
 def latest(spark: SparkSession, root: str) -> Build:
     """The newest announced build."""
     rows = spark.read.parquet(f"{root}/{_MANIFEST}")
-    newest = rows.agg(F.max_by(F.struct("build_id", "path"), "published_at").alias("b")).first()["b"]
-    return Build(newest["build_id"], newest["path"])
+    newest = rows.agg(F.max_by(F.struct("build_id", "path", "built_at", "tables"), "published_at").alias("b")).first()["b"]
+    return Build(newest["build_id"], newest["path"], newest["built_at"], tuple(newest["tables"]))
 
 
 # --- fingerprints -------------------------------------------------------------------------------

@@ -79,6 +79,7 @@ MSG_UNVERIFIED = (
     "Не полагайтесь на нее без проверки по тексту пункта и по конфигурации."
 )
 MSG_NO_LINKS = "Ссылки на ИТС для этого стандарта пока не подобраны."
+MSG_BAD_LIMIT = "limit должен быть положительным числом"
 MSG_NO_HITS = (
     "По запросу ничего не найдено. Попробуйте переформулировать или снять фильтр по стандартам."
 )

@@ -46,7 +46,7 @@ def corpus(spark, tmp_path_factory):
 
     root = str(tmp_path_factory.mktemp("corpus"))
     publish.publish(spark, t, root, "b1", BUILT, checks)
-    return requests.load(spark, root, BUILT)
+    return requests.load(spark, root)
 
 
 def test_list_and_warnings(corpus):
@@ -88,7 +88,9 @@ def test_clause_mapping_object_and_references(spark, corpus):
     asked = spark.createDataFrame([(0, "a", None, "bp"), (1, "old", None, "bp"), (2, "q", None, "bp")], "request_id int, standard_id string, clause_path string, config string")
     rows, messages = corpus.get_mapping(asked)
     assert [(r.request_id, r.presentation) for r in rows.collect()] == [(0, "Основные")]
-    assert {r.request_id: r.message for r in messages.collect()} == {0: "", 1: texts.MSG_NO_MAPPING}
+    assert {r.request_id: (r.outcome, r.message, r.error) for r in messages.collect()} == {
+        0: ("ok", "", None), 1: ("ok", texts.MSG_NO_MAPPING, None),
+        2: ("standard_not_found", None, "Стандарт 'q' отсутствует в корпусе")}
     refs = spark.createDataFrame([(0, "01", "bp"), (1, "износ", "bp")], "request_id int, object_ref string, config string")
     clauses, outcomes, suggestions = corpus.find_by_object(refs)
     assert {r.request_id: r.outcome for r in outcomes.collect()} == {0: "mapped", 1: "unknown"}

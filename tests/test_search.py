@@ -94,8 +94,8 @@ def test_all_terms_win_over_any_term_only_in_force(spark):
     queries = ask(spark, [(1, "альфа бета", date(2020, 6, 1), [], 10), (2, "альфа бета", DAY, [], 10), (3, "", DAY, [], 10), (4, "альфа", DAY, [], 0)])
     got = sorted((r.query_id, r.clause_id) for r in search.search(queries, built).collect())
     assert got == [(1, "full"), (2, "half")]
-    messages = {r.query_id: r.message for r in search.search_messages(queries, search.search(queries, built)).collect()}
-    assert messages == {1: "", 2: "", 3: texts.MSG_NO_HITS, 4: texts.MSG_NO_HITS}
+    messages = {r.query_id: (r.message, r.error) for r in search.search_messages(queries, search.search(queries, built)).collect()}
+    assert messages == {1: ("", None), 2: ("", None), 3: (texts.MSG_NO_HITS, None), 4: (None, texts.MSG_BAD_LIMIT)}
 
 
 def test_tokens_lemmas_and_stop_words(spark):

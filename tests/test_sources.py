@@ -167,10 +167,14 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert publish.latest(spark, root).build_id == "b1"
     with pytest.raises(publish.PublishError, match="blank: 2"):
         publish.publish(spark, {"clause": spark.createDataFrame([(2, "")], good.schema)}, root, "b2", DAY, checks)
-    assert publish.latest(spark, root).build_id == "b1"
-    publish.publish(spark, {"clause": good.unionAll(good)}, root, "b3", DAY, checks)
+    assert publish.latest(spark, root).build_id == "b1" and not (tmp_path / "build_id=b2").exists()
+    with pytest.raises(publish.PublishError, match="exists"):
+        publish.publish(spark, {"clause": good}, root, "b1", DAY, checks)
+    assert publish.latest(spark, root).table(spark, "clause").count() == 1
+    publish.publish(spark, {"clause": good.unionAll(good)}, root, "b2", DAY, checks)
     newest = publish.latest(spark, root)
-    assert newest.build_id == "b3" and newest.table(spark, "clause").count() == 2
+    assert (newest.build_id, newest.built_at, newest.tables) == ("b2", DAY, ("clause",))
+    assert newest.table(spark, "clause").count() == 2
 
 
 def std(spark, rows):
