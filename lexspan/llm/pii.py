@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
-from lexspan.llm.common import checked, row_key
+from lexspan.llm.common import row_key
 
 # Kinds in their order, and the expressions of the rules.
 KINDS = ["email", "ip", "card", "phone"]
@@ -38,6 +38,8 @@ DOUBT = 1.0
 # What an instance that is no seed is worth at most, so that patterns do not confirm themselves.
 UNSEEN = 0.5
 PLACEHOLDER = "<{}>"
+# Spans, of some 30 bytes each, up to which they are broadcast to the texts they are cut from.
+SMALL_SPANS = 1_000_000
 
 SPAN = "struct<kind:int,start:int,end:int>"
 MENTIONS = "struct<context:string,shape:string,value:string,kind:int,start:int,end:int>"
@@ -207,7 +209,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named after the first.
     """
     found = written(find(docs).select("key", F.concat("spans", "new").alias("all")).where(F.size("all") > 0).dropDuplicates(["key"]), "redact")
-    marked = docs.withColumn("_pii_key", row_key()).join(checked(found.select(F.col("key").alias("_pii_key"), F.col("all").alias("_pii_spans")), 200_000), "_pii_key", "left")
+    found = found.select(F.col("key").alias("_pii_key"), F.col("all").alias("_pii_spans"))
+    # The side's size is its spans, of which a long text may have any number, not its rows.
+    n = found.agg(F.sum(F.size("_pii_spans")).alias("n")).first()["n"] or 0
+    marked = docs.withColumn("_pii_key", row_key()).join(F.broadcast(found) if n <= SMALL_SPANS else found, "_pii_key", "left")
     names = docs.columns
 
     def replaced(text: str, spans: list[dict]) -> str:
