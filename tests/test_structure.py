@@ -148,13 +148,13 @@ def test_annex_slices(spark):
 def test_completeness_and_lost_text(spark):
     docs = spark.createDataFrame(
         [("full", lines(*[f"{n}. Пункт {n}." for n in range(1, 6)], "Продолжение.", "2. Не по порядку.", "И его текст.")),
-         ("thin", lines("1. Один.", "а) буква")), ("note", lines("1. " + NOTE, "2. Два."))],
+         ("thin", lines("1. Один.", "а) буква")), ("note", lines("1. Один.", "1.1. " + NOTE, "2. Два."))],
         "doc string, text string",
     )
     clauses = structure.parse_clauses(docs)
     got = {r.doc: (r.top_level, r.complete) for r in structure.looks_complete(clauses).collect()}
-    assert got == {"full": (5, True), "thin": (1, False), "note": (2, False)}
+    assert got == {"full": (5, True), "thin": (1, False), "note": (3, False)}
     assert structure.lost_paragraphs(docs, clauses).count() == 0
-    cut = clauses.where("path != '5' AND path != '1.а' AND NOT (doc = 'note' AND path = '1')")
+    cut = clauses.where("path != '5' AND path != '1.а' AND NOT (doc = 'note' AND path = '1.1')")
     lost = sorted((r.doc, r.text) for r in structure.lost_paragraphs(docs, cut).collect())
     assert lost == [("full", "Продолжение."), ("full", "Пункт 5."), ("thin", "буква")]
