@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.functions.scale import written
+
 UNKNOWN = "und"
 # Hashed features of each order (one, two, three characters), a power of two.
 WIDTH = 1024
@@ -141,8 +143,10 @@ def fit(labelled: DataFrame, families: int | None = None) -> Model:
             found = [(lang, x.tobytes()) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (x := profile(text)) is not None]
             yield pa.RecordBatch.from_pydict({"lang": [a for a, _ in found], "x": [b for _, b in found]}, schema=pa.schema([("lang", pa.string()), ("x", pa.binary())]))
 
+    # All tasks profile at once; the driver then reads the stored sample, which is bounded, a few files at a time.
+    profiles = written(chosen.select("lang", "text").mapInArrow(run, "lang string, x binary"), "language")
     samples: dict[str, list] = {}
-    for r in chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").toLocalIterator():
+    for r in profiles.coalesce(4).toLocalIterator():
         kept = samples.setdefault(r["lang"], [])
         if len(kept) < each:
             kept.append(np.frombuffer(bytes(r["x"]), dtype=np.float32))
