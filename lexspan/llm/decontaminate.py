@@ -15,6 +15,8 @@ a window at the end of a text may be shorter than its item; equal rows are one d
 item the most similar counts, the earliest among equals; other columns are ignored; empty tables give no rows.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ BLOCKS = 7
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 BITS = 64
-# Bit counts of one window are summed in longs of four counters, 15 bits each.
-COUNTER = 15
+# Bit counts of one window are summed in longs of three counters, 21 bits each: items may have two million words.
+COUNTER = 21
+LANE = 3
 
 
 def words(text: Column) -> Column:
@@ -54,15 +57,14 @@ def shingle_hashes(text: Column) -> Column:
 
 def fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     """SimHash of the `hash` rows of each group: `print`, and the number of shingles `n`."""
-    lanes = BITS // 4
-    counted = {}
-    for lane in range(lanes):
-        bits = [F.shiftleft(F.shiftright("hash", 4 * lane + k).bitwiseAND(F.lit(1)), COUNTER * k) for k in range(4)]
-        counted[lane] = F.sum(bits[0] + bits[1] + bits[2] + bits[3]).alias(f"lane{lane}")
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *counted.values())
+    counted = []
+    for first in range(0, BITS, LANE):
+        bits = [F.shiftleft(F.shiftright("hash", first + k).bitwiseAND(F.lit(1)), COUNTER * k) for k in range(min(LANE, BITS - first))]
+        counted.append(F.sum(reduce(Column.__add__, bits)).alias(f"lane{first // LANE}"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *counted)
     value = F.lit(0).cast("long")
     for bit in range(BITS):
-        ones = F.shiftright(f"lane{bit // 4}", COUNTER * (bit % 4)).bitwiseAND(F.lit((1 << COUNTER) - 1))
+        ones = F.shiftright(f"lane{bit // LANE}", COUNTER * (bit % LANE)).bitwiseAND(F.lit((1 << COUNTER) - 1))
         value = value.bitwiseOR(F.when(ones * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return sums.select(*by, "n", value.alias("print"))
 

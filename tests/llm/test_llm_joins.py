@@ -207,6 +207,16 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
     assert table.where(meet == 0).count() == 0
 
 
+def test_fingerprints_count_many_shingles(spark):
+    """A window of more shingles than a short counter holds: every bit is decided by the majority."""
+    from pyspark.sql import functions as F
+
+    shares = [0, 0x5555555555555555, -1, -1]
+    rows = spark.range(80_000).select(F.lit(1).alias("w"), F.element_at(F.array(*[F.lit(x).cast("long") for x in shares]), (F.col("id") % 4 + 1).cast("int")).alias("hash"))
+    got = decontaminate.fingerprint(rows, ["w"]).first()
+    assert (got.n, got.print) == (80_000, 0x5555555555555555)
+
+
 # Tool calls.
 
 
