@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
-from lexspan.llm.common import row_key
+from lexspan.llm.common import free_name, row_key
 
 # Kinds in their order, and the expressions of the rules.
 KINDS = ["email", "ip", "card", "phone"]
@@ -209,11 +209,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named after the first.
     """
     found = written(find(docs).select("key", F.concat("spans", "new").alias("all")).where(F.size("all") > 0).dropDuplicates(["key"]), "redact")
-    found = found.select(F.col("key").alias("_pii_key"), F.col("all").alias("_pii_spans"))
+    names, key, cut = docs.columns, free_name(docs, "_pii_key"), free_name(docs, "_pii_spans")
+    found = found.select(F.col("key").alias(key), F.col("all").alias(cut))
     # The side's size is its spans, of which a long text may have any number, not its rows.
-    n = found.agg(F.sum(F.size("_pii_spans")).alias("n")).first()["n"] or 0
-    marked = docs.withColumn("_pii_key", row_key()).join(F.broadcast(found) if n <= SMALL_SPANS else found, "_pii_key", "left")
-    names = docs.columns
+    n = found.agg(F.sum(F.size(cut)).alias("n")).first()["n"] or 0
+    marked = docs.withColumn(key, row_key()).join(F.broadcast(found) if n <= SMALL_SPANS else found, key, "left")
 
     def replaced(text: str, spans: list[dict]) -> str:
         out, at = [], 0
@@ -226,7 +226,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in names]
-            spans = batch.column("_pii_spans")
+            spans = batch.column(cut)
             if spans.null_count < batch.num_rows:
                 where = names.index("text")
                 text = columns[where].to_pylist()
@@ -235,7 +235,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[where] = pa.array(text, columns[where].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = marked.select(*names, "_pii_spans").mapInArrow(run, docs.schema)
+    out = marked.select(*names, cut).mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*names)

@@ -245,6 +245,9 @@ def test_personal_data_redaction(docs, spark):
     assert {r.text for r in rows.where("doc_id <> 2").collect()} >= {ROWS[0][1], "", ROWS[-1][1]}
     assert all(r.n_chars == len(r.text) for r in rows.where("text is not null").collect())
     assert pii.find(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+    clashing = docs.withColumnsRenamed({"lang": "_pii_key", "source": "_PII_spans"})
+    again = pii.redact(clashing)
+    assert again.columns == clashing.columns and sorted(map(str, again.collect())) == sorted(map(str, rows.toDF(*clashing.columns).collect()))
 
 
 def test_op7_lists_spans(spark, given):
