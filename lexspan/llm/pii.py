@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 Rules with checks (address syntax, number ranges, the Luhn sum) find the seed entities of every text. Besides, every
-token that looks like an identifier is a mention with the words before it. A pattern is a kind, a context and a shape: which
-words stand before, which characters the token has. Spark builds the graph of patterns and instances and scores it in
+run of digits, with blanks, brackets, hyphens or dots inside, and every other token that looks like an identifier is a mention with
+the words before it. A pattern is a kind, a context and a shape: which words stand before, which characters the mention has,
+separators left out. Spark builds the graph of patterns and instances and scores it in
 rounds: a pattern is as good as the instances it finds, against a prior that asks for support; an instance is as good as its
 patterns together. Seeds stay at 1. Patterns above `CONFIDENT` that several different seeds support turn their other
 mentions into new spans of their kind.
@@ -30,6 +31,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # A token of at least five characters; it may be an identifier when it holds a digit or an at sign.
 MENTION = r"[^\s\"'<>|,;()]{5,}"
+# Digits that separators may part, as in cards and phones; a whole token at either end.
+RUN = r"(?<![^\s\"'<>|,;()])\+?(?:\([0-9]+\)[\x20-]{0,2})?[0-9]+(?:(?:\.|[\x20()-]{1,3})[0-9]+)*(?=[.!?:*&%$#]*(?:[\s\"'<>|,;()]|\Z))"
+# What a shape leaves out, and what besides where the value starts with a plus sign.
+SEPARATORS = "\x20()-"
+PLUS_SEPARATORS = SEPARATORS + "."
 ROUNDS = 4
 CONFIDENT = 0.8
 # Different seeds that a pattern needs, and the weight of the doubt that it starts with.
@@ -62,7 +68,8 @@ class Rules:
         self.domain = re.compile(EMAIL.partition("@")[2])
         self.local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
         self.ip, self.card, self.phone = (re.compile(x) for x in ("(?<![0-9])" + IP, CARD, PHONE))
-        self.digit, self.mention, self.word = re.compile("[0-9]"), re.compile(MENTION), re.compile(r"[^\W\d_]+")
+        self.digit, self.mention, self.word = re.compile("[0-9]"), re.compile(f"(?P<run>{RUN})|{MENTION}"), re.compile(r"[^\W\d_]+")
+        self.run = re.compile(RUN)
         self.symbols, self.identifier = re.compile(r"[^0-9]"), re.compile("[@0-9]")
 
     def emails(self, text: str) -> list[tuple[int, int, int]]:
@@ -96,11 +103,16 @@ class Rules:
         return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
     def mentions(self, text: str, spans) -> list[tuple]:
-        """Seeds and identifier-like tokens with the two words before them."""
+        """Seeds, runs of digits and identifier-like tokens with the two words before them."""
         if not spans and not self.digit.search(text) and "@" not in text:
             return []
         places = [(a, b, kind) for kind, a, b in spans]
-        taken = sorted((a, b) for a, b, _ in places)
+        taken = []
+        for a, b, _ in sorted(places):
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+            else:
+                taken.append((a, b))
         k = 0
         for m in self.mention.finditer(text):
             if not self.identifier.search(m[0]):
@@ -110,8 +122,15 @@ class Rules:
                 b -= 1
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if b - a >= 5 and not any(x < b and a < y for x, y in taken[k : k + 4]):
-                places.append((a, b, None))
+            if k == len(taken) or b <= taken[k][0]:
+                found = [(a, b)]
+            elif m["run"]:
+                # A rule's span inside a run leaves what stands before and after it.
+                inside = [t for t in taken[k : k + b - a] if t[0] < b]
+                found = [r.span() for x, y in zip([a, *(t[1] for t in inside)], [*(t[0] for t in inside), b], strict=True) if x < y for r in self.run.finditer(text, x, y)]
+            else:
+                found = []
+            places += [(x, y, None) for x, y in found if y - x >= 5]
         out = []
         for a, b, kind in places:
             before = self.word.findall(text, max(0, a - 60), a)[-2:]
@@ -122,9 +141,11 @@ class Rules:
 
 
 def shape(value: str) -> str:
-    """Kinds of characters, runs shortened: digits 9, letters a, others themselves."""
-    out = []
+    """Kinds of characters, runs shortened: digits 9, letters a, separators nothing, others themselves."""
+    out, left = [], PLUS_SEPARATORS if value.startswith("+") else SEPARATORS
     for c in value:
+        if c in left:
+            continue
         s = "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)
@@ -153,10 +174,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def graph(scanned: DataFrame) -> DataFrame:
-    """Mentions as (key, pattern, value, kind, start, end); a mention stands under its last word and its last two."""
+    """Mentions as (key, pattern, value, kind, start, end); a mention stands under its last word and its last two.
+
+    A run of digits also stands under a shape that tells no plus sign, so that numbers without one can follow those with one.
+    """
     rows = scanned.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
     one = F.element_at(F.split("context", " "), -1)
-    patterns = F.array_distinct(F.array(F.concat_ws("\t", one, "shape"), F.concat_ws("\t", "context", "shape")))
+    shapes = [F.col("shape"), F.when(F.col("shape").isin("9", "+9"), F.lit("?9")).otherwise(F.col("shape"))]
+    patterns = F.array_distinct(F.array(*[F.concat_ws("\t", c, s) for s in shapes for c in (one, F.col("context"))]))
     return rows.select("key", F.explode(patterns).alias("pattern"), F.xxhash64("value").alias("value"), "kind", "start", "end")
 
 

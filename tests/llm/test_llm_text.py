@@ -237,6 +237,24 @@ def test_personal_data_learns_patterns(spark):
     assert new == {18: [(2, "4111111111111112")]}
 
 
+def test_personal_data_learns_written_forms(spark):
+    """Phones and cards that the rules miss are found after trusted words, whatever separates their digits."""
+    phones = [f"please call +1 (234) 555-67{k} today" for k in range(10, 40)]
+    numbers = [n for n in map(str, range(4111111111111000, 4111111111111300)) if pii.luhn(n)]
+    cards = [f"customer card number {n[:4]} {n[4:8]} {n[8:12]} {n[12:]} was charged" for n in numbers]
+    unseen = {
+        "please call +49 (30) 12-34 today": (3, "+49 (30) 12-34"), "please call 030 1234-56 today": (3, "030 1234-56"), "please call (234) 555-6789.": (3, "(234) 555-6789"),
+        "customer card number 4111 1111 1111 1112 was charged": (2, "4111 1111 1111 1112"), "customer card number 10.0.0.1 4111-1111-1111-1112": None, "the total was 1234 5678 units": None,
+    }
+    texts = [*phones, *cards, *unseen]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    new = {texts[r.doc_id]: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.new] for r in found if r.new}
+    assert {t: x for t, x in new.items() if unseen.get(t)} == {t: [x] for t, x in unseen.items() if x}
+    assert "the total was 1234 5678 units" not in new and not set(new) & {*phones, *cards}
+    rules = pii.Rules()
+    assert [m[2] for m in rules.mentions(texts[-2], rules.spans(texts[-2]))] == ["10.0.0.1", "4111-1111-1111-1112"]
+
+
 def test_personal_data_redaction(docs, spark):
     rows = pii.redact(docs)
     assert rows.columns == docs.columns and rows.dtypes == docs.dtypes and rows.count() == len(ROWS)
