@@ -188,6 +188,45 @@ def test_context_mixing_learns_the_language(spark, given):
     assert -plain / np.log10(2) / sum(len(t.encode()) for _, t in held) < 4
 
 
+def brute_contexts(stream, at):
+    """Contexts of the seven predictors before the byte `at` of a coded text, and the place in the word."""
+    text = b"\0\0\0 " + stream
+    i = at + 4
+    begin = text.rindex(b" ", 0, i)
+    before = max(text.rfind(b" ", 0, begin), 0)
+    return [text[i - k : i] for k in range(5)] + [text[begin:i], text[before:i]], i - 1 - begin
+
+
+def test_context_mixing_counts_are_exact(spark):
+    """Scores under fixed weights against counts of whole contexts, across word ends, kept in a dictionary."""
+    texts = [(k, t) for k, t in enumerate(["", "a b a c", "a b a c", " Le chat  a vu le chateau ", "chat chateaux é 中文 a a a", "of a cat\nof a dog of"] * 3)]
+    streams = [b" ".join([*t.lower().encode().split(), b""]) + b" " for _, t in texts]
+    counts, going = Counter(), lambda byte, k: (256 | byte) >> (8 - k)
+    for (i, _), s in zip(texts, streams, strict=True):
+        for at, byte in enumerate(s) if not mixing.is_held_out(i) else ():
+            for order, context in enumerate(brute_contexts(s, at)[0]):
+                counts.update((order, context, going(byte, k)) for k in range(9))
+    mixer, wanted = mixing.Mixer(), []
+    for s in streams:
+        wanted.append(0)
+        for at, byte in enumerate(s):
+            contexts, place = brute_contexts(s, at)
+            pairs = [[(counts[o, c, going(byte, k + 1)], counts[o, c, going(byte, k)]) for k in range(8)] for o, c in enumerate(contexts)]
+            x = np.array([[mixing.log_odds(went, total - went) for went, total in p] for p in pairs], dtype=np.float32)
+            gate = mixing.gates(np.full(8, place), np.array([total for _, total in pairs[5]]))
+            wanted[-1] += mixer.cost(x, gate, np.array([byte >> (7 - k) & 1 for k in range(8)])).sum()
+    chunks = mixing.written(mixing.chunk_words(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), 3), "chunks")
+    table = mixing.written(mixing.edges(chunks), "edges")
+    sums = Counter()
+    for r in table.select("sums").collect():
+        sums.update({x.key: x.n for x in r.sums})
+    short = mixing.short_counts(*(np.array(x) for x in zip(*sums.items(), strict=True)))
+    mine = np.zeros(len(texts))
+    for r in mixing.text_costs(table, short, mixer).collect():
+        mine[np.array(r.postings) & (mixing.CHUNK_DOCS - 1)] += r.own
+    assert np.allclose(mine, wanted, rtol=1e-5)
+
+
 def test_a_decision_distribution_sums_to_one():
     """All continuations of one byte share the whole probability."""
     tables = np.zeros((mixing.ORDERS, 2, mixing.SLOTS), dtype=np.float32)
