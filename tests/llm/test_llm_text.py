@@ -227,6 +227,16 @@ def test_context_mixing_counts_are_exact(spark):
     assert np.allclose(mine, wanted, rtol=1e-5)
 
 
+def test_context_mixing_weights_fit_all_training_text(given):
+    table = mixing.written(mixing.edges(mixing.written(mixing.chunk_words(given, 2), "chunks")), "edges")
+    found = table.selectExpr("explode(sums) s").groupBy("s.key").agg({"s.n": "sum"}).toArrow()
+    short = mixing.short_counts(found.column(0).to_numpy(), found.column(1).to_numpy().astype(float))
+    before, after = (np.abs(mixing.summed(table, short, m, "slopes")[:, :, 0]).sum() for m in (mixing.Mixer(), mixing.fitted(table, short)))
+    assert after < 0.05 * before
+    trained = sum(len(b" ".join([*(r.text or "").lower().encode().split(), b""])) + 1 for r in given.collect() if not mixing.is_held_out(r.doc_id))
+    assert mixing.summed(table, short, mixing.Mixer(), "hits")[0].sum() == 8 * trained
+
+
 def test_a_decision_distribution_sums_to_one():
     """All continuations of one byte share the whole probability."""
     tables = np.zeros((mixing.ORDERS, 2, mixing.SLOTS), dtype=np.float32)
