@@ -237,6 +237,16 @@ def test_context_mixing_weights_fit_all_training_text(given):
     assert mixing.summed(table, short, mixing.Mixer(), "hits")[0].sum() == 8 * trained
 
 
+def test_context_mixing_reads_word_order(spark):
+    """The same words in another order cost more; bits and bytes go with the score."""
+    held = [i for i in range(200) if mixing.is_held_out(i)][:2]
+    texts = [(i, "the grey cat sat on the old mat") for i in range(40) if not mixing.is_held_out(i)] + [(held[0], "the grey cat sat on the old mat"), (held[1], "mat the on cat the old sat grey")]
+    rows = {r.doc_id: r for r in mixing.scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    plain, wild = (rows[i] for i in held)
+    assert plain.n_known == wild.n_known and plain.bits < 0.5 * wild.bits
+    assert np.isclose(plain.bits, -plain.score / np.log10(2)) and plain.bytes == wild.bytes == len("the grey cat sat on the old mat") + 2
+
+
 def test_a_decision_distribution_sums_to_one():
     """All continuations of one byte share the whole probability."""
     tables = np.zeros((mixing.ORDERS, 2, mixing.SLOTS), dtype=np.float32)
