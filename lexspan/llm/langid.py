@@ -170,12 +170,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` without those that are rejected, that is whose language is `und`: no text, or no letter in it."""
+    """`docs` without those that are rejected, that is whose language is `und`: no text, or no letter in it.
+
+    Without any learned language, only the letters count.
+    """
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
 
+    def keeps(text: str | None) -> bool:
+        model = shared.value
+        return model.predict(text)[0] != UNKNOWN if model.languages else profile(text or "") is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [shared.value.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
+            kept = [keeps(t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array(kept, pa.bool_())).select(names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -152,6 +152,11 @@ def test_language_id_edge_cases(docs, given):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_filter_without_languages_keeps_letters(docs):
+    nothing = langid.fit(docs.select("doc_id", "text", "lang").limit(0))
+    assert langid.filtered(docs, nothing).count() == len(ROWS) - 4
+
+
 def brute_base(rows):
     tokens = {}
     for k, (doc_id, text) in enumerate(rows):
