@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
-from lexspan.llm.common import WordHasher, checked, free_name, mix64, row_key, shingles, stored
+from lexspan.llm.common import WordHasher, checked, free_name, groups, mix64, row_key, shingles, stored
 
 SIMILARITY = 0.8
 COORDINATES = 64
@@ -137,30 +137,6 @@ class Forest:
         return [(self.nodes[k], self.nodes[self.root(k)]) for k in range(len(self.nodes)) if self.root(k) != k]
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], rest: list[str]):
-    """Rows of each group, as lists by column, of batches sorted by `keys`."""
-    now, held = None, [[] for _ in rest]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key_columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for column in key_columns:
-            change[1:] |= column[1:] != column[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        columns = [batch.column(c).to_pylist() for c in rest]
-        for a, b in zip(starts, starts[1:], strict=False):
-            key = tuple(c[a] for c in key_columns)
-            if key != now:
-                if now is not None:
-                    yield now, held
-                now, held = key, [[] for _ in rest]
-            for column, values in zip(held, columns, strict=True):
-                column.extend(values[a:b])
-    if now is not None:
-        yield now, held
-
-
 def sketch_edges(leaves: DataFrame) -> DataFrame:
     """Spanning forest, per bucket or block pair, of the pairs whose samples agree enough."""
 

@@ -1,6 +1,9 @@
 """Helpers of the text operators: stored tables, gapless ranks, checked joins, words and their hashes."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +143,27 @@ def chain(words):
         for w in words:
             total = total * np.uint64(_MULTIPLIER) + w
     return total
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], rest: list[str]):
+    """Rows of each group, as lists by column, of batches sorted by `keys`."""
+    now, held = None, [[] for _ in rest]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key_columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for column in key_columns:
+            change[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        columns = [batch.column(c).to_pylist() for c in rest]
+        for a, b in zip(starts, starts[1:], strict=False):
+            key = tuple(c[a] for c in key_columns)
+            if key != now:
+                if now is not None:
+                    yield now, held
+                now, held = key, [[] for _ in rest]
+            for column, values in zip(held, columns, strict=True):
+                column.extend(values[a:b])
+    if now is not None:
+        yield now, held

@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import chosenpath, decontaminate, forest, langid, licenses, mixing, packing, pii, rendezvous, toolcalls
+from lexspan.llm import (
+    chosenpath, collocations, decontaminate, forest, langid, licenses, mixing, packing, pii, prefixes, rendezvous, segments, toolcalls,
+)
 from lexspan.llm.common import small_batches
 
 SHARDS = 16
@@ -76,11 +78,24 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_license_scan, op3_language_id, op4_nearest_neighbours, op5_tool_calls,
         op6_context_mixing, op7_personal_data, op8_rendezvous_sharding, op9_decontamination, op10_chosen_path_join,
+        op11_prefix_trie, op12_sentencepiece, op13_collocations,
     )
 }
 
@@ -139,4 +154,54 @@ SELECT call_id, status, n_results, depth, errors,
 FROM joined
 """
 
-ORACLES = {"op5_tool_calls": TOOL_CALLS, "op9_decontamination": LEAKS, "op10_chosen_path_join": LINKS}
+# The whole trie by lists: the checksum of a decimal number bit by bit, then every prefix of every rebuilt conversation.
+PREFIXES = """
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+sums AS (
+  SELECT c, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 9 AS h
+  FROM own),
+built AS (
+  SELECT s.c, coalesce(b.turns[1 : s.h], []) || s.turns[s.h + 1 :] AS turns FROM sums s LEFT JOIN own b ON b.c = s.c - s.c % 5),
+member AS (SELECT c, turns[1 : d] AS path, d, len(turns) AS total FROM built, range(0, len(turns) + 1) r(d)),
+node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = total), '') AS ends
+  FROM member GROUP BY path, d),
+kids AS (SELECT path[1 : d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.path[d].t) END AS own
+  FROM node n LEFT JOIN kids k ON k.path = n.path),
+sub AS (
+  SELECT f.path[1 : up] AS path, sum(own) AS saved, sum((n_children = 0)::INT) AS leaves FROM full_ f, range(0, f.d + 1) r(up) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sub s ON s.path = f.path LEFT JOIN full_ p ON f.d > 0 AND p.path = f.path[1 : f.d - 1]
+"""
+
+PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM listed, range(1, 6) s(size), range(1, len(w) - size + 2) r(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE size = 1 GROUP BY 1),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 100),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS over_ FROM cand, range(2, size) s(k), range(1, size - k + 2) r(i) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE over_ IS NULL OR 100 * over_ < 100 * a),
+cuts AS (
+  SELECT c.lang, c.phrase, a, n, k, l.f AS l, r.f AS r, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM kept c, range(1, size) s(k), grams l, grams r, totals t
+  WHERE l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 :], ' ') AND t.lang = c.lang),
+best AS (SELECT lang, phrase, a, n::BIGINT AS n, arg_min(struct_pack(l := l, r := r, score := score), (score, k)) AS cut FROM cuts GROUP BY ALL),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score::BIGINT AS score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op11_prefix_trie": PREFIXES, "op13_collocations": PHRASES, "op5_tool_calls": TOOL_CALLS, "op9_decontamination": LEAKS, "op10_chosen_path_join": LINKS}
