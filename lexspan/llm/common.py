@@ -1,5 +1,6 @@
 """Helpers of the text operators: stored tables, gapless ranks, checked joins, words and their hashes."""
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.scale import written
+from lexspan.functions.scale import scratch_dir, written
 
 # Rows up to which one side of a join may be broadcast; each row is a few dozen bytes.
 SMALL_ROWS = 1_000_000
@@ -36,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df.withColumn("_mid", F.monotonically_increasing_id()), name)
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int, partition: str) -> DataFrame:
+    """`df` as a table in the shared folder, split by the values of `partition` and bucketed by `by`.
+
+    A join on `by` leaves the table where it is, and only the other side is shuffled.
+    """
+    spark, table = df.sparkSession, f"lexspan_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{scratch_dir(spark)}/{table}").option("compression", "zstd")
+    writer.partitionBy(partition).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    return spark.table(table)
+
+
 def gapless(table: DataFrame, groups: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps; `table` comes from `stored`.
 

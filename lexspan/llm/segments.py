@@ -9,7 +9,8 @@ and what follows them up to the next marker) that are segmented independently of
 2. `answered`: a part receives the lists of all blocks, segments each distinct chunk once, and answers every list.
 3. `encode`: a block meets its answers again, and the ids of each place are read off by the chunk's number.
 
-So a chunk is shuffled once per block it occurs in and once back, not once per place, and a place costs one or two bytes.
+So a chunk is shuffled once per block it occurs in and once back, not once per place. Blocks are stored in buckets by their
+name and stay there, and a place costs one or two bytes.
 
 Defined results: a null text is an empty one, whose ids are the end id alone and which decodes to the empty text; repeated
 rows are encoded as often as they come; a null doc_id is kept; other columns are ignored; an empty table gives no rows.
@@ -31,8 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.functions.scale import written
-from lexspan.llm.common import groups
+from lexspan.llm.common import bucketed
 
 # Bytes of text in a block (a longer text is a block of its own), and ids that one task returns at a time.
 BLOCK = 1 << 25
@@ -163,44 +163,45 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
-        for _, (part, doc_ids, places, size, data) in groups(batches, ["block"], ["part", "doc_ids", "places", "size", "data"]):
-            head = part.index(-1)
-            # Per chunk number: where its ids start among all ids of the block, and how many there are; the last is the end.
-            last = max([0, *(n * parts for n in size if n)])
-            first, length, flat, filled = np.zeros(last + 1, dtype=np.int64), np.zeros(last + 1, dtype=np.int64), [], 0
-            for p, n, answer in zip(part, size, data, strict=True):
-                if p >= 0:
-                    values = unpacked(answer)
-                    lengths = values[:n].astype(np.int64)
-                    numbers = np.arange(n) * parts + p
-                    first[numbers], length[numbers] = filled + np.cumsum(lengths) - lengths, lengths
-                    flat.append(values[n:])
-                    filled += len(values) - n
-            first[last], length[last] = filled, 1
-            flat = np.concatenate([*flat, np.array([library.eos_id()], dtype="<u4")]).view(np.int32)
-            codes, at, doc = unpacked(data[head]).astype(np.int64), 0, 0
-            while doc < len(doc_ids[head]):
-                # Documents are taken together until they hold enough places.
-                upto, end = doc, at
-                while upto < len(doc_ids[head]) and (upto == doc or end - at < RETURNED):
-                    end, upto = end + places[head][upto], upto + 1
-                ends = np.cumsum(places[head][doc:upto])
-                here = np.insert(codes[at:end], ends, last)
-                lengths = length[here]
-                total = np.cumsum(lengths)
-                ids = flat[np.repeat(first[here] - total + lengths, lengths) + np.arange(total[-1])]
-                bounds = np.concatenate([[0], total[ends + np.arange(upto - doc)]]).astype(np.int32)
-                columns = [pa.array(doc_ids[head][doc:upto], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))]
-                if decoded:
-                    columns.append(pa.array([library.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                doc, at = upto, end
-
-    blocks = written(chunked(docs, parts), "chunks")
-    answers = answered(blocks.where("part >= 0"), proto)
-    heads = blocks.where("part < 0").withColumn("size", F.lit(None).cast("long"))
-    rows = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(run, schema)
+        for batch in batches:
+            for doc_ids, places, data, answers in zip(*(batch.column(c) for c in ("doc_ids", "places", "data", "answers")), strict=True):
+                yield from read_off(library, doc_ids.as_py(), places.as_py(), data.as_py(), answers.as_py() or [])
+
+    def read_off(library, doc_ids: list, places: list, data: bytes, answers: list) -> Iterator[pa.RecordBatch]:
+        # Per chunk number: where its ids start among all ids of the block, and how many there are; the last is the end.
+        last = max([0, *(x["size"] * parts for x in answers)])
+        first, length, flat, filled = np.zeros(last + 1, dtype=np.int64), np.zeros(last + 1, dtype=np.int64), [], 0
+        for x in answers:
+            values, n = unpacked(x["data"]), x["size"]
+            lengths = values[:n].astype(np.int64)
+            numbers = np.arange(n) * parts + x["part"]
+            first[numbers], length[numbers] = filled + np.cumsum(lengths) - lengths, lengths
+            flat.append(values[n:])
+            filled += len(values) - n
+        first[last], length[last] = filled, 1
+        flat = np.concatenate([*flat, np.array([library.eos_id()], dtype="<u4")]).view(np.int32)
+        codes, at, doc = unpacked(data).astype(np.int64), 0, 0
+        while doc < len(doc_ids):
+            # Documents are taken together until they hold enough places.
+            upto, end = doc, at
+            while upto < len(doc_ids) and (upto == doc or end - at < RETURNED):
+                end, upto = end + places[upto], upto + 1
+            ends = np.cumsum(places[doc:upto])
+            here = np.insert(codes[at:end], ends, last)
+            lengths = length[here]
+            total = np.cumsum(lengths)
+            ids = flat[np.repeat(first[here] - total + lengths, lengths) + np.arange(total[-1])]
+            bounds = np.concatenate([[0], total[ends + np.arange(upto - doc)]]).astype(np.int32)
+            columns = [pa.array(doc_ids[doc:upto], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))]
+            if decoded:
+                columns.append(pa.array([library.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            doc, at = upto, end
+
+    blocks = bucketed(chunked(docs, parts).withColumn("head", F.col("part") < 0), "chunks", "block", parts, "head")
+    answers = answered(blocks.where("not head"), proto).groupBy("block").agg(F.collect_list(F.struct("part", "size", "data")).alias("answers"))
+    rows = blocks.where("head").select("block", "doc_ids", "places", "data").join(answers, "block", "left")
+    return rows.select("doc_ids", "places", "data", "answers").mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
