@@ -183,7 +183,7 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(*r, 1, "x", 5) for r in rows], "doc_id long, text string, lang string, a long, phrase string, n long")
 
 
-@pytest.mark.parametrize("limits", [{}, {"ENTRIES": 50, "WORDS": 30, "FINER": 1}])
+@pytest.mark.parametrize("limits", [{}, {"ENTRIES": 50, "WORDS": 30, "FINER": 1, "READ": 20, "BURST": 3}])
 def test_collocations_agree_with_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(collocations, name, value)
@@ -202,12 +202,11 @@ def test_trie_bursts_and_gives_up_whole_subtrees():
     for burst, levels in ((4096, 2), (3, 1), (3, 2), (2, 4)):
         trie, counts = collocations.HatTrie(burst, levels), Counter()
         for _ in range(3000):
-            phrase = tuple(draw.randint(0, 4) for _ in range(draw.randint(2, 5)))
+            phrase = tuple(draw.randint(0, 4) for _ in range(draw.randint(3, 5)))
             trie.add(phrase)
             counts[phrase] += 1
         assert trie.size == len(counts)
-        out = trie.cut(trie.size // 2)
-        left = trie.cut(0)
+        out, left = ([e for first, node in trie.cut(keep) for e in trie.entries(node, (first,))] for keep in (trie.size // 2, 0))
         assert not {p[0] for p, _ in out} & {p[0] for p, _ in left} and trie.size == 0
         assert Counter(dict(out + left)) == counts
 
@@ -216,5 +215,5 @@ def test_hot_prefixes_are_dealt_by_the_whole_phrase(spark):
     table = spark.createDataFrame([("en", "of", 900), ("en", "a", 90), ("en", "", 1000)], "lang string, phrase string, f long")
     hot = collocations.salts(table, 1000, 10)
     assert hot == {b"en\0of": 9}
-    runs = collocations.sorted_runs([(b"en", b"of", b"of %d" % k, 1) for k in range(500)] + [(b"en", b"a", b"a %d" % k, 1) for k in range(500)], 10, hot)
-    assert len(set(runs.column("part").to_pylist())) >= 9 and runs.num_rows <= 10
+    of, a = (collocations.part_of(b"en", word, 10, hot) for word in (b"of", b"a"))
+    assert len({of(b"of %d" % k) for k in range(500)}) == 9 and len({a(b"a %d" % k) for k in range(500)}) == 1
