@@ -1,12 +1,15 @@
 """Full-text search with BM25 for many queries at once.
 
 The index is a set of plain tables. `postings` has one row per (clause, term) and carries the
-clause's length and validity, so scoring needs one join with the query terms and nothing else.
+clause's length and validity, so a query term meets everything it needs in one join. `lookup` holds the same
+rows by clause, for completing the scores of candidates. A saved index is bucketed by those keys, so neither
+table is shuffled again by any query.
 """
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan import texts
@@ -16,14 +19,22 @@ from lexspan.operators import temporal
 
 # Clause columns that travel with every posting.
 _CARRIED = ["clause_id", "standard_id", "valid_from", "valid_to"]
+# The `era` of clauses that nothing has replaced yet; others have the year in which they were replaced.
+OPEN_ERA = 9999
+# Parts that standards are dealt over, so that a restricted search reads only those of its standards.
+SHARDS = 4
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(clause_id, standard_id, valid_from, valid_to, term, tf, dl), term_df(term, df),
-    stats(n, avgdl): one row."""
+    """postings(term, salt, era, shard, clause_id, standard_id, valid_from, valid_to, tf, dl),
+    lookup(clause_id, term, tf, dl), term_df(term, df, salts), stats(n, avgdl): one row.
+
+    A term whose postings are more than one bucket's share is dealt over `salts` buckets by clause.
+    """
 
     postings: DataFrame
+    lookup: DataFrame
     term_df: DataFrame
     stats: DataFrame
 
@@ -58,14 +69,10 @@ def with_validity(clauses: DataFrame, editions: DataFrame) -> DataFrame:
     )
 
 
-def build_index(
-    clauses: DataFrame, lemmas: DataFrame | None = None, vocabulary: DataFrame | None = None
-) -> Index:
-    """clauses(clause_id, standard_id, valid_from, valid_to, heading, text) -> Index.
+def build_index(clauses: DataFrame, lemmas: DataFrame | None = None, buckets: int = 1) -> Index:
+    """clauses(clause_id, standard_id, valid_from, valid_to, heading, text) -> Index, derived anew by every reader.
 
-    Tokens are counted per (clause, term) before the shuffle. With a `vocabulary`(term) only those
-    terms become postings, all others are folded into one row per clause that keeps its length;
-    the postings are then written once and everything else is read from them.
+    `save_index` writes it for the many queries that a corpus answers.
     """
     texted = clauses.withColumn("_text", index_text(F.col("heading"), F.col("text")))
     carried = [*_CARRIED]
@@ -77,23 +84,80 @@ def build_index(
         carried.append("dl")
     else:
         found = terms(texted, "_text", carried, lemmas)
-    if vocabulary is not None:
-        known = vocabulary.select("term").distinct().withColumn("_known", F.lit(True))
-        found = keyed_join(found, known, ["term"]).withColumn(
-            "term", F.when(F.col("_known"), F.col("term"))
-        )
-    sized = found.groupBy(*carried, "term").agg(F.count("*").alias("tf"))
+    counted = found.groupBy(*carried, "term").agg(F.count("*").alias("tf"))
     if lemmas is not None:
-        sized = sized.withColumn("dl", F.sum("tf").over(Window.partitionBy("clause_id")))
-    postings = written(sized, "postings")
+        counted = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("clause_id")))
     n = clauses.agg(F.count("*")).scalar()
-    stats = postings.agg(F.sum("tf").alias("total")).select(
-        n.alias("n"), (F.col("total") / n).alias("avgdl")
-    )
-    postings = postings.where("term IS NOT NULL")
-    return Index(
-        postings, postings.groupBy("term").agg(F.count("*").alias("df")), written(stats, "index-stats")
+    stats = counted.agg(F.sum("tf").alias("total")).select(n.alias("n"), (F.col("total") / n).alias("avgdl"))
+    share = F.greatest(F.lit(1), F.floor(counted.agg(F.count("*")).scalar() / buckets)) if buckets > 1 else F.lit(None)
+    salts = F.coalesce(F.ceil(F.col("df") / share), F.lit(1)).cast("int")
+    term_df = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("salts", salts)
+    placed = counted.withColumn("salt", F.lit(0))
+    if buckets > 1:
+        # Terms of more than one bucket's share: never more than there are buckets.
+        hot = F.broadcast(term_df.where("salts > 1").select("term", "salts"))
+        salt = F.coalesce(F.pmod(F.xxhash64("clause_id"), "salts"), F.lit(0)).cast("int")
+        placed = counted.join(hot, "term", "left").withColumn("salt", salt)
+    postings = placed.select(
+        "term", "salt", "clause_id", "standard_id", "valid_from", "valid_to", "tf", "dl",
+        F.coalesce(F.year("valid_to"), F.lit(OPEN_ERA)).alias("era"), _shard(F.col("standard_id")).alias("shard"),
     )
+    return Index(postings, counted.select("clause_id", "term", "tf", "dl"), term_df, stats)
+
+
+def _shard(standard_id: Column) -> Column:
+    return F.pmod(F.xxhash64(standard_id), F.lit(SHARDS)).cast("int")
+
+
+# What the tables of a saved index are bucketed and partitioned by.
+_LAYOUT = {
+    "postings": (["term", "salt"], ["era", "shard"]),
+    "lookup": (["clause_id", "term"], []),
+    "term_df": (["term"], []),
+    "stats": ([], []),
+}
+
+
+def save_index(
+    clauses: DataFrame, path: str, lemmas: DataFrame | None = None, buckets: int | None = None
+) -> None:
+    """Write the index of `clauses` to a folder that does not exist yet, one task and file set per bucket."""
+    spark = clauses.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("errorifexists").parquet(f"{path}/layout")
+    built = build_index(clauses, lemmas, buckets)
+    for name, (by, partitions) in _LAYOUT.items():
+        rows = getattr(built, name)
+        if by:
+            rows = rows.repartition(buckets, *by).sortWithinPartitions(*partitions, *by)
+        writer = rows.write.format("parquet").option("path", f"{path}/{name}")
+        if by:
+            writer = writer.bucketBy(buckets, *by).sortBy(*by)
+        if partitions:
+            writer = writer.partitionBy(*partitions)
+        writer.saveAsTable(_table_name(path, name))
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"lexspan_{hashlib.md5(path.encode()).hexdigest()}_{name}"
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A saved index; its tables are declared in this session's catalogue where they are not known yet."""
+    found = {}
+    for name, (by, partitions) in _LAYOUT.items():
+        table = _table_name(path, name)
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"{c} {t}" for c, t in spark.read.parquet(f"{path}/{name}").dtypes)
+            layout = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+            if by:
+                buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+                layout += f" CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(by)}) INTO {buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{layout} LOCATION '{path}/{name}'")
+            if partitions:
+                spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        found[name] = spark.table(table)
+    return Index(**found)
 
 
 def query_terms(queries: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
@@ -121,25 +185,13 @@ def _part(avgdl: Column) -> Column:
     return F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
 
 
-_IN_FORCE = "valid_from IS NULL OR (valid_from <= on_date AND (valid_to IS NULL OR on_date < valid_to))"
-_WANTED = "size(standard_ids) = 0 OR standard_ids IS NULL OR array_contains(standard_ids, standard_id)"
-
-
-def _summed(parts: DataFrame) -> DataFrame:
-    """(query_id, clause_id, standard_id, n_terms, score, matched) over per-term contributions."""
-    return parts.groupBy("query_id", "clause_id", "standard_id", "n_terms").agg(
-        F.sum("part").alias("score"), F.count("*").alias("matched")
-    )
-
-
 _KEYS = ["query_id", "clause_id", "standard_id", "n_terms"]
 
 
-def _matches(index: Index, asked: DataFrame) -> DataFrame:
-    """Postings of the query terms with the term's contribution; a common term is spread."""
-    avgdl = index.stats.select("avgdl").scalar()
-    rows = keyed_join(index.postings, asked, ["term"], "inner")
-    return rows.withColumn("part", _part(avgdl))
+def _summed(parts: DataFrame, index: Index) -> DataFrame:
+    """(query_id, clause_id, standard_id, n_terms, score, matched) over matching terms with their weight."""
+    scored = parts.withColumn("part", _part(index.stats.select("avgdl").scalar()))
+    return scored.groupBy(*_KEYS).agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
 
 
 def bm25(queries: DataFrame, index: Index, lemmas: DataFrame | None = None) -> DataFrame:
@@ -149,24 +201,45 @@ def bm25(queries: DataFrame, index: Index, lemmas: DataFrame | None = None) -> D
     without building it.
     """
     asked = weighted(query_terms(queries, lemmas), index)
-    scored = _summed(_matches(index, asked).select(*_KEYS, "part"))
-    return scored.select("query_id", "clause_id", "score", "matched", "n_terms")
+    parts = index.lookup.join(asked, "term").withColumn("standard_id", F.lit(None))
+    return _summed(parts, index).select("query_id", "clause_id", "score", "matched", "n_terms")
+
+
+_IN_FORCE = "valid_from IS NULL OR (valid_from <= on_date AND (valid_to IS NULL OR on_date < valid_to))"
+_WANTED = "size(standard_ids) = 0 OR standard_ids IS NULL OR array_contains(standard_ids, standard_id)"
+
+
+def _readable(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings that some query can hit; whole eras and shards are left unread.
+
+    A clause replaced in a year is in force on no later year's days. If every query is restricted, only the
+    shards of the named standards count.
+    """
+    first = asked.agg(F.min(F.year("on_date"))).scalar()
+    free = asked.agg(F.max(F.coalesce(F.size("standard_ids") <= 0, F.lit(True)))).scalar()
+    named = asked.select(F.explode("standard_ids").alias("id")).agg(F.collect_set(_shard(F.col("id")))).scalar()
+    return index.postings.where(F.col("era") >= first).where(free | F.array_contains(named, F.col("shard")))
+
 
+def candidates(index: Index, leading: DataFrame, restrictions: DataFrame) -> DataFrame:
+    """(query_id, clause_id, standard_id): clauses in force and wanted that hold a leading term of a query.
 
-def _complete(index: Index, leading: DataFrame, other: DataFrame) -> DataFrame:
+    restrictions(query_id, on_date, standard_ids): all queries. Date and standards are tested inside the join.
+    """
+    salted = leading.select("query_id", "term", "on_date", "standard_ids", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = _readable(index, restrictions).join(salted, ["term", "salt"]).where(_IN_FORCE).where(_WANTED)
+    return rows.select("query_id", "clause_id", "standard_id").distinct()
+
+
+def _complete(index: Index, leading: DataFrame, asked: DataFrame, restrictions: DataFrame) -> DataFrame:
     """Full scores of the clauses in force that hold a leading term of a query.
 
-    Only leading terms generate candidates; the other terms are looked up for those candidates.
+    Only leading terms generate candidates; all of the query's terms are looked up for those candidates.
     """
-    found = _matches(index, leading).where(_IN_FORCE).where(_WANTED).select(*_KEYS, "part")
-    candidates = found.select(*_KEYS).distinct()
-    checks = keyed_join(
-        candidates, other.select("query_id", "term", "weight"), ["query_id"], "inner"
-    )
-    avgdl = index.stats.select("avgdl").scalar()
-    # Postings are unique per (clause, term), so a check finds at most one.
-    held = checks.join(index.postings.select("clause_id", "term", "tf", "dl"), ["clause_id", "term"])
-    return _summed(found.unionByName(held.withColumn("part", _part(avgdl)).select(*_KEYS, "part")))
+    words = asked.select("query_id", "n_terms", "term", "weight")
+    checks = keyed_join(candidates(index, leading, restrictions), words, ["query_id"], "inner")
+    # A lookup is unique per (clause, term), so a check finds at most one.
+    return _summed(checks.join(index.lookup, ["clause_id", "term"]), index)
 
 
 def search(
@@ -184,31 +257,28 @@ def search(
     3. Terms that even together cannot lift a clause to that floor are dropped as sources of
        candidates (their contribution is still counted). Without a floor every term stays one.
     """
-    asked = weighted(query_terms(queries, lemmas), index)
-    limits = queries.select("query_id", "on_date", "standard_ids", F.least("k", F.lit(texts.MAX_HITS)).alias("k"))
-    asked = asked.join(limits.where("k >= 1"), "query_id")
+    limits = queries.select("query_id", "on_date", "standard_ids", F.least("k", F.lit(texts.MAX_HITS)).alias("k")).where("k >= 1")
+    asked = weighted(query_terms(queries, lemmas), index).join(limits, "query_id")
     by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
     earlier = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
-    known = asked.where("df > 0")
-    known = known.withColumn("_at", F.row_number().over(by_rarity)).withColumn(
-        "_covered", F.coalesce(F.sum("df").over(earlier), F.lit(0))
-    )
-    known = written(known, "query-terms")
-
-    full_only = _complete(index, known.where("_at = 1"), known.where("_at > 1"))
-    strict = written(_top(full_only.where("matched = n_terms"), known), "strict-hits")
+    lightest = Window.partitionBy("query_id").orderBy("weight", "term")
+    bound = F.col("weight") * (texts.BM25_K1 + 1)
+    known = asked.where("df > 0").withColumns({
+        "_at": F.row_number().over(by_rarity),
+        "_covered": F.coalesce(F.sum("df").over(earlier), F.lit(0)),
+        "_reach": F.sum(bound).over(lightest.rowsBetween(Window.unboundedPreceding, 0)),
+    })
 
+    # Three small results cut the plan: each is read by several of the steps that follow.
+    known = written(known, "query-terms")
+    strict = written(_top(_complete(index, known.where("_at = 1"), known, limits).where("matched = n_terms"), known), "strict-hits")
     open_terms = known.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    seeds = F.col("_covered") < _ENOUGH * F.col("k")
-    tried = written(_top(_complete(index, open_terms.where(seeds), open_terms.where(~seeds)), open_terms), "tried-hits")
+    seeds = open_terms.where(F.col("_covered") < _ENOUGH * F.col("k"))
+    tried = written(_top(_complete(index, seeds, open_terms, limits), open_terms), "tried-hits")
     floors = tried.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("got"))
-    bound = F.col("weight") * (texts.BM25_K1 + 1)
-    lightest = Window.partitionBy("query_id").orderBy("weight", "term")
-    reach = F.sum(bound).over(lightest.rowsBetween(Window.unboundedPreceding, 0))
-    judged = open_terms.join(floors, "query_id", "left").withColumn(
-        "_idle", F.coalesce((F.col("got") >= F.col("k")) & (reach < F.col("floor") - _MARGIN), F.lit(False))
-    )
-    loose = _top(_complete(index, judged.where(~F.col("_idle")), judged.where("_idle")), open_terms)
+    judged = open_terms.join(floors, "query_id", "left")
+    idle = F.coalesce((F.col("got") >= F.col("k")) & (F.col("_reach") < F.col("floor") - _MARGIN), F.lit(False))
+    loose = _top(_complete(index, judged.where(~idle), open_terms, limits), open_terms)
     return strict.unionByName(loose)
 
 
@@ -296,3 +366,20 @@ def misses(judged: DataFrame) -> DataFrame:
 def unexpectedly_passing(judged: DataFrame) -> DataFrame:
     """Queries marked as out of reach that hit all the same."""
     return judged.where(F.col("lexical_limitation") & F.col("hit"))
+
+
+def relevance_gate(judged: DataFrame, least: float = texts.LEAST_HIT_RATE) -> DataFrame:
+    """(expect_group, queries, hits, misses, rate, overall, passed): per group of the unmarked queries.
+
+    `passed` holds for the whole evaluation: the rate over all unmarked queries reaches `least`, and no query
+    marked as out of reach hits. The groups with misses are what a failed gate names.
+    """
+    one = F.when(F.col("hit"), 1).otherwise(0)
+    scored = judged.where(~F.col("lexical_limitation"))
+    overall = scored.agg(F.avg(one)).scalar()
+    surprising = unexpectedly_passing(judged).agg(F.count("*")).scalar()
+    grouped = scored.groupBy("expect_group").agg(F.count("*").alias("queries"), F.sum(one).alias("hits"), F.avg(one).alias("rate"))
+    return grouped.select(
+        "expect_group", "queries", "hits", (F.col("queries") - F.col("hits")).alias("misses"), "rate", overall.alias("overall"),
+        ((overall >= least) & (surprising == 0)).alias("passed"),
+    )

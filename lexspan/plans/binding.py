@@ -5,6 +5,7 @@ mapping rows, part is the object catalogue, documents are external links and tex
 document pages. `SQL` says the same as common table expressions.
 """
 
+import uuid
 from datetime import date
 from functools import cached_property
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import texts
-from lexspan.functions.scale import written
+from lexspan.functions.scale import scratch_dir, written
+from lexspan.operators import search
 
 DATES = [date(1996, 3, 15), date(1998, 7, 1), date(2001, 12, 31)]
 BUILT_AT = date(1999, 6, 30)
@@ -27,6 +29,10 @@ def _tag(prefix: str, c) -> Column:
     return F.concat(F.lit(prefix), _str(c))
 
 
+# Saved search indexes by application, folder and name.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
 class Binding:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -41,6 +47,14 @@ class Binding:
             self._stored[name] = written(getattr(self, name), name)
         return self._stored[name]
 
+    def index(self, name: str, clauses, lemmas: DataFrame | None = None) -> search.Index:
+        """The search index of one corpus, saved once per session for all queries that read it."""
+        path = _SAVED.get(key := (self.spark.sparkContext.applicationId, self.dir, name))
+        if path is None:
+            path = _SAVED[key] = f"{scratch_dir(self.spark)}/index-{name}-{uuid.uuid4().hex}"
+            search.save_index(clauses(), path, lemmas)
+        return search.open_index(self.spark, path)
+
     @cached_property
     def orders(self) -> DataFrame:
         return self.read("orders").withColumn("day", F.to_date("o_orderdate"))

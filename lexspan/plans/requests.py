@@ -89,8 +89,8 @@ class Corpus:
     def search_clauses(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """queries(query_id, query, on_date, standard_ids, k) -> (hits, messages)."""
         if self.index is None:
-            raise ValueError("this corpus has no search index: build one with search.build_index")
-        hits = written(search.search(queries, self.index, self.lemmas), "hits")
+            raise ValueError("this corpus has no search index: save one with search.save_index")
+        hits = search.search(queries, self.index, self.lemmas)
         shown = search.present(hits, queries, self.clause, self.standard)
         return shown, search.search_messages(queries, hits)
 
@@ -155,6 +155,5 @@ def load(spark, root: str, lemmas: DataFrame | None = None) -> Corpus:
     """The newest published build under `root` and its build date, with its index when one was published."""
     build = publish.latest(spark, root)
     names = ["standard", "edition", "clause", "mapping", "config_object", "link", "standard_relation"]
-    parts = ["postings", "term_df", "index_stats"]
-    index = search.Index(*[build.table(spark, n) for n in parts]) if set(parts) <= set(build.tables) else None
+    index = search.open_index(spark, f"{build.path}/index") if "index" in build.tables else None
     return Corpus(**{n: build.table(spark, n) for n in names}, built_at=build.built_at, index=index, lemmas=lemmas)

@@ -1,8 +1,12 @@
 """Publishing a corpus as a whole, its fingerprints, snapshot comparison and reports."""
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ _DEPTH = 5
 
 
 class PublishError(Exception):
-    """The build broke a check; what was published before is untouched."""
+    """The build broke a check or its id is taken; what was published before is untouched."""
 
 
 @dataclass(frozen=True)
@@ -29,43 +33,91 @@ class Build:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
+def _files(spark: SparkSession, path: str):
+    """A path and its file system, as Spark reaches them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there already. Of two that try at once, one creates it."""
+    place, files = _files(spark, path)
+    files.mkdirs(place.getParent())
+    try:
+        if files.getScheme() == "file":
+            # The local file system's own test and creation are two steps.
+            local = spark._jvm.java.nio.file.Paths.get(place.toUri().getPath(), spark._gateway.new_array(spark._jvm.java.lang.String, 0))
+            attributes = spark._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
+            spark._jvm.java.nio.file.Files.createFile(local, attributes)
+        else:
+            files.create(place, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _numbers(spark: SparkSession, root: str, ending: str) -> list[int]:
+    place, files = _files(spark, f"{root}/{_MANIFEST}")
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    return sorted(int(n.removesuffix(ending)) for n in names if n.endswith(ending) and n.removesuffix(ending).isdigit())
+
+
 def publish(
-    spark: SparkSession, tables: dict[str, DataFrame], root: str, build_id: str, built_at: date, checks
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, build_id: str, built_at: date, checks,
+    derived: dict[str, Callable] | None = None,
 ) -> Build:
-    """Write all tables under their own build folder, check what was written, then announce it.
+    """Write all tables under a folder of this attempt, check what was written, then announce it.
 
-    `checks(tables)` returns violations(check, offender, detail). Readers only follow the
-    manifest, and its row is appended last: a build that fails on the way is never seen, and the
-    folder it has begun is removed, so that it can be tried again under the same id.
+    `derived` maps a name to a function of (stored tables, folder) that writes what is made from them, as a search
+    index, and returns tables for the checks. `checks(tables)` returns violations(check, offender, detail).
+
+    Readers only follow the manifest. Its entries are numbered files, and a build's id and number are claimed by creating
+    a file that must not exist: of two builds under one id only one is announced, and no two share a number. An attempt
+    that fails on the way, or comes second, is never seen, and its folder is removed. An id claimed by a build
+    that was lost before its entry was written stays taken.
     """
-    path, names = f"{root}/build_id={build_id}", sorted(tables)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(folder):
-        raise PublishError(f"{path} exists")
+    if _files(spark, root)[1].exists(_files(spark, f"{root}/{_MANIFEST}/ids/{build_id}")[0]):
+        raise PublishError(f"build {build_id} exists")
+    path, names = f"{root}/builds/{build_id}-{uuid.uuid4().hex}", sorted([*tables, *(derived or {})])
+    folder, files = _files(spark, path)
     try:
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{path}/{name}")
         stored = {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
+        for name, write in (derived or {}).items():
+            stored.update(write(stored, f"{path}/{name}") or {})
         broken = checks(stored).limit(texts.PREVIEW_OFFENDERS).collect()
         if broken:
             raise PublishError("; ".join(f"{r['check']}: {r['offender']}" for r in broken))
+        if not _claim(spark, f"{root}/{_MANIFEST}/ids/{build_id}"):
+            raise PublishError(f"build {build_id} exists")
     except Exception:
         files.delete(folder, True)
         raise
-    row = spark.range(1).select(
-        F.lit(build_id).alias("build_id"), F.lit(built_at).alias("built_at"), F.lit(path).alias("path"),
-        F.array(*[F.lit(n) for n in names]).alias("tables"), F.current_timestamp().alias("published_at"),
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{root}/{_MANIFEST}")
+    number = max(_numbers(spark, root, ".claim"), default=0) + 1
+    while not _claim(spark, f"{root}/{_MANIFEST}/{number:09d}.claim"):
+        number += 1
+    entry = {"build_id": build_id, "built_at": built_at.isoformat(), "path": path, "tables": names}
+    draft, _ = _files(spark, f"{root}/{_MANIFEST}/{number:09d}.draft")
+    out = files.create(draft, True)
+    out.write(bytearray(json.dumps(entry, ensure_ascii=False).encode()))
+    out.close()
+    files.rename(draft, _files(spark, f"{root}/{_MANIFEST}/{number:09d}.json")[0])
     return Build(build_id, path, built_at, tuple(names))
 
 
 def latest(spark: SparkSession, root: str) -> Build:
-    """The newest announced build."""
-    rows = spark.read.parquet(f"{root}/{_MANIFEST}")
-    newest = rows.agg(F.max_by(F.struct("build_id", "path", "built_at", "tables"), "published_at").alias("b")).first()["b"]
-    return Build(newest["build_id"], newest["path"], newest["built_at"], tuple(newest["tables"]))
+    """The announced build with the highest number."""
+    numbers = _numbers(spark, root, ".json")
+    if not numbers:
+        raise PublishError(f"nothing is published under {root}")
+    text = spark.read.text(f"{root}/{_MANIFEST}/{numbers[-1]:09d}.json", wholetext=True).first()["value"]
+    entry = json.loads(text)
+    return Build(entry["build_id"], entry["path"], date.fromisoformat(entry["built_at"]), tuple(entry["tables"]))
 
 
 # --- fingerprints -------------------------------------------------------------------------------

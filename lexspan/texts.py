@@ -38,6 +38,7 @@ MAX_HITS = 50
 PREVIEW_PATHS = 20
 PREVIEW_OFFENDERS = 10
 SUGGESTIONS = 10
+LEAST_HIT_RATE = 0.9
 MIN_TOP_LEVEL_CLAUSES = 5
 MAX_CLAUSE_CHARS = 4000
 HEADING_MAX_WORDS = 6

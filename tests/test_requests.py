@@ -38,14 +38,12 @@ def corpus(spark, tmp_path_factory):
         "clause_relation": spark.createDataFrame([], schemas.CLAUSE_RELATION),
         "corpus_meta": spark.createDataFrame([(BUILT, "h", BUILT)], schemas.CORPUS_META),
     }
-    built = search.build_index(search.with_validity(t["clause"], t["edition"]))
-    t.update(postings=built.postings, term_df=built.term_df, index_stats=built.stats)
-
-    def checks(stored):
-        return quality.validate({**stored, "index": stored["postings"]})
+    def indexed(stored, path):
+        search.save_index(search.with_validity(stored["clause"], stored["edition"]), path, buckets=3)
+        return {"index": search.open_index(spark, path).lookup}
 
     root = str(tmp_path_factory.mktemp("corpus"))
-    publish.publish(spark, t, root, "b1", BUILT, checks)
+    publish.publish(spark, t, root, "b1", BUILT, quality.validate, {"index": indexed})
     return requests.load(spark, root)
 
 

@@ -13,9 +13,17 @@ CLAUSE = "clause_id string, standard_id string, valid_from date, valid_to date,
 DAY = date(2024, 1, 1)
 
 
-def index(spark, rows, lemmas=None, vocabulary=None):
-    full = [(i, s, a, b, None, t) for i, s, a, b, t in rows]
-    return search.build_index(spark.createDataFrame(full, CLAUSE), lemmas, vocabulary)
+def clauses(spark, rows):
+    return spark.createDataFrame([(i, s, a, b, None, t) for i, s, a, b, t in rows], CLAUSE)
+
+
+def index(spark, rows, lemmas=None):
+    return search.build_index(clauses(spark, rows), lemmas)
+
+
+def saved(spark, rows, path, buckets=5, lemmas=None):
+    search.save_index(clauses(spark, rows), str(path), lemmas, buckets)
+    return search.open_index(spark, str(path))
 
 
 def ask(spark, rows):
@@ -58,7 +66,7 @@ def test_scores_equal_the_probed_values(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_search_agrees_with_the_plain_model(spark, seed):
+def test_search_agrees_with_the_plain_model(spark, tmp_path, seed):
     rnd = random.Random(seed)
     words = ["w%d" % i for i in range(14)]
     weights = [60, 40, 30, 20, 10, 8, 6, 5, 4, 3, 2, 2, 1, 1]
@@ -75,8 +83,7 @@ def test_search_agrees_with_the_plain_model(spark, seed):
         text = " ".join(rnd.choices([*clean, "нет"], k=rnd.randint(1, 5)))
         asked.append((q, text, date(rnd.choice([2021, 2024]), 3, 1), ids, rnd.choice([1, 3, 10, 60])))
     built = index(spark, docs)
-    limited = index(spark, docs, vocabulary=search.query_terms(ask(spark, asked)))
-    for one in (built, limited):
+    for one in (built, saved(spark, docs, tmp_path / "index")):
         got = {}
         for r in search.search(ask(spark, asked), one).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((round(-r.score, 9), r.clause_id))
@@ -111,6 +118,82 @@ def test_tokens_lemmas_and_stop_words(spark):
     assert built.postings.where("clause_id = 'x'").first().dl == 2
 
 
+def scans(df):
+    """(table, rows out) of the file scans of an executed plan, and the number of shuffles above each."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node, shuffles):
+        name = node.nodeName()
+        if "Exchange" in name and "Broadcast" not in name:
+            shuffles += 1
+        if name.startswith("Scan"):
+            found.append((name, node.metrics().apply("numOutputRows").value(), shuffles))
+        children = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if name.endswith("QueryStage") else []
+        kids = node.children()
+        for child in children or [kids.apply(i) for i in range(kids.size())]:
+            walk(child, shuffles)
+
+    walk(plan, 0)
+    return found
+
+
+def test_postings_are_not_shuffled_and_closed_eras_and_other_shards_not_read(spark, tmp_path):
+    docs = [(f"d{i:04d}", f"s{i % 40}", date(2010 + i % 10, 1, 1), None if i % 10 == 9 else date(2011 + i % 10, 1, 1), "альфа слово%s" % "абвгд"[i // 10 % 5]) for i in range(2000)]
+    built = saved(spark, docs, tmp_path / "index")
+    # No broadcast: what is not bucketed has to be shuffled.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def read(day, ids):
+            asked = ask(spark, [(1, "словоа", day, ids, 5)])
+            limits = asked.select("query_id", "on_date", "standard_ids")
+            leading = search.weighted(search.query_terms(asked), built).join(limits, "query_id")
+            found = search.candidates(built, leading, limits)
+            hits = found.collect()
+            rows = [(n, shuffles) for where, n, shuffles in scans(found) if "_postings" in where]
+            # Above the postings only the removal of repeated candidates shuffles.
+            assert len(rows) == 1 and rows[0][1] <= 1
+            return {r.clause_id for r in hits}, rows[0][0]
+
+        early, every = read(date(2010, 6, 1), [])
+        late, few = read(date(2030, 1, 1), [])
+        only, fewest = read(date(2030, 1, 1), ["s9"])
+        assert early == {d[0] for d in docs if d[2] == date(2010, 1, 1) and d[4].endswith("а")}
+        assert late == {d[0] for d in docs if d[3] is None and d[4].endswith("а")} and only == {d for d in late if int(d[1:]) % 40 == 9}
+        assert every == 4000 and few == 400 and 0 < fewest < few
+        assert "Exchange" not in built.lookup.join(built.lookup.select("clause_id", "term"), ["clause_id", "term"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_saved_index_opens_in_another_session_and_deals_out_hot_terms(spark, tmp_path):
+    docs = [(f"d{i:03d}", "s", None, None, f"общее слово{'абвгдежз'[i % 8]}") for i in range(400)]
+    one = saved(spark, docs, tmp_path / "index", buckets=4)
+    salts = {r.term: r.salts for r in one.term_df.collect()}
+    assert salts["общее"] == 2 and salts["словоа"] == 1 and {r.salt for r in one.postings.where("term = 'общее'").collect()} == {0, 1}
+    other = search.open_index(spark.newSession(), str(tmp_path / "index"))
+    assert sorted(map(tuple, other.postings.collect())) == sorted(map(tuple, one.postings.collect()))
+    hits = search.search(ask(spark, [(1, "общее словоб", DAY, [], 50), (2, "общее", DAY, [], 3)]), one).collect()
+    assert len([r for r in hits if r.query_id == 1]) == 50 and [r.clause_id for r in hits if r.query_id == 2] == ["d000", "d001", "d002"]
+
+
+def test_relevance_gate_names_the_failing_group(spark):
+    golden = spark.createDataFrame(
+        [(k, "a", "good", False) for k in range(9)] + [(9, "a", "bad", False), (10, "b", "bad", False), (11, "c", "far", True)],
+        "query_id int, expect_id string, expect_group string, lexical_limitation boolean",
+    )
+    top = [(k, 1, "a") for k in range(10)]
+
+    def gate(rows):
+        hits = spark.createDataFrame(rows, "query_id int, rank int, clause_id string")
+        found = search.relevance_gate(search.judge(golden, hits), 0.95).collect()
+        return {r.expect_group: (r.hits, r.misses, r.passed) for r in found}
+
+    assert gate(top) == {"good": (9, 0, False), "bad": (1, 1, False)}
+    assert gate([*top, (10, 3, "b")]) == {"good": (9, 0, True), "bad": (2, 0, True)}
+    assert not any(passed for _, _, passed in gate([*top, (10, 3, "b"), (11, 1, "c")]).values())
+
+
 def test_evaluation(spark):
     golden = spark.createDataFrame(
         [(1, "a", "g", False), (2, "b", "g", False), (3, "c", "h", True), (4, "d", "h", False)],

@@ -167,7 +167,7 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert publish.latest(spark, root).build_id == "b1"
     with pytest.raises(publish.PublishError, match="blank: 2"):
         publish.publish(spark, {"clause": spark.createDataFrame([(2, "")], good.schema)}, root, "b2", DAY, checks)
-    assert publish.latest(spark, root).build_id == "b1" and not (tmp_path / "build_id=b2").exists()
+    assert publish.latest(spark, root).build_id == "b1" and len(list((tmp_path / "builds").iterdir())) == 1
     with pytest.raises(publish.PublishError, match="exists"):
         publish.publish(spark, {"clause": good}, root, "b1", DAY, checks)
     assert publish.latest(spark, root).table(spark, "clause").count() == 1
@@ -177,6 +177,33 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert newest.table(spark, "clause").count() == 2
 
 
+def test_of_two_builds_under_one_id_one_is_announced(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    root, together = str(tmp_path), Barrier(4)
+
+    def checks(t):
+        together.wait(60)
+        return t["clause"].where("id < 0").selectExpr("'c' as check", "'o' as offender", "'' as detail")
+
+    def build(k):
+        try:
+            return publish.publish(spark, {"clause": spark.range(k + 1)}, root, "b%d" % (k // 3), DAY, checks)
+        except publish.PublishError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(build, range(4)))
+    won = [b for b in got if not isinstance(b, str)]
+    assert sorted(b.build_id for b in won) == ["b0", "b1"] and got.count("build b0 exists") == 2
+    assert sorted(p.name for p in (tmp_path / "manifest").glob("*.json")) == ["000000001.json", "000000002.json"]
+    assert {p.name for p in (tmp_path / "builds").iterdir()} == {b.path.rsplit("/", 1)[1] for b in won}
+    assert publish.latest(spark, root) in won
+    with pytest.raises(publish.PublishError, match="nothing"):
+        publish.latest(spark, root + "/none")
+
+
 def std(spark, rows):
     return spark.createDataFrame(rows, "id string, order_no string, effective_from date, effective_to date")
 
