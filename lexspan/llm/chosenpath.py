@@ -5,7 +5,8 @@
    coordinates, the same for all sets that reach it, and a set moves on to the child named by its own sample there:
    two sets stay together with the chance that they share the sampled token. Buckets of one set end, buckets of at
    most `SMALL` sets are compared by brute force, larger ones are split again, down to `DEPTH`. A bucket that is
-   still larger there is compared whole, in blocks that are dealt over many tasks.
+   still larger there is compared whole, in blocks that are dealt over many tasks: first each block ties its sets to
+   roots, then pairs of blocks tie roots to roots.
 3. Runs are repeated until a pair at the threshold is missed with a chance below 1 - `RECALL`.
 4. The pairs whose samples agree enough give candidate clusters; in a cluster all pairs are verified exactly on
    their shingle sets, in blocks. No pair is ever written: tasks return link counts and a spanning forest.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scale import written
@@ -107,11 +108,18 @@ def children(rows: DataFrame, runs: int | None) -> DataFrame:
     return rows.mapInArrow(run, "path long, node long")
 
 
-def dealt(rows: DataFrame, group: str, size: str, block: int = BLOCK) -> DataFrame:
-    """Rows with the block pair (`i`, `j`) they take part in: one of its own up to `block`, else one per other block."""
-    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def blocks_of(size: str, block: int = BLOCK) -> Column:
+    return F.ceil(F.col(size) / F.lit(block)).cast("int")
+
+
+def own_block(size: str) -> Column:
+    """The block of a group of `size` that a node is in."""
+    return F.pmod(F.xxhash64("node", F.lit(7)), blocks_of(size)).cast("int")
+
+
+def dealt(rows: DataFrame, size: str) -> DataFrame:
+    """Rows with `own` and the block pair (`i`, `j`) they take part in, one for every block of their group."""
+    out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of(size) - 1)))
     return out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
@@ -137,30 +145,78 @@ class Forest:
         return [(self.nodes[k], self.nodes[self.root(k)]) for k in range(len(self.nodes)) if self.root(k) != k]
 
 
-def sketch_edges(leaves: DataFrame) -> DataFrame:
-    """Spanning forest, per bucket or block pair, of the pairs whose samples agree enough."""
+def agreeing(one, others):
+    """Places of the rows of `others` whose samples agree enough with those of `one`."""
+    return np.flatnonzero((others == one).sum(axis=1) >= AGREE * COORDINATES).tolist()
+
+
+def sketches(values: list[bytes]):
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, COORDINATES)
+
+
+def block_roots(buckets: DataFrame) -> DataFrame:
+    """Buckets (path, own, node, sketch, ...) with `root`: within each block, sets whose samples agree enough are tied
+    to one of them, directly or through others. Every set is one row again."""
+    names = buckets.columns
+
+    kinds = [pa.binary() if n == "sketch" else pa.int32() if n == "own" else pa.int64() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for _, (nodes, samples) in groups(batches, ["path", "i", "j"], ["node", "sketch"]):
-            if len(nodes) < 2:
-                continue
-            table = np.frombuffer(b"".join(samples), dtype=np.uint8).reshape(-1, COORDINATES)
+        held = [[] for _ in (*names, "root")]
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, [*kinds, pa.int64()], strict=True)], names=[*names, "root"])
+
+        for _, columns in groups(batches, ["path", "own"], names):
+            nodes, table = columns[names.index("node")], sketches(columns[names.index("sketch")])
             forest = Forest(nodes)
             for k in range(len(nodes) - 1):
-                same = (table[k + 1 :] == table[k]).sum(axis=1)
-                for x in np.flatnonzero(same >= AGREE * COORDINATES).tolist():
+                for x in agreeing(table[k], table[k + 1 :]):
                     forest.link(k, k + 1 + x)
-            for x, y in forest.edges():
-                left.append(x), right.append(y)
-            if len(left) > 50_000:
-                yield pa.RecordBatch.from_pydict({"x": left, "y": right}, schema=edge)
-                left, right = [], []
-        yield pa.RecordBatch.from_pydict({"x": left, "y": right}, schema=edge)
+            for column, values in zip(held, [*columns, [nodes[forest.root(k)] for k in range(len(nodes))]], strict=True):
+                column += values
+            if len(held[0]) > 20_000:
+                yield batch()
+                held = [[] for _ in (*names, "root")]
+        yield batch()
+
+    schema = ", ".join(f"{c} {t}" for c, t in buckets.dtypes)
+    rows = buckets.repartition("path", "own").sortWithinPartitions("path", "own")
+    return rows.mapInArrow(run, f"{schema}, root long")
+
+
+def across_blocks(rooted: DataFrame) -> DataFrame:
+    """Edges between the roots of two blocks of a bucket: at most a spanning forest over the roots of each pair of blocks,
+    so that blocks of one large cluster, which have a root each, return a single edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, _), (own, roots, values) in groups(batches, ["path", "i", "j"], ["own", "root", "sketch"]):
+            table, own = sketches(values), np.array(own)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
+            distinct = sorted(set(roots))
+            place = {root: k for k, root in enumerate(distinct)}
+            forest, there = Forest(distinct), np.array([place[roots[x]] for x in right.tolist()], dtype=np.int64)
+            others = table[right]
+            for k in left.tolist():
+                for x in agreeing(table[k], others):
+                    forest.link(place[roots[k]], int(there[x]))
+            edges = forest.edges()
+            if edges:
+                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in edges], "y": [y for _, y in edges]}, schema=edge)
 
     edge = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-    rows = leaves.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    return rows.select("path", "i", "j", "node", "sketch").mapInArrow(run, "x long, y long")
+    rows = dealt(rooted, "size").where("i < j").repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    return rows.select("path", "i", "j", "own", "root", "sketch").mapInArrow(run, "x long, y long")
+
+
+def sketch_edges(buckets: DataFrame) -> DataFrame:
+    """Edges that connect, in each bucket (path, size, node, sketch), the sets whose samples agree enough.
+
+    A bucket is one block or several. Inside a block a set is tied to its root; blocks are then tied root to root.
+    """
+    rooted = written(block_roots(buckets.withColumn("own", own_block("size"))), "rooted")
+    inside = rooted.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))
+    return inside.union(across_blocks(rooted.where(F.col("size") > BLOCK)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,7 +322,7 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
         if depth == DEPTH or rest.isEmpty():
             break
         frontier, depth = children(rest.join(thin, "node").select("path", "node", "samples"), None), depth + 1
-    buckets = dealt(leaves, "path", "size").join(nodes.select("node", "sketch"), "node")
+    buckets = leaves.select("path", "size", "node").join(nodes.select("node", "sketch"), "node")
     return components(sketch_edges(buckets))
 
 
@@ -285,7 +341,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = clusters.join(sizes, "root").join(nodes.select("node", "copies", "key"), "node")
     members = members.select(F.col("root").alias("cluster"), "size", "node", "copies", "key")
     texts = docs.select(row_key().alias("key"), "text").join(checked(members), "key")
-    found = written(verified(dealt(sets(texts.drop("key")), "cluster", "size").select("cluster", "i", "j", "own", "node", "copies", "set")), "links")
+    found = written(verified(dealt(sets(texts.drop("key")).withColumn("own", own_block("size")), "size").select("cluster", "i", "j", "own", "node", "copies", "set")), "links")
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y")))
