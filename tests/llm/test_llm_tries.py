@@ -215,5 +215,8 @@ def test_hot_prefixes_are_dealt_by_the_whole_phrase(spark):
     table = spark.createDataFrame([("en", "of", 900), ("en", "a", 90), ("en", "", 1000)], "lang string, phrase string, f long")
     hot = collocations.salts(table, 1000, 10)
     assert hot == {b"en\0of": 9}
-    of, a = (collocations.part_of(b"en", word, 10, hot) for word in (b"of", b"a"))
-    assert len({of(b"of %d" % k) for k in range(500)}) == 9 and len({a(b"a %d" % k) for k in range(500)}) == 1
+    dealt = {}
+    for word in (b"of", b"a"):
+        collocations.dealt_out(dealt, b"en", word, [(word + b" %d" % k, 1) for k in range(500)], 10, hot)
+    found = {word: {part for (part, _), phrases in dealt.items() if any(p.startswith(word) for p, _ in phrases)} for word in (b"of", b"a")}
+    assert len(found[b"of"]) == 9 and len(found[b"a"]) == 1 and sum(map(len, dealt.values())) == 1000
