@@ -25,6 +25,16 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], k) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def factorised(params: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """params(request_id, keys...) -> (relation(request_id, answer_id), asked(answer_id, keys...)).
+
+    Requests for the same thing share one answer, so that answers grow with what is asked for and the relation with
+    the requests, and not with their product.
+    """
+    marked = params.withColumn("answer_id", F.md5(F.to_json(F.struct(*keys))))
+    return marked.select("request_id", "answer_id"), marked.select("answer_id", *keys).distinct()
+
+
 def each(df: DataFrame, keep: list, array: Column, name: str, pos: str | None = None) -> DataFrame:
     """One row per element of a costly array expression, which is evaluated once.
 

@@ -1,6 +1,6 @@
 """Clauses <-> configuration objects, both ways, for many requests at once."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan import texts
@@ -36,6 +36,11 @@ def _requested(rows: DataFrame, asked: DataFrame, extra: list[str]) -> DataFrame
     return by_path.unionByName(by_standard)
 
 
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """Rows with their `rank` in the answer to their request; an answer is one object's or one standard's rows."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+
+
 def mappings_for(
     params: DataFrame, mapping: DataFrame, editions: DataFrame, clauses: DataFrame,
     catalog: DataFrame, built_at,
@@ -43,13 +48,14 @@ def mappings_for(
     """params(request_id, standard_id, clause_path?, config) -> mapping rows per request.
 
     Resolved as of the corpus' build date. A request without `clause_path` gets all rows of its
-    standard. Rank them by confidence (highest first), then reference, then path.
+    standard. `rank` orders a request's rows by confidence (highest first), then reference, then path, then the rest.
     """
     rows = applicable(mapping, temporal.editions_on(editions, [built_at]), clauses)
     hits = _requested(rows, params.select("request_id", "standard_id", "clause_path", "config"), ["config"])
-    return with_presentation(hits, catalog).select(
+    order = [F.desc("confidence"), "object_ref", "clause_path", "kind", "verified", "note"]
+    return ranked(with_presentation(hits, catalog), order).select(
         "request_id", "standard_id", "config", "clause_path", "kind", "object_ref", "presentation",
-        "note", "confidence", "verified",
+        "note", "confidence", "verified", "rank",
     )
 
 
@@ -59,7 +65,8 @@ def clauses_by_object(
 ) -> DataFrame:
     """params(request_id, object_ref, config) -> clauses implemented by the object.
 
-    The reference is matched without regard to case. Duplicate facts are removed, with partial
+    The reference is matched without regard to case; `rank` orders an answer by confidence (highest first), then
+    standard, path, reference and the rest. Duplicate facts are removed, with partial
     aggregation, before requests are matched.
     """
     wanted = params.select("config", F.lower("object_ref").alias("_ref")).distinct()
@@ -75,9 +82,10 @@ def clauses_by_object(
     )
     asked = params.select("request_id", "config", F.lower("object_ref").alias("_ref"))
     hits = keyed_join(with_presentation(titled, catalog), asked, ["config", "_ref"], "inner")
-    return hits.select(
+    order = [F.desc("confidence"), "standard_id", "clause_path", "object_ref", "kind", "verified", "note"]
+    return ranked(hits, order).select(
         "request_id", "config", "standard_id", "standard_title", "clause_path", "kind", "object_ref",
-        "presentation", "note", "confidence", "verified",
+        "presentation", "note", "confidence", "verified", "rank",
     )
 
 
@@ -121,10 +129,10 @@ def verification_warning(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def links_for(params: DataFrame, links: DataFrame) -> DataFrame:
-    """params(request_id, standard_id, clause_path?) -> link rows; editions play no part."""
+    """params(request_id, standard_id, clause_path?) -> link rows, ranked by path and source; editions play no part."""
     hits = _requested(links, params.select("request_id", "standard_id", "clause_path"), [])
-    return hits.select(
-        "request_id", "standard_id", "clause_path", "its_id", "title", "summary", "verified"
+    return ranked(hits, ["clause_path", "its_id", "title", F.md5("summary")]).select(
+        "request_id", "standard_id", "clause_path", "its_id", "title", "summary", "verified", "rank"
     )
 
 

@@ -1,5 +1,6 @@
 """Registered queries over the table roles of `binding`, each with its SQL counterpart."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspan import texts
 from lexspan.functions import columns as C
+from lexspan.functions.scale import scratch_dir
 from lexspan.operators import lookup, mapping, quality, search, temporal
 from lexspan.plans.binding import BUILT_AT, DATES, SQL, TODAY, Binding
 from lexspan.sources import documents, publish
@@ -148,7 +150,8 @@ def successors(b: Binding) -> DataFrame:
 
 @query(
     """SELECT r.request_id, a.standard_id, a.config, a.clause_path, a.kind, a.object_ref,
-      coalesce(o.presentation, a.object_ref) AS presentation, CAST(NULL AS VARCHAR) AS note, a.confidence, a.verified
+      coalesce(o.presentation, a.object_ref) AS presentation, CAST(NULL AS VARCHAR) AS note, a.confidence, a.verified,
+      row_number() OVER (PARTITION BY r.request_id ORDER BY a.confidence DESC, a.object_ref, a.clause_path, a.kind, a.verified) AS rank
     FROM mapping_request r JOIN applicable a ON a.standard_id = r.standard_id AND a.config = r.config
       AND (r.clause_path IS NULL OR r.clause_path = a.clause_path)
     LEFT JOIN config_object o ON o.config = a.config AND o.ref = a.object_ref"""
@@ -166,7 +169,8 @@ def _forward(b: Binding) -> DataFrame:
 _REVERSE = """,
 reverse AS (
   SELECT r.request_id, f.config, f.standard_id, s.title AS standard_title, f.clause_path, f.kind, f.object_ref,
-    coalesce(o.presentation, f.object_ref) AS presentation, CAST(NULL AS VARCHAR) AS note, f.confidence, f.verified
+    coalesce(o.presentation, f.object_ref) AS presentation, CAST(NULL AS VARCHAR) AS note, f.confidence, f.verified,
+    row_number() OVER (PARTITION BY r.request_id ORDER BY f.confidence DESC, f.standard_id, f.clause_path, f.object_ref, f.kind, f.verified) AS rank
   FROM object_request r
   JOIN (SELECT DISTINCT config, standard_id, clause_path, kind, object_ref, confidence, verified FROM applicable) f
     ON f.config = r.config AND lower(f.object_ref) = lower(r.object_ref)
@@ -265,7 +269,8 @@ def mapping_messages(b: Binding) -> DataFrame:
 
 
 @query(
-    """SELECT r.request_id, l.standard_id, l.clause_path, l.its_id, l.title, l.summary, l.verified
+    """SELECT r.request_id, l.standard_id, l.clause_path, l.its_id, l.title, l.summary, l.verified,
+      row_number() OVER (PARTITION BY r.request_id ORDER BY l.clause_path, l.its_id, l.title, md5(l.summary)) AS rank
     FROM mapping_request r JOIN link l ON l.standard_id = r.standard_id
       AND (r.clause_path IS NULL OR r.clause_path = l.clause_path)"""
 )
@@ -912,7 +917,7 @@ def nest_documents(b: Binding) -> DataFrame:
 
 _ROUND_TRIP = {
     "standard": ("id", "kind", "number", "year", "title", "order_date", "order_no", "effective_from", "effective_to"),
-    "edition": ("id", "standard_id", "edition_no", "effective_from"),
+    "edition": ("id", "standard_id", "edition_no", "amending_order", "effective_from"),
     "clause": ("id", "standard_id", "edition_id", "pos", "path", "parent_path", "heading", "text"),
 }
 
@@ -921,21 +926,33 @@ def _listed_row(columns: tuple[str, ...]) -> str:
     return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
 
 
-# By their digests, some editions go without clauses and some standards without editions.
+# To the whole tables come copies of standards that have no edition, and of editions that have no clause.
+_BARE = """,
+rt_standard AS (SELECT * FROM standard UNION ALL SELECT * REPLACE (id || '-bare' AS id) FROM standard
+  UNION ALL SELECT * REPLACE (id || '-empty' AS id) FROM standard),
+rt_edition AS (SELECT *, CASE WHEN edition_no > 1 THEN 'приказ ' || edition_no END AS amending_order FROM edition
+  UNION ALL SELECT * REPLACE (standard_id || '-empty@' || edition_no AS id, standard_id || '-empty' AS standard_id),
+    CASE WHEN edition_no > 1 THEN 'приказ ' || edition_no END FROM edition)"""
+
+
 @query(
-    """SELECT 'standard' AS "table", """ + _listed_row(_ROUND_TRIP["standard"]) + """ AS "row" FROM standard
-    UNION ALL SELECT 'edition', """ + _listed_row(_ROUND_TRIP["edition"]) + """ FROM edition WHERE substr(md5(standard_id), 1, 1) <> '0'
-    UNION ALL SELECT 'clause', """ + _listed_row(_ROUND_TRIP["clause"]) + """ FROM clause
-      WHERE substr(md5(standard_id), 1, 1) <> '0' AND substr(md5(edition_id), 1, 1) NOT IN ('1', '2', '3')"""
+    """SELECT 'standard' AS "table", """ + _listed_row(_ROUND_TRIP["standard"]) + """ AS "row" FROM rt_standard
+    UNION ALL SELECT 'edition', """ + _listed_row(_ROUND_TRIP["edition"]) + """ FROM rt_edition
+    UNION ALL SELECT 'clause', """ + _listed_row(_ROUND_TRIP["clause"]) + """ FROM clause""",
+    _BARE,
 )
 def nest_flatten(b: Binding) -> DataFrame:
-    """Tables written as documents and read back, all three of them."""
+    """Whole tables, and copies without editions or clauses, written as documents and read back: all three of them."""
     from lexspan.schemas import DOCUMENT
 
-    digit = lambda c: F.substring(F.md5(c), 1, 1)
-    edition = b.edition.where(digit("standard_id") != "0")
-    clause = b.clause.where((digit("standard_id") != "0") & ~digit("edition_id").isin("1", "2", "3"))
-    nested = documents.nest_documents(b.standard, edition, clause)
+    tagged = lambda c, tag: F.concat(c, F.lit(tag))
+    standard = b.standard.unionByName(b.standard.withColumn("id", tagged("id", "-bare"))).unionByName(b.standard.withColumn("id", tagged("id", "-empty")))
+    amended = F.when(F.col("edition_no") > 1, F.concat(F.lit("приказ "), F.col("edition_no").cast("string")))
+    edition = b.edition.withColumn("amending_order", amended)
+    empty = edition.withColumns({
+        "standard_id": tagged("standard_id", "-empty"), "id": F.concat("standard_id", F.lit("-empty@"), F.col("edition_no").cast("string")),
+    })
+    nested = documents.nest_documents(standard, edition.unionByName(empty), b.clause)
     back = documents.flatten_documents(nested.select(F.from_json("document", DOCUMENT).alias("d")).select("d.*"))
     rows = [
         df.select(
@@ -948,11 +965,11 @@ def nest_flatten(b: Binding) -> DataFrame:
 
 
 @query(
-    """SELECT id, source_file, files FROM (SELECT DISTINCT text AS id, source AS source_file FROM documents)
-    JOIN (SELECT text AS id, count(DISTINCT source) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) USING (id)"""
+    """SELECT id, source_file, files FROM (SELECT DISTINCT md5(text) AS id, source AS source_file FROM documents)
+    JOIN (SELECT md5(text) AS id, count(DISTINCT source) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) USING (id)"""
 )
 def duplicate_sources(b: Binding) -> DataFrame:
-    declared = b.read("documents").select(F.col("text").alias("id"), F.col("source").alias("source_file"))
+    declared = b.read("documents").select(F.md5("text").alias("id"), F.col("source").alias("source_file"))
     return documents.duplicate_sources(declared)
 
 
@@ -965,14 +982,33 @@ def valid_edges(b: Binding) -> DataFrame:
     return kept.withColumn("kept", F.lit(True)).unionByName(skipped.withColumn("kept", F.lit(False)))
 
 
+_CATALOG = """,
+catalog AS (SELECT p_brand AS config, p_name AS ref, p_type AS kind, p_name || ' ' || p_partkey AS presentation FROM part
+  WHERE p_brand IN (SELECT 'Brand#' || n_nationkey FROM nation)),
+repeated AS (SELECT config, ref, count(*) AS n FROM catalog GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+def _catalog(b: Binding) -> tuple[DataFrame, DataFrame]:
+    objects = b.read("part").select(
+        F.col("p_brand").alias("config"), F.col("p_name").alias("ref"), F.col("p_type").alias("kind"),
+        F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("presentation"),
+    )
+    configs = b.read("nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("config"))
+    return documents.load_catalog(objects, configs)
+
+
+@query('SELECT config, ref, n AS "rows" FROM repeated', _CATALOG)
+def catalog_duplicates(b: Binding) -> DataFrame:
+    return _catalog(b)[1]
+
+
 @query(
-    """SELECT config, ref, count(*) AS "rows" FROM (SELECT p_brand AS config, p_name AS ref FROM part
-      WHERE p_brand IN (SELECT 'Brand#' || n_nationkey FROM nation)) GROUP BY 1, 2 HAVING count(*) > 1"""
+    """SELECT config, ref, min(struct_pack(kind, presentation)).kind AS kind, min(struct_pack(kind, presentation)).presentation AS presentation
+    FROM catalog GROUP BY 1, 2""",
+    _CATALOG,
 )
-def catalog_duplicates(b: Binding) -> DataFrame:
-    objects = b.read("part").select(F.col("p_brand").alias("config"), F.col("p_name").alias("ref"))
-    configs = b.read("nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("config"))
-    return documents.load_catalog(objects, configs)[1]
+def catalog_objects(b: Binding) -> DataFrame:
+    return _catalog(b)[0].select("config", "ref", "kind", "presentation")
 
 
 @query(
@@ -1179,7 +1215,8 @@ asked_state AS (
       CASE WHEN s.id IS NULL THEN 'Стандарт ''' || a.standard_id || ''' отсутствует в корпусе'
            WHEN a.edition_id IS NULL THEN 'У стандарта ''' || a.standard_id || ''' нет редакции, действующей на ' || a.on_date END AS error,
       CASE WHEN s.id IS NOT NULL AND a.edition_id IS NOT NULL THEN {_STATUS.format(d="a.on_date", f="s.effective_from", t="s.effective_to")} END AS status,
-      CASE WHEN s.id IS NULL OR a.edition_id IS NULL THEN NULL WHEN st.verified IS NULL THEN 'нет' WHEN st.verified THEN 'проверено' ELSE 'черновик' END AS mapping_status
+      CASE WHEN s.id IS NULL OR a.edition_id IS NULL THEN NULL WHEN st.verified IS NULL THEN 'нет' WHEN st.verified THEN 'проверено' ELSE 'черновик' END AS mapping_status,
+      a.edition_id
     FROM asked_edition a LEFT JOIN standard s ON s.id = a.standard_id
     LEFT JOIN asked_state st ON st.standard_id = a.standard_id AND st.on_date = a.on_date""",
     _ASKED,
@@ -1188,13 +1225,13 @@ def get_standard(b: Binding) -> DataFrame:
     asked = b.clause_request.select("request_id", "standard_id", "on_date")
     summaries, _ = _corpus(b).get_standard(asked)
     return summaries.select(
-        "request_id", "standard_id", "on_date", "title", "outcome", "error", "status", "mapping_status"
+        "request_id", "standard_id", "on_date", "title", "outcome", "error", "status", "mapping_status", "edition_id"
     )
 
 
 @query(
-    """SELECT a.request_id, a.on_date, a.standard_id, a.edition_id, c.pos, c.path, c.heading
-    FROM asked_edition a JOIN clause c ON c.edition_id = a.edition_id""",
+    """SELECT edition_id, standard_id, pos, path, heading FROM clause
+    WHERE edition_id IN (SELECT edition_id FROM asked_edition a JOIN standard s ON s.id = a.standard_id)""",
     _ASKED,
 )
 def get_standard_outline(b: Binding) -> DataFrame:
@@ -1202,6 +1239,69 @@ def get_standard_outline(b: Binding) -> DataFrame:
     return _corpus(b).get_standard(asked)[1]
 
 
+# Every request comes three times, once for a standard that is not there.
+_REPEATED = """,
+asked_mapping AS (
+  SELECT request_id || '-' || n AS request_id, CASE n WHEN 3 THEN 'x' || standard_id ELSE standard_id END AS standard_id, clause_path, config
+  FROM mapping_request, (VALUES (1), (2), (3)) t(n)),
+answer AS (
+  SELECT a.*, coalesce(o.presentation, a.object_ref) AS presentation, q.clause_path AS asked_path,
+    row_number() OVER (PARTITION BY q.standard_id, q.clause_path, q.config ORDER BY a.confidence DESC, a.object_ref, a.clause_path, a.kind, a.verified) AS rank
+  FROM (SELECT DISTINCT standard_id, clause_path, config FROM asked_mapping) q
+  JOIN applicable a ON a.standard_id = q.standard_id AND a.config = q.config AND (q.clause_path IS NULL OR q.clause_path = a.clause_path)
+  LEFT JOIN config_object o ON o.config = a.config AND o.ref = a.object_ref)"""
+
+
+def _asked_mappings(b: Binding) -> DataFrame:
+    rows = b.mapping_request.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return rows.select(
+        F.concat_ws("-", F.col("request_id").cast("string"), F.col("n").cast("string")).alias("request_id"),
+        F.when(F.col("n") == 3, F.concat(F.lit("x"), "standard_id")).otherwise(F.col("standard_id")).alias("standard_id"), "clause_path", "config",
+    )
+
+
+@query(
+    "SELECT standard_id, config, clause_path, kind, object_ref, presentation, CAST(NULL AS VARCHAR) AS note, confidence, verified, rank FROM answer",
+    _REPEATED,
+)
+def get_mapping_answers(b: Binding) -> DataFrame:
+    """The answers of `get_mapping`: one for all requests that ask for the same."""
+    return _corpus(b).get_mapping(_asked_mappings(b))[0].drop("answer_id")
+
+
+@query(
+    f"""SELECT q.*, coalesce(n.mappings, 0) AS mappings, coalesce(n.unverified, false) AS unverified,
+      CASE WHEN s.id IS NULL THEN 'standard_not_found' ELSE 'ok' END AS outcome,
+      CASE WHEN s.id IS NULL THEN NULL WHEN n.mappings > 0 THEN ''
+           WHEN q.config NOT IN (SELECT config FROM config_object) THEN 'Конфигурация ''' || q.config
+             || ''' серверу неизвестна. Известные конфигурации: ' || {_CONFIGS} || '.'
+           ELSE '{texts.MSG_NO_MAPPING}' END AS message,
+      CASE WHEN s.id IS NULL THEN 'Стандарт ''' || q.standard_id || ''' отсутствует в корпусе' END AS error
+    FROM asked_mapping q LEFT JOIN standard s ON s.id = q.standard_id
+    LEFT JOIN (SELECT standard_id, config, asked_path, count(*) AS mappings, bool_or(NOT verified) AS unverified FROM answer GROUP BY ALL) n
+      ON n.standard_id = q.standard_id AND n.config = q.config AND n.asked_path IS NOT DISTINCT FROM q.clause_path""",
+    _REPEATED,
+)
+def get_mapping(b: Binding) -> DataFrame:
+    """Whole requests: what each is told, with unknown standards and configurations among them."""
+    return _corpus(b).get_mapping(_asked_mappings(b))[1].drop("answer_id")
+
+
+@query(
+    f"""SELECT v.request_id, v.object_ref, v.config, outcome, coalesce(clauses, 0) AS clauses,
+      coalesce(s.n, 0) AS suggestions, coalesce(unverified, false) AS unverified,
+      CASE outcome WHEN 'unknown_config' THEN 'Конфигурация ''' || v.config || ''' серверу неизвестна. Известные конфигурации: '
+             || {_CONFIGS} || '.'
+           WHEN 'mapped' THEN '' WHEN 'known_no_mapping' THEN '{texts.MSG_OBJECT_NOT_MAPPED}'
+           ELSE CASE WHEN s.n > 0 THEN '{texts.MSG_OBJECT_SUGGESTED}' ELSE '{texts.MSG_OBJECT_UNKNOWN}' END END AS message
+    FROM verdict v LEFT JOIN (SELECT request_id, count(*) AS n FROM suggested GROUP BY 1) s ON s.request_id = v.request_id""",
+    _REVERSE,
+)
+def find_by_object(b: Binding) -> DataFrame:
+    """Whole requests for the clauses of an object: the outcome of each."""
+    return _corpus(b).find_by_object(b.object_request)[1].drop("answer_id")
+
+
 @query(
     f"""SELECT r.request_id, r.standard_id, r.clause_path, r.outcome, coalesce(n.links, 0) AS links,
       coalesce(n.unverified, false) AS unverified,
@@ -1227,7 +1327,22 @@ def get_references(b: Binding) -> DataFrame:
 
 
 @query(
-    """SELECT on_date, 'Хотя' AS starts FROM (
+    """SELECT q.request_id, l.standard_id, l.clause_path, l.its_id, l.title, md5(l.summary) AS summary, l.verified,
+      row_number() OVER (PARTITION BY q.request_id ORDER BY l.clause_path, l.its_id, l.title, md5(l.summary)) AS rank
+    FROM mapping_request q JOIN link l ON l.standard_id = q.standard_id AND (q.clause_path IS NULL OR q.clause_path = l.clause_path)
+    WHERE q.standard_id IN (SELECT id FROM standard) AND (q.clause_path IS NULL OR EXISTS (
+      SELECT 1 FROM clause c WHERE c.path = q.clause_path AND c.edition_id = coalesce(
+        (SELECT edition_id FROM built bt WHERE bt.standard_id = q.standard_id),
+        (SELECT edition_id FROM validity f JOIN standard s ON s.id = f.standard_id WHERE f.standard_id = q.standard_id
+           AND f.valid_from <= s.effective_from AND (f.valid_to IS NULL OR s.effective_from < f.valid_to)))))"""
+)
+def get_reference_links(b: Binding) -> DataFrame:
+    asked = b.mapping_request.drop("config")
+    return _corpus(b).get_references(asked)[0].withColumns({"summary": F.md5("summary"), "rank": F.col("rank").cast("long")})
+
+
+@query(
+    f"""SELECT on_date, '{texts.MSG_UNVERIFIED}' AS warning FROM (
       SELECT f.on_date, bool_or(NOT m.verified) AS draft FROM mapping m JOIN in_force f ON f.standard_id = m.standard_id
       WHERE (m.edition_from IS NULL OR m.edition_from <= f.edition_no)
         AND EXISTS (SELECT 1 FROM clause c WHERE c.edition_id = f.edition_id AND c.path = m.clause_path) GROUP BY 1) WHERE draft"""
@@ -1235,4 +1350,57 @@ def get_references(b: Binding) -> DataFrame:
 def draft_warnings(b: Binding) -> DataFrame:
     corpus = _corpus(b)
     warned = corpus.draft_warnings(corpus.list_standards(DATES))
-    return warned.select("on_date", F.split_part("warning", F.lit(" "), F.lit(1)).alias("starts"))
+    return warned.select("on_date", "warning")
+
+
+# --- publishing and loading ---------------------------------------------------------------------
+
+# Documents of some standards are cut off, have an edition without a number, or a clause twice.
+_BATCH = """,
+sent AS (
+  SELECT s.id, e.edition_no, c.n, min(e.edition_no) OVER (PARTITION BY s.id) AS first FROM standard s
+  LEFT JOIN edition e ON e.standard_id = s.id
+  LEFT JOIN (SELECT edition_id, count(*) AS n FROM clause GROUP BY 1) c ON c.edition_id = e.id),
+judged AS (
+  SELECT *, CASE WHEN id LIKE '%3' THEN 'unreadable document' WHEN id LIKE '%5' AND edition_no IS NOT NULL THEN 'edition without edition_no'
+    WHEN id LIKE '%7' AND n > 0 THEN 'duplicate clause path' END AS error FROM sent)"""
+
+
+def _batch(b: Binding) -> DataFrame:
+    """The corpus as JSON documents, some of them bad."""
+    sent = documents.nest_documents(b.standard, b.edition, b.clause)
+    text, where = F.col("document"), F.col("standard_id")
+    unnumbered = F.regexp_replace(text, '"edition_no":[0-9]+', '"edition_no":null')
+    twice = F.regexp_replace(text, r'"clauses":\[(\{.*?\})', r'"clauses":[$1,$1')
+    bad = (
+        F.when(F.endswith(where, F.lit("3")), F.expr("left(document, length(document) - 9)"))
+        .when(F.endswith(where, F.lit("5")), unnumbered).when(F.endswith(where, F.lit("7")), twice).otherwise(text)
+    )
+    source = F.concat_ws("@", "standard_id", F.col("edition_no").cast("string"))
+    return sent.select(source.alias("source_file"), bad.alias("document"))
+
+
+@query(
+    """SELECT 'quarantine' AS "table", concat_ws('@', id, edition_no) || '|' || error AS "row" FROM judged WHERE error IS NOT NULL
+    UNION ALL SELECT 'standard', id FROM judged WHERE error IS NULL AND edition_no IS NOT DISTINCT FROM first
+    UNION ALL SELECT 'edition', id || '@' || edition_no FROM judged WHERE error IS NULL AND edition_no IS NOT NULL
+    UNION ALL SELECT 'clause', c.id || '|' || c.text FROM clause c JOIN judged j ON c.edition_id = j.id || '@' || j.edition_no WHERE error IS NULL
+    UNION ALL SELECT 'built_at', '1999-06-30'""",
+    _BATCH,
+)
+def published_batch(b: Binding) -> DataFrame:
+    """A batch with bad documents, taken apart, published under the scratch folder and loaded again."""
+    good, quarantine = documents.isolate(documents.parse_documents(_batch(b)))
+    standard, edition, clause = documents.flatten_documents(good)
+    tables = {"standard": standard, "edition": edition, "clause": clause, "quarantine": quarantine}
+    root = f"{scratch_dir(b.spark)}/published-{uuid.uuid4().hex}"
+
+    def unique(t):
+        return quality.duplicate_keys("clause(id) is unique", t["clause"], [F.col("id")])
+
+    publish.publish(b.spark, tables, root, "batch", BUILT_AT, unique)
+    build = publish.latest(b.spark, root)
+    said = {"standard": "id", "edition": "id", "clause": "concat(id, '|', text)", "quarantine": "concat(source_file, '|', error)"}
+    rows = [build.table(b.spark, n).select(F.lit(n).alias("table"), F.expr(e).alias("row")) for n, e in said.items()]
+    day = b.spark.range(1).select(F.lit("built_at").alias("table"), F.lit(str(build.built_at)).alias("row"))
+    return quality.union([*rows, day])

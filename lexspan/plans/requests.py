@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan import texts
-from lexspan.functions.scale import keyed_join, written
+from lexspan.functions.scale import factorised, keyed_join, written
 from lexspan.operators import lookup, mapping, search, temporal
 from lexspan.sources import publish
 
@@ -48,8 +48,10 @@ class Corpus:
         return mapping.verification_warning(rows, ["on_date"]).where("unverified").select("on_date", "warning")
 
     def get_standard(self, params: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """params(request_id, standard_id, on_date) -> (summaries, outline rows).
+        """params(request_id, standard_id, on_date) -> (summaries, outlines).
 
+        A summary names the edition that answers it; outlines(edition_id, standard_id, pos, path, heading) hold every asked
+        edition once, however many requests it answers.
         A standard without an edition in force on the date is an error, as its outline is asked for
         too; what replaces a standard is `lookup.successors`.
         """
@@ -78,9 +80,8 @@ class Corpus:
             pairs, self.mapping, found.select("standard_id", "on_date", "edition_id", "edition_no").distinct(), self.clause
         )
         summaries = keyed_join(answered, states, ["standard_id", "on_date"])
-        asked = found.select("request_id", "on_date", "edition_id")
-        listed = self.clause.select("standard_id", "edition_id", "pos", "path", "heading")
-        return summaries, keyed_join(listed, asked, ["edition_id"], "inner")
+        listed = self.clause.select("edition_id", "standard_id", "pos", "path", "heading")
+        return summaries, listed.join(found.select("edition_id").distinct(), "edition_id", "left_semi")
 
     def get_clause(self, params: DataFrame) -> DataFrame:
         """params(..., standard_id, path, on_date) -> the clause, its provenance, or why not."""
@@ -95,37 +96,45 @@ class Corpus:
         return shown, search.search_messages(queries, hits)
 
     def get_mapping(self, params: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """params(request_id, standard_id, clause_path, config) -> (mapping rows, messages).
+        """params(request_id, standard_id, clause_path, config) -> (answers, messages).
 
         Every request has one row of messages: `outcome` says whether its standard is known; for an unknown one
-        `error` says so, `message` is null and there are no mapping rows.
+        `error` says so, `message` is null and there are no mapping rows. `answer_id` names the request's mapping
+        rows, which requests for the same share.
         """
+        keys = ["standard_id", "clause_path", "config"]
+        relation, asked = factorised(params, keys)
+        asked = asked.withColumnRenamed("answer_id", "request_id")
         there = self.standard.select(F.col("id").alias("standard_id"))
-        known = params.join(there, "standard_id", "left_semi")
-        hits = written(
-            mapping.mappings_for(known, self.mapping, self.edition, self.clause, self.config_object, self.built_at),
-            "mappings",
-        )
-        marked = keyed_join(params, there.distinct().withColumn("_there", F.lit(True)), ["standard_id"])
+        known = asked.join(there, "standard_id", "left_semi")
+        hits = mapping.mappings_for(known, self.mapping, self.edition, self.clause, self.config_object, self.built_at)
+        marked = keyed_join(asked, there.distinct().withColumn("_there", F.lit(True)), ["standard_id"])
         told = mapping.mapping_message(marked, hits, self.config_object)
         unknown = F.col("_there").isNull()
-        return hits, told.select(
-            *params.columns, "mappings", "unverified",
+        told = told.select(
+            F.col("request_id").alias("answer_id"), *keys, "mappings", "unverified",
             F.when(unknown, "standard_not_found").otherwise("ok").alias("outcome"),
             F.when(~unknown, F.col("message")).alias("message"),
             F.when(unknown, F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id")).alias("error"),
         )
+        return hits.withColumnRenamed("request_id", "answer_id"), keyed_join(relation, told, ["answer_id"], "inner")
 
     def find_by_object(self, params: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """params(request_id, object_ref, config) -> (clauses, outcomes, suggestions)."""
+        """params(request_id, object_ref, config) -> (answers, outcomes, suggestions).
+
+        Answers and suggestions are keyed by `answer_id`, which the outcome of every request names.
+        """
+        relation, asked = factorised(params, ["object_ref", "config"])
+        asked = asked.withColumnRenamed("answer_id", "request_id")
         hits = written(
             mapping.clauses_by_object(
-                params, self.mapping, self.edition, self.clause, self.standard, self.config_object, self.built_at
+                asked, self.mapping, self.edition, self.clause, self.standard, self.config_object, self.built_at
             ),
             "clauses-by-object",
         )
-        outcomes, suggestions = mapping.classify_objects(params, hits, self.config_object)
-        return hits, outcomes, suggestions
+        outcomes, suggestions = mapping.classify_objects(asked, hits, self.config_object)
+        named = [df.withColumnRenamed("request_id", "answer_id") for df in (hits, outcomes, suggestions)]
+        return named[0], keyed_join(relation, named[1], ["answer_id"], "inner"), named[2]
 
     def get_references(self, params: DataFrame) -> tuple[DataFrame, DataFrame]:
         """params(request_id, standard_id, clause_path) -> (links, outcomes with messages)."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexspan import schemas, texts
 from lexspan.functions.scale import each, keyed_join
@@ -11,10 +12,42 @@ from lexspan.operators.quality import unstable
 PART_SPAN = 500
 
 
+# Holds the text of a document that is no valid JSON, or whose values are not of their kinds.
+CORRUPT = "_corrupt"
+_READ = T.StructType([*schemas.DOCUMENT.fields, T.StructField(CORRUPT, T.StringType(), True)])
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents of a directory with the file each one came from."""
-    docs = spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
-    return docs.withColumn("source_file", F.col("_metadata.file_path"))
+    """JSON documents of a directory with the file each one came from; unreadable ones are rows too."""
+    # Read as texts: a JSON scan would not look at the columns that a query leaves out, and miss what is wrong there.
+    files = spark.read.text(path, wholetext=True)
+    return parse_documents(files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("document")))
+
+
+def parse_documents(records: DataFrame, text: str = "document") -> DataFrame:
+    """records(source_file, text) -> documents as `read_documents` gives them; a text may hold a list of documents."""
+    whole = F.array(F.coalesce(text, F.lit("")))
+    listed = F.when(F.col(text).rlike(r"\A\s*\["), F.from_json(F.col(text), "array<string>"))
+    rows = records.select("source_file", F.explode(F.coalesce(listed, whole)).alias("_text"))
+    parsed = F.from_json("_text", _READ, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = rows.select("source_file", "_text", parsed.alias("d"))
+    names = [f"d.{f.name}" for f in schemas.DOCUMENT.fields]
+    unread = F.when(F.col("_text").isNull() | F.col("d").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.col(f"d.{CORRUPT}"))
+    return rows.select("source_file", *names, unread.alias(CORRUPT))
+
+
+def isolate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantine) of read documents: good ones as `flatten_documents` takes them, and
+    quarantine(source_file, id, error, digest), one row per error of each bad one.
+
+    A bad document costs no other document anything: it is set aside as a whole, by itself.
+    """
+    unread = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("unreadable document")))
+    marked = docs.withColumn("_errors", F.coalesce(unread, _document_errors()))
+    good = marked.where(F.size("_errors") == 0).drop("_errors", CORRUPT)
+    bad = marked.where(F.size("_errors") > 0)
+    digest = F.md5(F.coalesce(CORRUPT, F.to_json(F.struct(*[f.name for f in schemas.DOCUMENT.fields]))))
+    return good, bad.select("source_file", "id", F.explode("_errors").alias("error"), digest.alias("digest"))
 
 
 def edition_id(standard_id: Column, edition_no: Column) -> Column:
@@ -51,9 +84,8 @@ def flatten_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     )
 
 
-def document_errors(docs: DataFrame) -> DataFrame:
-    """(id, error): documents without an id, editions without a number, clauses without a path,
-    clause paths given twice. Bad documents are listed; the others are unaffected."""
+def _document_errors() -> Column:
+    """Distinct errors of a document row."""
     def of_edition(e: Column) -> Column:
         clauses = F.coalesce(e["clauses"], F.array())
         paths = F.transform(clauses, lambda c: c["path"])
@@ -69,7 +101,13 @@ def document_errors(docs: DataFrame) -> DataFrame:
 
     own = F.array_compact(F.array(F.when(F.col("id").isNull(), F.lit("missing id"))))
     nested = F.flatten(F.transform(F.coalesce("editions", F.array()), of_edition))
-    return each(docs, ["id"], F.array_distinct(F.concat(own, nested)), "error")
+    return F.array_distinct(F.concat(own, nested))
+
+
+def document_errors(docs: DataFrame) -> DataFrame:
+    """(id, error): documents without an id, editions without a number, clauses without a path,
+    clause paths given twice. Bad documents are listed; the others are unaffected."""
+    return each(docs, ["id"], _document_errors(), "error")
 
 
 def duplicate_sources(docs: DataFrame) -> DataFrame:
@@ -126,10 +164,14 @@ def valid_edges(edges: DataFrame, standards: DataFrame) -> tuple[DataFrame, Data
 
 
 def load_catalog(objects: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(catalogue, duplicates): objects of configurations that have mappings; references given twice."""
+    """(catalogue, duplicates): objects of configurations that have mappings, one per reference; references given twice.
+
+    Of a reference given twice the row with the smallest kind and presentation stays. Both come from one aggregation.
+    """
     kept = objects.join(configs.select("config").distinct(), "config", "left_semi")
-    repeated = kept.groupBy("config", "ref").agg(F.count("*").alias("rows")).where("rows > 1")
-    return kept, repeated
+    rest = [c for c in objects.columns if c not in ("config", "ref")]
+    one = kept.groupBy("config", "ref").agg(F.min(F.struct(*rest)).alias("_row"), F.count("*").alias("rows"))
+    return one.select("config", "ref", "_row.*"), one.where("rows > 1").select("config", "ref", "rows")
 
 
 def check_mappings(mapping: DataFrame, clauses: DataFrame, catalog: DataFrame) -> DataFrame:

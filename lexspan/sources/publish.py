@@ -46,8 +46,8 @@ def _claim(spark: SparkSession, path: str) -> bool:
     try:
         if files.getScheme() == "file":
             # The local file system's own test and creation are two steps.
-            local = spark._jvm.java.nio.file.Paths.get(place.toUri().getPath(), spark._gateway.new_array(spark._jvm.java.lang.String, 0))
-            attributes = spark._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
+            local = spark._jvm.java.nio.file.Paths.get(place.toUri().getPath(), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0))
+            attributes = spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
             spark._jvm.java.nio.file.Files.createFile(local, attributes)
         else:
             files.create(place, False).close()

@@ -59,14 +59,16 @@ def test_list_and_warnings(corpus):
 
 
 def test_get_standard(spark, corpus):
-    asked = [(0, "a", d("2024-06-01")), (1, "a", d("2022-06-01")), (2, "soon", d("2024-06-01")), (3, "q", d("2024-06-01"))]
+    asked = [(0, "a", d("2024-06-01")), (1, "a", d("2022-06-01")), (2, "soon", d("2024-06-01")), (3, "q", d("2024-06-01")), (4, "a", d("2024-06-02"))]
     params = spark.createDataFrame(asked, "request_id int, standard_id string, on_date date")
     summaries, outline = corpus.get_standard(params)
     got = {r.request_id: (r.outcome, r.status, r.mapping_status) for r in summaries.collect()}
     assert got == {
         0: ("found", texts.ACTIVE, texts.MAPPING_DRAFT), 1: ("found", texts.ACTIVE, texts.MAPPING_DRAFT),
-        2: ("no_edition", None, None), 3: ("standard_not_found", None, None)}
-    assert sorted((r.request_id, r.path) for r in outline.collect()) == [(0, "1"), (0, "2"), (1, "1")]
+        2: ("no_edition", None, None), 3: ("standard_not_found", None, None), 4: ("found", texts.ACTIVE, texts.MAPPING_DRAFT)}
+    # Requests for one edition share its outline, by the edition that the summary names.
+    assert {r.request_id: r.edition_id for r in summaries.collect()} == {0: "a@2", 1: "a@1", 2: None, 3: None, 4: "a@2"}
+    assert sorted((r.edition_id, r.path) for r in outline.collect()) == [("a@1", "1"), ("a@2", "1"), ("a@2", "2")]
 
 
 def test_search_labels_repealed_standards_and_skips_future_ones(spark, corpus):
@@ -83,20 +85,21 @@ def test_search_labels_repealed_standards_and_skips_future_ones(spark, corpus):
 def test_clause_mapping_object_and_references(spark, corpus):
     clause = spark.createDataFrame([("a", "2", d("2024-06-01"))], "standard_id string, path string, on_date date")
     assert corpus.get_clause(clause).first().text == "аренда"
-    asked = spark.createDataFrame([(0, "a", None, "bp"), (1, "old", None, "bp"), (2, "q", None, "bp")], "request_id int, standard_id string, clause_path string, config string")
+    asked = spark.createDataFrame([(0, "a", None, "bp"), (1, "old", None, "bp"), (2, "q", None, "bp"), (3, "a", None, "bp")], "request_id int, standard_id string, clause_path string, config string")
     rows, messages = corpus.get_mapping(asked)
-    assert [(r.request_id, r.presentation) for r in rows.collect()] == [(0, "Основные")]
+    answers = {r.request_id: r.answer_id for r in messages.collect()}
+    assert [(r.answer_id, r.presentation, r.rank) for r in rows.collect()] == [(answers[0], "Основные", 1)] and answers[0] == answers[3] != answers[1]
     assert {r.request_id: (r.outcome, r.message, r.error) for r in messages.collect()} == {
         0: ("ok", "", None), 1: ("ok", texts.MSG_NO_MAPPING, None),
-        2: ("standard_not_found", None, "Стандарт 'q' отсутствует в корпусе")}
+        2: ("standard_not_found", None, "Стандарт 'q' отсутствует в корпусе"), 3: ("ok", "", None)}
     refs = spark.createDataFrame([(0, "01", "bp"), (1, "износ", "bp")], "request_id int, object_ref string, config string")
     clauses, outcomes, suggestions = corpus.find_by_object(refs)
     assert {r.request_id: r.outcome for r in outcomes.collect()} == {0: "mapped", 1: "unknown"}
     assert [r.suggestion for r in suggestions.collect()] == ["02"] and clauses.first().standard_title == "Title a"
     links, answered = corpus.get_references(asked.drop("config"))
-    assert [r.its_id for r in links.collect()] == ["i1"]
+    assert [r.its_id for r in links.orderBy("request_id").collect()] == ["i1", "i1"]
     assert {r.request_id: (r.outcome, r.message) for r in answered.collect()} == {
-        0: ("ok", ""), 1: ("ok", texts.MSG_NO_LINKS), 2: ("standard_not_found", None)}
+        0: ("ok", ""), 1: ("ok", texts.MSG_NO_LINKS), 2: ("standard_not_found", None), 3: ("ok", "")}
 
 
 def test_registry_lines(corpus):

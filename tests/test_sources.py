@@ -69,7 +69,7 @@ def test_edges_with_an_unknown_end_are_skipped(spark):
 def test_catalogue_keeps_configs_with_mappings(spark):
     objects = spark.createDataFrame([("bp", "1"), ("bp", "1"), ("erp", "2")], "config string, ref string")
     kept, repeated = documents.load_catalog(objects, spark.createDataFrame([("bp",)], "config string"))
-    assert kept.count() == 2 and [tuple(r) for r in repeated.collect()] == [("bp", "1", 2)]
+    assert [tuple(r) for r in kept.collect()] == [("bp", "1")] and [tuple(r) for r in repeated.collect()] == [("bp", "1", 2)]
 
 
 def test_mapping_and_link_rules(spark):
@@ -177,6 +177,25 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert newest.table(spark, "clause").count() == 2
 
 
+def test_bad_documents_are_set_aside_and_the_others_taken(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(doc("a", [edition(1, "1", "2")]), indent=1), encoding="utf-8")
+    (tmp_path / "cut.json").write_text(json.dumps(doc("b", [edition(1, "1")]))[:-7], encoding="utf-8")
+    (tmp_path / "kind.json").write_text(json.dumps(doc("c", [edition(1, "1")]) | {"year": "soon"}), encoding="utf-8")
+    (tmp_path / "empty.json").write_text("", encoding="utf-8")
+    bad = [edition(1, "1", "1"), edition(2, "1", None), {**edition(3, "1"), "edition_no": None}]
+    (tmp_path / "bad.json").write_text(json.dumps(doc(None, bad)), encoding="utf-8")
+    good, quarantine = documents.isolate(documents.read_documents(spark, str(tmp_path)))
+    assert [r.id for r in documents.flatten_documents(good)[2].orderBy("id").collect()] == ["a@1#1", "a@1#2"]
+    found = {(r.source_file.rsplit("/", 1)[1], r.error) for r in quarantine.collect()}
+    assert {f for f in found if f[0] != "empty.json"} == {
+        ("cut.json", "unreadable document"), ("kind.json", "unreadable document"), ("bad.json", "missing id"),
+        ("bad.json", "duplicate clause path"), ("bad.json", "clause without path"), ("bad.json", "edition without edition_no")}
+    records = spark.createDataFrame([("x", None), ("y", "[1, 2"), ("z", json.dumps(doc("z", [])))], "source_file string, document string")
+    good, quarantine = documents.isolate(documents.parse_documents(records))
+    assert [r.id for r in good.collect()] == ["z"]
+    assert sorted((r.source_file, r.error) for r in quarantine.collect()) == [("x", "unreadable document"), ("y", "unreadable document")]
+
+
 def test_of_two_builds_under_one_id_one_is_announced(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
     from threading import Barrier
