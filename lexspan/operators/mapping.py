@@ -207,7 +207,7 @@ def suggest_objects(params: DataFrame, catalog: DataFrame, k: int = texts.SUGGES
     fragment is compared with a whole catalogue: rows are indexed by the substrings of up to three
     characters of their reference and label.
     - A fragment of at most three characters *is* such a substring: its answer is the first `k`
-      rows of that index entry, and entries are cut to `k` before any request is joined.
+      rows of that index entry, and each task cuts its entries to `k` before they are shuffled.
     - A longer fragment contains all its three-character substrings; it is looked up under the
       rarest of them and then tested literally.
     """
@@ -218,19 +218,17 @@ def suggest_objects(params: DataFrame, catalog: DataFrame, k: int = texts.SUGGES
     sizes = [F.array(F.lit(""))] + [
         F.array_union(_grams(low_ref, n), _grams(low_label, n)) for n in range(1, _GRAM + 1)
     ]
-    indexed = each(rows, ["config", "ref"], F.array_distinct(F.concat(*sizes)), "frag")
-    entries = indexed.join(short, ["config", "frag"], "left_semi")
+    # Only what is asked for leaves a row, and of that the first `k` a task, before anything is shuffled by it.
+    wanted = short.groupBy("config").agg(F.collect_set("frag").alias("_wanted"))
+    entries = each(rows.join(wanted, "config"), ["config", "ref"], F.array_intersect(F.array_distinct(F.concat(*sizes)), F.col("_wanted")), "frag")
     from_short = top_rows(entries, ["config", "frag"], [F.col("ref")], k)
 
     long = asked.where(F.length("frag") > _GRAM)
     looked = each(long, ["config", "frag"], _grams(F.col("frag"), _GRAM), "gram")
     both = F.array_union(_grams(low_ref, _GRAM), _grams(low_label, _GRAM))
-    grams = each(rows, ["config", "ref", "presentation"], both, "gram")
-    used = looked.select("config", "gram").distinct()
-    sizes_by_gram = (
-        grams.select("config", "gram").join(used, ["config", "gram"], "left_semi")
-        .groupBy("config", "gram").agg(F.count("*").alias("n"))
-    )
+    sought = looked.groupBy("config").agg(F.collect_set("gram").alias("_sought"))
+    grams = each(rows.join(sought, "config"), ["config", "ref", "presentation"], F.array_intersect(both, F.col("_sought")), "gram")
+    sizes_by_gram = grams.groupBy("config", "gram").agg(F.count("*").alias("n"))
     rarest = (
         keyed_join(looked, sizes_by_gram, ["config", "gram"])
         .groupBy("config", "frag")

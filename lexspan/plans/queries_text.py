@@ -21,6 +21,11 @@ def _pieces(html: str) -> str:
       lambda x: regexp_replace(regexp_replace(x, '^[^>]*>', ''), '(?is)(</p\\s*>|</?(article|div|footer|h[1-6]|ul|li|nav)[^a-z0-9-]).*$', ''))"""
 
 
+def _tags(html: str) -> str:
+    """Attributes of the paragraphs that `_pieces` gives."""
+    return f"""list_transform((string_split(regexp_replace({html}, '(?i)<p([\\s>/])', chr(1) || '\\1', 'g'), chr(1)))[2:], lambda x: regexp_extract(x, '^[^>]*', 0))"""
+
+
 def _node(x: str) -> str:
     """Text nodes of a fragment, trimmed and joined."""
     decoded = f"replace(replace(replace({x}, '&quot;', '\"'), '&middot;', '·'), '&amp;', '&')"
@@ -30,18 +35,24 @@ def _node(x: str) -> str:
 
 
 _PARAS = f""",
-cut AS (SELECT page_id, url, {_pieces('body')} AS ps FROM source_pages),
-raw_paras AS (SELECT page_id, url, unnest(ps) AS html, generate_subscripts(ps, 1) AS i FROM cut),
-node_paras AS (SELECT page_id, url, i, html, {_node('html')} AS raw,
+cut AS (SELECT page_id, url, {_pieces('body')} AS ps, {_tags('body')} AS tags FROM source_pages),
+raw_paras AS (SELECT page_id, url, unnest(ps) AS html, replace(lower(unnest(tags)), ' ', '') AS tag, generate_subscripts(ps, 1) AS i FROM cut),
+node_paras AS (SELECT page_id, url, i, html, tag, {_node('html')} AS raw,
     regexp_extract_all(html, '(?is)<(strong|b)(\\s[^>]*)?>(.*?)(</(strong|b)\\s*>|$)', 3) AS bolds FROM raw_paras),
 flag_paras AS (
-  SELECT page_id, url, i, regexp_replace(regexp_replace(trim(regexp_replace(raw, '[ \\t]+', ' ', 'g')),
+  SELECT page_id, url, i, tag, regexp_replace(regexp_replace(trim(regexp_replace(raw, '[ \\t]+', ' ', 'g')),
       '^(\\d+)\\s+(\\d+)\\s*\\.', '\\1.\\2.'), '^([IVXLCDM]+)\\s+(\\d+)\\s*\\.', '\\1\\2.') AS text,
     len(bolds) > 0 AND raw <> '' AND raw = {_node("array_to_string(bolds, ' <x> ')")} AS bold
   FROM node_paras),
+placed_paras AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
+    NOT bold AND regexp_matches(tag, 'align=["'']?center|text-align:center') AS centred
+  FROM flag_paras WHERE text <> ''),
 paras AS (
-  SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, text, bold
-  FROM flag_paras WHERE text <> '')"""
+  SELECT page_id, url, pos, text, bold,
+    bold OR (centred AND NOT coalesce(lag(centred) OVER w, false) AND NOT coalesce(lead(centred) OVER w, false)
+      AND NOT regexp_matches(text, '(?i)руб\\.|%|=') AND NOT regexp_matches(regexp_replace(text, '^[^\\s.]{{1,6}}\\.\\s*', ''), '\\d')) AS heading
+  FROM placed_paras WINDOW w AS (PARTITION BY page_id ORDER BY pos))"""
 
 _PLAIN_PAGES = f""",
 source_pages AS (SELECT page_id, url, {_BODY} AS body FROM pages)""" + _PARAS
@@ -62,10 +73,17 @@ def bold_headings(b: Binding) -> DataFrame:
     return found.where("bold").select("id", "pos", "text")
 
 
-# Every page gets an annex marker and footnotes; some get a second copy, an appendix or a centred line.
+# Lines in the middle: headings where they stand alone, also beside a bold one; not beside each other, nor what shows a sum.
+_CENTRED = (
+    '<p align="center">Раздел посередине</p><p>between</p>'
+    '<p style="Text-Align: center">Первая строка</p><p style="text-align:center">Вторая строка</p><p>between</p>'
+    '<p align=center>Итого сто руб.</p><p>between</p><p align="center"><b>Жирная строка</b></p><p align="center">IV. Рядом с жирной</p><p>between</p>'
+)
+
+# Every page gets an annex marker, centred lines and footnotes; some get a second copy or an appendix.
 _MARKED_PAGES = f""",
 source_pages AS (
-  SELECT page_id, url, '<p>Приложение № 1 к приказу</p>' || body
+  SELECT page_id, url, '<p>Приложение № 1 к приказу</p>' || body || '{_CENTRED}'
     || CASE WHEN contains(url, '#') THEN '<p>ПОЛОЖЕНИЕ ПО БУХГАЛТЕРСКОМУ УЧЕТУ</p><p>Name</p><p>(утверждено приказом)</p>' || body ELSE '' END
     || CASE WHEN contains(url, '?') THEN '<p>Приложение № 2</p><p>к Положению</p><p>1. Example</p>' ELSE '' END
     || '<p>Text[7] with a mark [8].</p><p>[1] First note.</p><p>[2] Second note.</p>' AS body
@@ -78,7 +96,7 @@ bounds AS (
   SELECT page_id, min(pos) FILTER (annex = 1) AS first, min(pos) FILTER (annex = 2) AS second,
          max(pos) + 1 AS size FROM marks GROUP BY 1),
 copies AS (
-  SELECT m.page_id, m.pos, m.text, m.bold, lead(m.text) OVER (PARTITION BY m.page_id ORDER BY m.pos) AS after
+  SELECT m.page_id, m.pos, m.text, m.heading, lead(m.text) OVER (PARTITION BY m.page_id ORDER BY m.pos) AS after
   FROM marks m JOIN bounds b USING (page_id)
   LEFT JOIN (SELECT p.page_id, min(p.pos) AS pos FROM paras p JOIN bounds b ON b.page_id = p.page_id
              WHERE p.text IN ('ПОЛОЖЕНИЕ ПО БУХГАЛТЕРСКОМУ УЧЕТУ', 'ФЕДЕРАЛЬНЫЙ СТАНДАРТ БУХГАЛТЕРСКОГО УЧЕТА')
@@ -102,6 +120,7 @@ def _marked_pages(b: Binding) -> DataFrame:
     html = F.concat(
         F.lit("<div class='text_wrapper'><p>Приложение № 1 к приказу</p>"),
         F.col("body"),
+        F.lit(_CENTRED),
         F.when(F.contains("url", F.lit("#")), second).otherwise(""),
         F.when(F.contains("url", F.lit("?")), appendix).otherwise(""),
         F.lit("<p>Text[7] with a mark [8].</p><p>[1] First note.</p><p>[2] Second note.</p></div>"),
@@ -111,7 +130,7 @@ def _marked_pages(b: Binding) -> DataFrame:
 
 
 @query(
-    """SELECT page_id AS id, string_agg(CASE WHEN bold THEN chr(57344) ELSE '' END || stripped, chr(10) || chr(10) ORDER BY pos) AS text
+    """SELECT page_id AS id, string_agg(CASE WHEN heading THEN chr(57344) ELSE '' END || stripped, chr(10) || chr(10) ORDER BY pos) AS text
     FROM kept GROUP BY 1""",
     _MARKED_PAGES,
 )

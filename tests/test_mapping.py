@@ -134,3 +134,14 @@ def test_verification_warning(spark):
     rows = spark.createDataFrame([(1, True), (1, False), (2, True)], "g int, verified boolean")
     got = {r.g: r.warning for r in mapping.verification_warning(rows, ["g"]).collect()}
     assert got == {1: texts.MSG_UNVERIFIED, 2: None}
+
+
+def test_a_task_passes_on_no_more_suggestions_than_are_shown(spark):
+    objects = spark.range(4000).selectExpr("'bp' as config", "concat('a', lpad(id, 5, '0')) as ref", "'k' as kind", "'label' as presentation").repartition(4)
+    params = spark.createDataFrame([(1, "A", "bp"), (2, "a0000", "bp"), (3, "zzz", "bp")], "request_id int, object_ref string, config string")
+    found = mapping.suggest_objects(params, objects, 3)
+    got = sorted(map(tuple, found.collect()))
+    assert got == [(q, r, f"a0000{r - 1}") for q in (1, 2) for r in (1, 2, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    limits = [line for line in plan.split("\n") if "WindowGroupLimit" in line and "Partial" in line]
+    assert len(limits) == 2 and all("frag" in line for line in limits)
