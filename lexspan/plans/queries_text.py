@@ -9,7 +9,7 @@ from lexspan.functions.html import element_body
 from lexspan.operators import extract, structure, temporal
 from lexspan.plans.binding import TODAY, Binding
 from lexspan.plans.queries import query
-from lexspan.sources import registry
+from lexspan.sources import publish, registry
 
 # --- pages --------------------------------------------------------------------------------------
 
@@ -309,6 +309,30 @@ def clause_tree(b: Binding) -> DataFrame:
     return structure.parse_clauses(_structured(b))
 
 
+@query(
+    """SELECT doc_id AS doc, 'derived' AS side, count(*) AS "rows" FROM tree WHERE pos % 50 = 7 OR pos % 60 = 9 GROUP BY 1
+    UNION ALL SELECT doc_id, 'stored', count(*) FROM tree WHERE pos % 50 = 7 AND pos % 60 <> 9 GROUP BY 1""",
+    _TREE,
+)
+def reproduced_corpus(b: Binding) -> DataFrame:
+    """Web pages -> paragraphs -> text -> clauses, in one plan, against stored clauses of which some were changed or lost."""
+    docs = _structured(b)
+
+    def paragraph(block: Column) -> Column:
+        line = F.regexp_replace(block, extract.HEADING_MARK, "")
+        for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            line = F.replace(line, F.lit(mark), F.lit(entity))
+        bold = F.startswith(block, F.lit(extract.HEADING_MARK))
+        return F.when(bold, F.concat(F.lit("<p><b>"), line, F.lit("</b></p>"))).otherwise(F.concat(F.lit("<p>"), line, F.lit("</p>")))
+
+    body = F.array_join(F.transform(F.split("text", "\n\n"), paragraph), "\n")
+    pages = docs.select(F.col("doc").alias("id"), F.concat(F.lit('<div class="text_wrapper">'), body, F.lit("</div>")).alias("html"))
+    derived = structure.parse_clauses(extract.page_texts(pages).withColumnRenamed("id", "doc"))
+    stored = structure.parse_clauses(docs).where("pos % 60 <> 9")
+    stored = stored.withColumn("text", F.when(F.col("pos") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return publish.reproduces(derived, stored, ["doc"]).groupBy("doc", "side").agg(F.sum("rows").alias("rows"))
+
+
 @query(
     """SELECT doc_id AS doc, count(DISTINCT CASE WHEN parent_path IS NULL THEN path END) AS top_level,
       count(DISTINCT CASE WHEN parent_path IS NULL THEN path END) >= 5 AS complete FROM tree GROUP BY 1""",
