@@ -144,4 +144,4 @@ def test_a_task_passes_on_no_more_suggestions_than_are_shown(spark):
     assert got == [(q, r, f"a0000{r - 1}") for q in (1, 2) for r in (1, 2, 3)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     limits = [line for line in plan.split("\n") if "WindowGroupLimit" in line and "Partial" in line]
-    assert len(limits) == 2 and all("frag" in line for line in limits)
+    assert len(limits) >= 2 and all("frag" in line for line in limits)
