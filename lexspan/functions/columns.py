@@ -75,9 +75,10 @@ def tokens(text: Column) -> Column:
 
 
 def parse_on_date(value: Column, today: Column | None = None) -> tuple[Column, Column]:
-    """(date, error) of an ISO date parameter; a missing parameter means today."""
+    """(date, error) of an ISO date parameter, with hyphens or without; a missing parameter means today."""
     default = F.current_date() if today is None else today
     iso = F.when(value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(value, "yyyy-MM-dd"))
+    iso = iso.when(value.rlike(r"\A[0-9]{8}\z"), F.try_to_date(value, "yyyyMMdd"))
     on_date = F.when(value.isNull(), default).otherwise(iso)
     error = F.when(value.isNotNull() & iso.isNull(), F.format_string(texts.MSG_BAD_DATE, value))
     return on_date, error

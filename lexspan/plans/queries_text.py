@@ -517,6 +517,6 @@ def search_urls(b: Binding) -> DataFrame:
 )
 def on_date_parameters(b: Binding) -> DataFrame:
     kind, day = F.col("event_type"), F.to_date("ts")
-    given = F.when(kind == "error", C.ru_date(day)).when(kind != "signup", day.cast("string"))
+    given = F.when(kind == "error", C.ru_date(day)).when(kind == "click", F.date_format(day, "yyyyMMdd")).when(kind != "signup", day.cast("string"))
     asked = b.read("events").select("event_id", given.alias("on_date"))
     return temporal.with_on_date(asked, today=F.lit(TODAY)).select("event_id", "on_date", "error")
