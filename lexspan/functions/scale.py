@@ -60,6 +60,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as a Parquet table in the shared folder and read it back.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan import texts
-from lexspan.functions.scale import scratch_dir, written
+from lexspan.functions.scale import exists, scratch_dir, written
 from lexspan.operators import search
 
 DATES = [date(1996, 3, 15), date(1998, 7, 1), date(2001, 12, 31)]
@@ -50,7 +50,7 @@ class Binding:
     def index(self, name: str, clauses, lemmas: DataFrame | None = None) -> search.Index:
         """The search index of one corpus, saved once per session for all queries that read it."""
         path = _SAVED.get(key := (self.spark.sparkContext.applicationId, self.dir, name))
-        if path is None:
+        if path is None or not exists(self.spark, path):
             path = _SAVED[key] = f"{scratch_dir(self.spark)}/index-{name}-{uuid.uuid4().hex}"
             search.save_index(clauses(), path, lemmas)
         return search.open_index(self.spark, path)
