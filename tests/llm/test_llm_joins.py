@@ -37,7 +37,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_everything_is_registered():
     known = entry.queries()
-    assert all(any(k.startswith(f"op{n}_") for k in known) for n in range(1, 11)) and "pipeline" in known
+    assert all(any(k.startswith(f"op{n}_") for k in known) for n in range(1, 14)) and "pipeline" in known
 
 
 # Nearest neighbours.
@@ -280,3 +280,20 @@ def test_pipeline_against_brute_force(spark):
     assert not any(digits.search(t) for t in rows.values())
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == set(rows) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_bear_nulls_repeats_other_columns_and_empty_tables(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away again " * 3
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "12 34", "en", "s", 5), (None, "mail a@b.cd now", "en", None, 1)]
+    table = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], DOCS)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns, name
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+    ids = {name: [i for _, i, _ in found] for name, found in kept.items()}
+    assert ids["language"] == [1, 1, 2, 0] and ids["near_copies"] == [1, 3, 4, 5, 0]
+    assert ids["benchmark_leaks"] == ids["personal_data"] == [1, 1, 2, 3, 4, 5, 0] and "a@b.cd" not in str(kept["personal_data"])
+    pieces = corpus_pipeline.packed(spark, table, SF).collect()
+    assert len(pieces) == 7 and sum(r.doc_tokens == 1 for r in pieces) == 2
