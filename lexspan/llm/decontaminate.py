@@ -4,11 +4,14 @@
    reaches the similarity shares a shingle with its item, so only windows as long as an item that hold one of
    the shingles of items of that length are laid; no other window can match.
 2. A window's fingerprint has 64 bits: bit b is set when most of its shingles' hashes have it set.
+   A document's counters run on from shingle to shingle, and a window's are the difference of two of them, so that
+   a window costs two rows however long it is.
 3. Fingerprints are cut into `BLOCKS` parts. Two within `RADIUS` bits differ in at most RADIUS / BLOCKS of some part,
    so an item is filed under every value that close to its own, and a window looks up its own values: no pair within
    the radius is missed.
 4. Pairs within the radius are verified exactly: shingles weighted by how often they occur, the sum of the smaller
-   weights over the sum of the larger ones.
+   weights over the sum of the larger ones. What a shingle adds, it adds to a run of starts: its windows in which it
+   has not stood as often as in the item before. Two events a shingle, summed up along the starts, verify all windows.
 
 Defined results: a null text, or one of under five words, has no shingles and matches nothing, as document or as item;
 a window at the end of a text may be shorter than its item; equal rows are one document; of several windows for one
@@ -17,7 +20,7 @@ item the most similar counts, the earliest among equals; other columns are ignor
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.columns import bind
@@ -33,9 +36,10 @@ BLOCKS = 7
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 BITS = 64
-# Bit counts of one window are summed in longs of three counters, 21 bits each: items may have two million words.
-COUNTER = 21
-LANE = 3
+# Counters of two bits share a long, 31 bits each: no text has more shingles.
+COUNTER = 31
+LANE = 2
+LANES = [f"lane{k}" for k in range(BITS // LANE)]
 
 
 def words(text: Column) -> Column:
@@ -55,18 +59,22 @@ def shingle_hashes(text: Column) -> Column:
     return bind(words(text), runs)
 
 
+def lanes() -> list[Column]:
+    """The bits of `hash` as counters, `LANE` of them in each long; written as SQL, as so many calls would take seconds."""
+    bit = lambda b, at: f"shiftleft(shiftrightunsigned(hash, {b}) & 1L, {COUNTER * at})"
+    return [F.expr(" + ".join(bit(LANE * k + at, at) for at in range(LANE))) for k in range(len(LANES))]
+
+
+def majority() -> Column:
+    """The fingerprint of `n` shingles from their summed counters."""
+    ones = lambda bit: f"(shiftrightunsigned({LANES[bit // LANE]}, {COUNTER * (bit % LANE)}) & {(1 << COUNTER) - 1}L)"
+    return F.expr(" | ".join(f"if({ones(bit)} * 2 > n, shiftleft(1L, {bit}), 0L)" for bit in range(BITS)))
+
+
 def fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     """SimHash of the `hash` rows of each group: `print`, and the number of shingles `n`."""
-    counted = []
-    for first in range(0, BITS, LANE):
-        bits = [F.shiftleft(F.shiftright("hash", first + k).bitwiseAND(F.lit(1)), COUNTER * k) for k in range(min(LANE, BITS - first))]
-        counted.append(F.sum(reduce(Column.__add__, bits)).alias(f"lane{first // LANE}"))
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *counted)
-    value = F.lit(0).cast("long")
-    for bit in range(BITS):
-        ones = F.shiftright(f"lane{bit // LANE}", COUNTER * (bit % LANE)).bitwiseAND(F.lit((1 << COUNTER) - 1))
-        value = value.bitwiseOR(F.when(ones * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*by, "n", value.alias("print"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(lane).alias(name) for lane, name in zip(lanes(), LANES, strict=True)])
+    return sums.select(*by, "n", majority().alias("print"))
 
 
 def block_bounds() -> list[tuple[int, int]]:
@@ -81,18 +89,21 @@ def parts(value: Column, variants: bool) -> Column:
     for block, (first, width) in enumerate(block_bounds()):
         own = F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         masks = [m for m in range(1 << width) if bin(m).count("1") <= RADIUS // BLOCKS] if variants else [0]
-        close = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, own=own: own.bitwiseXOR(m))
+        close = F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), lambda m, own=own: own.bitwiseXOR(m))
         out.append(F.transform(close, lambda v, block=block: F.struct(F.lit(block).alias("block"), v.alias("value"))))
     return F.concat(*out)
 
 
 def item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shingles (item_id, size, hash, count), their lengths (hash, size), and the index (size, block, value, print)."""
+    """Shingles (item, size, hash, weight), their lengths (hash, size), and the index (item, item_id, size, block, value, item_print, item_n).
+
+    `item` stands for one text of one id; `size` counts its words.
+    """
     texts = benchmark.select("item_id", "text").dropDuplicates()
-    hashes = texts.select("item_id", F.xxhash64("text").alias("item"), shingle_hashes(F.col("text")).alias("hashes"))
+    hashes = texts.select("item_id", F.xxhash64("item_id", "text").alias("item"), shingle_hashes(F.col("text")).alias("hashes"))
     sized = each(hashes.withColumn("size", F.size("hashes") + WORDS - 1), ["item_id", "item", "size"], F.col("hashes"), "hash")
     rows = written(sized, "items")
-    bags = rows.groupBy("item_id", "item", "size", "hash").agg(F.count("*").alias("weight"))
+    bags = rows.groupBy("item", "size", "hash").agg(F.count("*").cast("int").alias("weight"))
     lengths = rows.select("hash", "size").distinct()
     prints = fingerprint(rows, ["item_id", "item", "size"]).withColumnRenamed("n", "item_n").withColumnRenamed("print", "item_print")
     index = prints.select("*", F.explode(parts(F.col("item_print"), True)).alias("part")).select("*", "part.*").drop("part")
@@ -100,37 +111,60 @@ def item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def windows(docs: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows (key, size, start, hash): one row per shingle of every window that may match."""
+    """Windows that may match (key, size, start), and the shingles (key, hashes) of the documents that have one."""
     keyed = docs.select(row_key().alias("key"), "text")
     spots = each(keyed, ["key"], shingle_hashes(F.col("text")), "hash", "at")
-    hits = spots.join(checked(lengths), "hash").select("key", "at", "size").distinct()
-    first, last = F.greatest(F.lit(0), F.col("at") - F.col("size") + WORDS), F.col("at")
-    laid = written(hits.select("key", "size", F.explode(F.sequence(first, last)).alias("start")).distinct(), "windows")
+    hits = spots.join(checked(lengths), "hash").groupBy("key", "size").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    # A place starts the windows that reach it, but for those that a place before it has started.
+    before = lambda i: F.when(i > 0, F.get("places", i - 1) + 1).otherwise(0)
+    runs = F.transform("places", lambda at, i: F.sequence(F.greatest(F.lit(0), at - F.col("size") + WORDS, before(i)), at))
+    laid = written(each(each(hits, ["key", "size"], runs, "run"), ["key", "size"], F.col("run"), "start"), "windows")
     there = checked(laid.select("key").distinct())
     texts = keyed.join(there, "key", "left_semi").dropDuplicates(["key"])
-    held = written(texts.select("key", shingle_hashes(F.col("text")).alias("hashes")), "hits")
-    rows = laid.join(held, "key").select(
-        "key", "size", "start", F.explode(F.slice("hashes", F.col("start") + 1, F.col("size") - (WORDS - 1))).alias("hash")
-    )
-    return laid, rows
+    return laid, written(texts.select("key", shingle_hashes(F.col("text")).alias("hashes")), "hits")
+
+
+def window_prints(laid: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, size, start, n, print) of every window; one shuffle of the documents' shingles and two rows a window."""
+    none = lambda kind: F.lit(None).cast(kind)
+    shingles = each(held, ["key"], F.col("hashes"), "hash", "at").select("key", "at", "hash", none("int").alias("size"), none("int").alias("start"), F.lit(0).alias("sign"))
+    # What stands before a place, is counted there; behind the last shingle, all of the text is.
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("size") - (WORDS - 1)).alias("at"), F.lit(1).alias("sign")))
+    marks = laid.select("key", "size", "start", F.explode(ends).alias("end")).select("key", "end.at", none("long").alias("hash"), "size", "start", "end.sign")
+    order = Window.partitionBy("key").orderBy("at", F.col("sign") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    counted = [F.sum(F.coalesce(lane, F.lit(0).cast("long"))).over(order).alias(name) for lane, name in zip(lanes(), LANES, strict=True)]
+    so_far = shingles.unionByName(marks).select("key", "size", "start", "sign", F.count("hash").over(order).alias("n"), *counted).where("sign <> 0")
+    sums = so_far.groupBy("key", "size", "start").agg(*[F.expr(f"sum(sign * {c}) AS {c}") for c in ["n", *LANES]])
+    return sums.select("key", "size", "start", "n", majority().alias("print"))
+
+
+def shared(pairs: DataFrame, held: DataFrame, bags: DataFrame) -> DataFrame:
+    """`pairs` (key, item, start, ...) with `both`: for all shingles, the smaller of their counts in the window and in the item."""
+    with_pairs = checked(pairs.select("key", "item").distinct())
+    there = held.join(checked(pairs.select("key").distinct()), "key", "left_semi")
+    met = each(there, ["key"], F.col("hashes"), "hash", "at").join(checked(bags), "hash").join(with_pairs, ["key", "item"], "left_semi")
+    placed = met.groupBy("key", "item", "size", "hash", "weight").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    # The shingle at a place counts for windows from behind the place where it stood `weight` times before.
+    behind = lambda i: F.when(i >= F.col("weight"), F.get("places", i - F.col("weight")) + 1).otherwise(0)
+    event = lambda at, by: F.struct(at.alias("at"), F.lit(by).alias("by"))
+    events = F.flatten(F.transform("places", lambda at, i: F.array(event(F.greatest(F.lit(0), at - F.col("size") + WORDS, behind(i)), 1), event(at + 1, -1))))
+    changes = each(placed, ["key", "item"], events, "event").groupBy("key", "item", "event.at").agg(F.sum("event.by").alias("by"))
+    asked = pairs.withColumns({"at": F.col("start"), "by": F.lit(0).cast("long"), "asked": F.lit(True)})
+    order = Window.partitionBy("key", "item").orderBy("at", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(changes, allowMissingColumns=True).withColumn("both", F.sum("by").over(order))
+    return rows.where("asked").drop("at", "by", "asked")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, doc_id, item_id, start, similarity) for every document that holds a passage like a benchmark item."""
     bags, lengths, index = item_tables(benchmark)
-    _, rows = windows(docs, lengths)
-    prints = written(fingerprint(rows, ["key", "size", "start"]), "prints")
+    laid, held = windows(docs, lengths)
+    prints = window_prints(laid, held)
     looked = prints.select("*", F.explode(parts(F.col("print"), False)).alias("part")).select("*", "part.*").drop("part")
     near = looked.join(checked(index), ["size", "block", "value"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = written(near.select("key", "size", "start", "n", "item_id", "item", "item_n").distinct(), "pairs")
-    own = rows.join(pairs.select("key", "size", "start").distinct(), ["key", "size", "start"])
-    own = own.groupBy("key", "size", "start", "hash").agg(F.count("*").alias("held"))
-    same = pairs.join(own, ["key", "size", "start"]).join(
-        bags.select(F.col("item_id").alias("with_id"), "item", "hash", "weight"),
-        ["item", "hash"],
-    ).where(F.col("with_id").eqNullSafe(F.col("item_id")))
-    common = same.groupBy("key", "start", "n", "item_id", "item", "item_n").agg(F.sum(F.least("held", "weight")).alias("both"))
+    pairs = written(near.select("key", "start", "n", "item_id", "item", "item_n").distinct(), "pairs")
+    common = shared(pairs, held, bags)
     scored = common.withColumn("similarity", F.col("both") / (F.col("n") + F.col("item_n") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "start")).alias("best"))
     best = best.select("key", "item_id", F.col("best.start").alias("start"), (-F.col("best.less")).alias("similarity"))

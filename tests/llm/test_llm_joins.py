@@ -191,6 +191,57 @@ def test_decontamination_edge_cases(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+def brute_leaks(docs, items):
+    """Best window of every (document, item), by counting the shingles of every window."""
+    runs = lambda t: [tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 4)]
+    found = {}
+    for doc_id, text in docs:
+        own = runs(text)
+        for item_id, item in items:
+            bag = Counter(runs(item))
+            size = bag.total()
+            for start in range(len(own)):
+                window = Counter(own[start : start + size])
+                both = (window & bag).total()
+                similarity = both / (window.total() + size - both)
+                if similarity >= 0.8:
+                    found[doc_id, item_id] = min(found.get((doc_id, item_id), (0, 0)), (-round(similarity, 9), start))
+    return found
+
+
+def test_windows_with_repeated_shingles_against_brute_force(spark):
+    """Few words, so that shingles stand several times in windows and items, and many windows are like an item."""
+    rng = np.random.default_rng(4)
+    speak = lambda n: [f"w{k}" for k in rng.integers(0, 2, n)]
+    items = [(k, speak(n)) for k, n in enumerate((12, 30, 30, 60, 90))]
+    docs = []
+    for k in range(24):
+        body = speak(40)
+        for number in rng.integers(0, len(items), 2):
+            passage = list(items[number][1])
+            for at in rng.integers(0, len(passage), k % 3):
+                passage[at] = "other"
+            body += passage + speak(int(rng.integers(0, 40)))
+        docs.append((k, " ".join(body)))
+    docs += [(100, " ".join(items[4][1] * 3)), (101, " ".join(items[3][1][:55])), (102, "w0 " * 200)]
+    items = [(k, " ".join(w)) for k, w in items] + [(9, "w0 " * 40)]
+    got = decontaminate.leaks(spark.createDataFrame(rows_with_noise(docs), DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    wanted = brute_leaks(docs, items)
+    assert len(wanted) >= 30
+    assert {(r.doc_id, r.item_id): (-round(r.similarity, 9), r.start) for r in got.collect()} == wanted
+
+
+def test_an_item_of_twenty_thousand_words(spark):
+    rng = np.random.default_rng(6)
+    item = [f"w{k}" for k in rng.integers(0, 5_000, 20_000)]
+    changed = [w if k % 1_000 else "other" for k, w in enumerate(item)]
+    docs = [(1, " ".join(["before", *item, "after"])), (2, " ".join(changed)), (3, " ".join(item[:12_000])), (4, " ".join(reversed(item)))]
+    found = decontaminate.leaks(spark.createDataFrame(rows_with_noise(docs), DOCS), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    got = {r.doc_id: (r.item_id, r.start, r.similarity) for r in found.collect()}
+    # Twenty other words, of which the first only shortens the window: 19 spoil five shingles each.
+    assert got == {1: (7, 1, 1.0), 2: (7, 1, 19_900 / (19_995 + 19_996 - 19_900))}
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     """Fingerprints that differ in RADIUS bits share a filed value in some block."""
     rng = np.random.default_rng(2)
