@@ -16,6 +16,7 @@ never link and such rows are orphans (results) or unanswered (calls); empty tabl
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.functions.columns import bind
 from lexspan.functions.scale import written
 
 
@@ -57,27 +58,41 @@ def depths(calls: DataFrame) -> DataFrame:
         now, open_before = written(jumped, "depths"), still
 
 
+# What a member of each kind may be, by its type in JSON: a number without a fraction is an integer, also beyond 64 bits.
+KINDS = {
+    "string": "^STRING$", "filled": "^STRING$", "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)",
+    "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT",
+}
+
+
 def broken_rules(name: Column, arguments: Column, tools: dict[str, dict[str, str]]) -> Column:
     """The rules that a call's arguments (a JSON text) break, as one comma-joined string; empty when valid.
 
-    `tools` maps a tool to its members and their kinds: `string`, `integer` or `filled` (a string that is not blank).
-    Members that the schema does not know are broken rules as well.
+    `tools` maps a tool to its members and their kinds, which `KINDS` lists; `filled` is a string that is not blank. Values are
+    judged by their type: a number in quotes is no integer, and an array with a string no string. A kind with `?` behind it
+    belongs to a member that may be missing or null. Members that the schema does not know are broken rules as well; an object
+    that has a member twice is no object.
     """
-    members = F.from_json(arguments, "map<string,string>")
+    members = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
+    return bind(members, lambda m: F.concat_ws(",", *_rules(name, m, tools)))
+
+
+def _rules(name: Column, members: Column, tools: dict[str, dict[str, str]]) -> list[Column]:
     rules = [F.when(members.isNull(), F.lit("not an object")), F.when(~F.coalesce(name, F.lit("")).isin(*tools), F.lit("unknown tool"))]
     for tool, schema in sorted(tools.items()):
-        here = name == F.lit(tool)
-        for member, kind in sorted(schema.items()):
-            value = F.element_at(members, member)
-            wrong = value.isNull()
-            if kind == "integer":
-                wrong = wrong | ~value.rlike(r"^-?[0-9]+$")
-            elif kind == "filled":
-                wrong = wrong | (F.trim(value) == "")
-            rules.append(F.when(here & members.isNotNull() & wrong, F.lit(f"{tool}.{member}: {kind}")))
-        extra = F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(m) for m in sorted(schema)])))
+        here = (name == F.lit(tool)) & members.isNotNull()
+        for member, given in sorted(schema.items()):
+            kind, value = given.rstrip("?"), F.element_at(members, member)
+            told = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+            wrong = ~told.rlike(KINDS[kind])
+            if kind == "filled":
+                wrong = wrong | (F.trim(F.try_variant_get(value, "$", "string")) == "")
+            if given.endswith("?"):
+                wrong = wrong & (told != "VOID")
+            rules.append(F.when(here & wrong, F.lit(f"{tool}.{member}: {kind}")))
+        extra = F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(m) for m in sorted(schema)]).cast("array<string>")))
         rules.append(F.when(here & (extra > 0), F.lit(f"{tool}: unknown member")))
-    return F.concat_ws(",", *rules)
+    return rules
 
 
 def formatted(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, str]]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -252,16 +253,12 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
         other = (value ^ mask) & (2**64 - 1)
         rows.append((k, value, other - 2**64 if other >= 2**63 else other))
     table = spark.createDataFrame(rows, "k int, a long, b long")
-    from pyspark.sql import functions as F
-
     meet = F.size(F.array_intersect(decontaminate.parts(F.col("a"), True), decontaminate.parts(F.col("b"), False)))
     assert table.where(meet == 0).count() == 0
 
 
 def test_fingerprints_count_many_shingles(spark):
     """A window of more shingles than a short counter holds: every bit is decided by the majority."""
-    from pyspark.sql import functions as F
-
     shares = [0, 0x5555555555555555, -1, -1]
     rows = spark.range(80_000).select(F.lit(1).alias("w"), F.element_at(F.array(*[F.lit(x).cast("long") for x in shares]), (F.col("id") % 4 + 1).cast("int")).alias("hash"))
     got = decontaminate.fingerprint(rows, ["w"]).first()
@@ -288,7 +285,7 @@ def test_tool_calls(spark):
         "f": ("cycle", None, None), "g": ("cycle", None, None), "h": ("unanswered", 0, None), "zz": ("orphan", None, "lost"),
     }
     assert sorted(r.status for r in rows if not r.call_id) == ["orphan", "unanswered"]
-    assert by["a"].errors == "" and "reply.turn: integer" in by["b"].errors and "reply.prompt: filled" in by["b"].errors
+    assert by["a"].errors == "" and by["b"].errors == "reply.conversation: integer,reply.prompt: filled,reply.turn: integer"
     assert by["c"].errors == "not an object" and by["h"].errors == "sing: unknown member" and "unknown tool" in by["f"].errors
     assert by["a"].json == '{"arguments":{"conversation":2,"prompt":"x","turn":1},"call_id":"a","content":"r1","errors":"","name":"reply","status":"linked"}'
     assert all(json.loads(r.json)["status"] == r.status for r in rows)
@@ -296,6 +293,25 @@ def test_tool_calls(spark):
     assert empty.count() == 0
 
 
+def test_arguments_are_judged_by_their_types(spark):
+    tools = {"reply": {"conversation": "integer", "prompt": "filled", "turn": "integer"}, "all": {"a": "array", "b": "boolean", "n": "number?", "o": "object", "s": "string"}}
+    cases = [
+        ("reply", '{"conversation":5,"prompt":"x","turn":1}', ""),
+        ("reply", '{"conversation":"5","prompt":7,"turn":"1"}', "reply.conversation: integer,reply.prompt: filled,reply.turn: integer"),
+        ("reply", '{"conversation":5,"prompt":["x"],"turn":1.5}', "reply.prompt: filled,reply.turn: integer"),
+        ("reply", '{"conversation":123456789012345678901,"prompt":"null","turn":true}', "reply.turn: integer"),
+        ("reply", '{"conversation":null,"prompt":{"x":1},"turn":-1}', "reply.conversation: integer,reply.prompt: filled"),
+        ("reply", '{"turn":1,"turn":1,"conversation":5,"prompt":"x"}', "not an object"),
+        ("reply", "[]", "not an object"), ("reply", "7", "not an object"), ("reply", None, "not an object"), ("reply", "", "not an object"),
+        ("all", '{"a":[],"b":false,"n":1.5,"o":{},"s":""}', ""), ("all", '{"a":[1],"b":true,"o":{"x":1},"s":"x"}', ""),
+        ("all", '{"a":{},"b":"true","n":"1","o":[],"s":1}', "all.a: array,all.b: boolean,all.n: number,all.o: object,all.s: string"),
+        ("all", '{"a":[],"b":false,"n":null,"o":{},"s":"","x":1}', "all: unknown member"), (None, "{}", "unknown tool"),
+    ]
+    table = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, name string, arguments string, wanted string")
+    got = table.select("k", "wanted", toolcalls.broken_rules(F.col("name"), F.col("arguments"), tools).alias("got"))
+    assert [(r.k, r.got) for r in got.orderBy("k").collect()] == [(k, c[2]) for k, c in enumerate(cases)]
+
+
 def test_tool_call_order_of_long_chains(spark):
     calls = spark.createDataFrame([(f"c{k}", "sing", "{}", f"c{k - 1}" if k else None) for k in range(100)], "call_id string, name string, arguments string, waits_for string")
     assert {int(r.call_id[1:]): r.depth for r in toolcalls.depths(calls).collect()} == {k: k for k in range(100)}
