@@ -205,3 +205,22 @@ def test_evaluation(spark):
     assert (rate.queries, rate.hits) == (3, 1) and rate.rate == pytest.approx(1 / 3)
     assert {(r.expect_group, r.misses) for r in search.misses(judged).collect()} == {("g", 1), ("h", 1)}
     assert [r.query_id for r in search.unexpectedly_passing(judged).collect()] == [3]
+
+
+def test_a_common_term_adds_only_its_champions_and_clauses_are_counted_once(spark, tmp_path, monkeypatch):
+    docs = [(f"d{i:03d}", f"s{i % 3}", date(2020, 1, 1), None, f"общее слово{'абвгдежз'[i % 8]}" + " мимо" * (i % 5)) for i in range(240)]
+    stored, keep = [], search.written
+    monkeypatch.setattr(search, "written", lambda df, name: stored.append(name) or keep(df, name))
+    one = saved(spark, docs, tmp_path / "index", buckets=3)
+    assert stored == ["index-counts"]
+    asked = [(q, f"общее нет слово{'абвгдежз'[q % 8]}", DAY, ["s1"] if q % 5 == 0 else [], 40) for q in range(20)]
+    queries = ask(spark, asked)
+    limits = queries.select("query_id", "on_date", "standard_ids")
+    common = search.weighted(search.query_terms(queries), one).where("term = 'общее'").join(limits, "query_id")
+    found = search.champions(one, common, limits)
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {texts.MAX_HITS}
+    got = {}
+    for r in search.search(queries, one).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.clause_id)
+    for q, text, day, ids, k in asked:
+        assert got[q] == [i for _, i in model(docs, text, day, ids, k)]
