@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 
+import __spark_entry__ as entry
 from lexspan import schemas, texts
 from lexspan.operators import quality, search
 from lexspan.plans import requests
@@ -108,3 +109,28 @@ def test_registry_lines(corpus):
     assert lines[2].startswith("> Корпус собран") and lines[3] == "" and lines[4:6] == texts.REPORT_HEADER
     assert lines[6] == "| a | ФСБУ | 6/2020 | Title a | от 17.09.2020 № 204н | 01.01.2020 | действует | черновик |"
     assert len(lines) == 9
+
+
+def small_tables(spark, folder):
+    """One customer with three orders of 60 lines each, asked for by two orders of one day and one supplier."""
+    rows = {
+        "customer": ([(1, "C", 5, "BUILDING", 1.0)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double"),
+        "orders": (
+            [(1, 1, d("1995-01-01"), "O", "1-URGENT"), (2, 1, d("1996-01-01"), "O", "1-URGENT"), (3, 1, d("1996-01-01"), "O", "1-URGENT")],
+            "o_orderkey long, o_custkey long, o_orderdate date, o_orderstatus string, o_orderpriority string"),
+        "lineitem": (
+            [(o, n, n, 7, 1.0, "A", "F", 0.0, 0.1) for o in (1, 2, 3) for n in range(1, 61)],
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_tax double"),
+        "supplier": ([(7, 1.0, 5)], "s_suppkey long, s_acctbal double, s_nationkey int"),
+        "part": ([(1, "Brand#1", "T", "a b")], "p_partkey long, p_brand string, p_type string, p_name string"),
+        "documents": ([(1, "t", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int"),
+        "labels": ([(1, 1)], "doc_id long, quality int"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_search_clauses_answers_every_supplier_to_the_limit(spark, tmp_path):
+    got = entry.queries()["search_clauses"](spark, small_tables(spark, tmp_path)).groupBy("query_id").count().collect()
+    assert [(r.query_id, r["count"]) for r in got] == [(7, texts.MAX_HITS)]
