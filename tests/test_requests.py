@@ -134,3 +134,11 @@ def small_tables(spark, folder):
 def test_search_clauses_answers_every_supplier_to_the_limit(spark, tmp_path):
     got = entry.queries()["search_clauses"](spark, small_tables(spark, tmp_path)).groupBy("query_id").count().collect()
     assert [(r.query_id, r["count"]) for r in got] == [(7, texts.MAX_HITS)]
+
+
+def test_every_request_gets_its_outline(spark, tmp_path):
+    got = entry.queries()["get_standard_outline"](spark, small_tables(spark, tmp_path))
+    assert got.columns == ["request_id", "on_date", "standard_id", "edition_id", "pos", "path", "heading"]
+    counted = {(r.request_id, r.edition_id): r["count"] for r in got.groupBy("request_id", "edition_id").count().collect()}
+    # Two requests for one edition have an outline each.
+    assert counted == {(1, "c1@1"): 60, (2, "c1@2"): 60, (3, "c1@2"): 60}
