@@ -224,3 +224,22 @@ def test_a_common_term_adds_only_its_champions_and_clauses_are_counted_once(spar
         got.setdefault(r.query_id, []).append(r.clause_id)
     for q, text, day, ids, k in asked:
         assert got[q] == [i for _, i in model(docs, text, day, ids, k)]
+
+
+def test_all_scores_are_summed_where_the_clauses_terms_are(spark):
+    docs = [(f"d{i:02d}", "s", None, None, f"общее слово{'абвг'[i % 4]}") for i in range(20)]
+    scores = search.bm25(ask(spark, [(1, "общее словоб", DAY, [], 10)]), index(spark, docs))
+    assert {(r.clause_id, r.matched) for r in scores.collect()} == {(d[0], 1 + d[4].endswith("б")) for d in docs}
+    # Clauses are shuffled once, by clause; neither their terms nor the matching ones are.
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_tokens_are_found_behind_the_shuffle_only(spark):
+    lemmas = spark.createDataFrame([("основных", "основный")], "form string, lemma string")
+    rows = clauses(spark, [("x", "s", None, None, "основных средств"), ("y", "s", None, None, None)])
+    for known in (None, lemmas):
+        counted = search._counted(rows, known)
+        below = counted._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+        assert "regexp_extract_all" not in below
+        assert {(r.clause_id, r.term) for r in counted.collect()} >= {("x", None), ("x", "средств"), ("y", None)}
