@@ -243,3 +243,17 @@ def test_tokens_are_found_behind_the_shuffle_only(spark):
         below = counted._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
         assert "regexp_extract_all" not in below
         assert {(r.clause_id, r.term) for r in counted.collect()} >= {("x", None), ("x", "средств"), ("y", None)}
+
+
+def test_passages_meet_documents_without_a_shuffle_of_words_or_texts(spark, tmp_path):
+    from lexspan.plans import queries
+    from lexspan.plans.binding import Binding
+
+    docs = [(1, "alpha beta gamma delta", "en", "web"), (2, "alpha beta gamma omega", "fr", "book"), (10, "beta gamma", "en", "web"), (3, None, "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "lpha beta gam"), (2, "beta gamma"), (3, "nowhere beta else"), (4, "a beta gamma del")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries._golden(Binding(spark, str(tmp_path)))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.query_id: (r.expect_id, r.lexical_limitation, r.expect_group) for r in found.collect()}
+    assert got == {1: ("1", True, "book"), 2: ("1", True, "book"), 4: ("1", False, "web")}
