@@ -127,19 +127,22 @@ def nest_documents(
     of a standard's first edition describes the standard, the others continue it.
     """
     fields = F.struct("pos", "path", "parent_path", "heading", "text")
-    chunks = clause.groupBy("edition_id", F.floor(F.col("pos") / span).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(fields)).alias("clauses")
-    )
     ed = edition.select(
         F.col("id").alias("edition_id"), "standard_id", "edition_no", "amending_order",
         F.col("effective_from").alias("edition_from"),
     )
-    heads = ed.select("edition_id", F.lit(0).alias("part"))
-    parts = heads.join(chunks, ["edition_id", "part"], "full")
-    described = keyed_join(parts, ed, ["edition_id"], "inner")
+    # A head stands for part 0 of an edition, with or without clauses; both are collected in one shuffle.
+    placed = clause.select("edition_id", F.floor(F.col("pos") / span).cast("int").alias("part"), fields.alias("c"), F.lit(0).alias("head"))
+    heads = ed.select("edition_id", F.lit(0).alias("part"), F.lit(1).alias("head"))
+    collected = placed.unionByName(heads, allowMissingColumns=True).where("edition_id IS NOT NULL").groupBy("edition_id", "part").agg(
+        F.array_sort(F.collect_list("c")).alias("clauses"), F.sum("head").alias("heads")
+    )
+    parts = collected.select("edition_id", "part", "clauses", F.explode(F.expr("array_repeat(0, greatest(int(heads), 1))")).alias("_head"))
     first = ed.groupBy("standard_id").agg(F.min(F.struct("edition_no", "edition_id"))["edition_id"].alias("first_id"))
     std = standard.withColumnRenamed("id", "standard_id").join(first, "standard_id", "left")
-    full = std.join(described, "standard_id", "left")
+    # Standards meet the short edition rows first, so that texts are moved once more and not twice.
+    described = std.join(ed.where("edition_id IS NOT NULL"), "standard_id", "left")
+    full = keyed_join(described, parts, ["edition_id"])
     nested = F.struct(
         "edition_no", "amending_order", F.col("edition_from").alias("effective_from"), "part",
         F.coalesce("clauses", F.array().cast(schemas.DOCUMENT["editions"].dataType.elementType["clauses"].dataType)).alias("clauses"),
