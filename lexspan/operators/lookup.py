@@ -125,8 +125,10 @@ def get_clauses(
         .otherwise("found")
     )
     answered = written(answered.withColumn("outcome", outcome), "answered")
-    misses = answered.where("outcome = 'clause_not_found'").select("edition_id")
-    answered = keyed_join(answered, available_paths(clauses, misses), ["edition_id"])
+    # Only misses name paths; the other answers stay where they are.
+    missed = answered.where("outcome = 'clause_not_found'")
+    named = keyed_join(missed, available_paths(clauses, missed), ["edition_id"])
+    answered = answered.where("outcome != 'clause_not_found'").unionByName(named, allowMissingColumns=True)
     at = F.when(F.col("fell_back"), F.col("std_from")).otherwise(F.col("on_date"))
     error = (
         F.when(F.col("outcome") == "standard_not_found", F.format_string(texts.MSG_STANDARD_NOT_FOUND, "standard_id"))
