@@ -145,3 +145,28 @@ def test_a_task_passes_on_no_more_suggestions_than_are_shown(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     limits = [line for line in plan.split("\n") if "WindowGroupLimit" in line and "Partial" in line]
     assert len(limits) >= 2 and all("frag" in line for line in limits)
+
+
+def test_longer_fragments_meet_only_rows_that_hold_them(spark, monkeypatch):
+    # Of two letters: fragments share any three characters with many rows, and are held by one or none.
+    word = "translate(lpad(bin(id), 10, '0'), '01', 'ab')"
+    objects = spark.range(200, 600).selectExpr("'bp' as config", f"concat('x', {word}) as ref", "'k' as kind", "'label' as presentation")
+    params = spark.range(400).selectExpr("id as request_id", f"upper({word}) as object_ref", "'bp' as config")
+    joined = []
+
+    def counted(facts, dim, on, how="left"):
+        both = facts.join(dim, on, how)
+        joined.append((on, both))
+        return both
+
+    monkeypatch.setattr(mapping, "keyed_join", counted)
+    got = sorted(map(tuple, mapping.suggest_objects(params, objects).collect()))
+    assert got == [(i, 1, "x" + f"{i:010b}".translate({48: "a", 49: "b"})) for i in range(200, 400)]
+    assert all(both.count() < 20 * 400 for _, both in joined)
+
+
+def test_a_row_is_suggested_once_however_often_it_holds_the_fragment(spark):
+    objects = [("bp", "abababab", "k", "xabab abab"), ("bp", "b", "k", "yabababy"), ("bp", "c", "k", "aba"), ("bp", "c", "k", "абаБАБ")]
+    params = spark.createDataFrame([(1, "ABAB", "bp"), (2, "ababab", "bp"), (3, "ab ab", "bp"), (4, "БАБа", "bp"), (5, "абаб", "bp")], "request_id int, object_ref string, config string")
+    got = sorted(map(tuple, mapping.suggest_objects(params, spark.createDataFrame(objects, schemas.CONFIG_OBJECT)).collect()))
+    assert got == [(1, 1, "abababab"), (1, 2, "b"), (2, 1, "abababab"), (2, 2, "b"), (3, 1, "abababab"), (4, 1, "c"), (5, 1, "c")]
