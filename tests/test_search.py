@@ -257,3 +257,38 @@ def test_passages_meet_documents_without_a_shuffle_of_words_or_texts(spark, tmp_
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r.query_id: (r.expect_id, r.lexical_limitation, r.expect_group) for r in found.collect()}
     assert got == {1: ("1", True, "book"), 2: ("1", True, "book"), 4: ("1", False, "web")}
+
+
+def test_terms_of_a_large_part_of_all_clauses_are_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "DENSE_ROWS", 0)
+    docs = [
+        (f"d{i:03d}", f"s{i % 3}", date(2020 + i % 2, 1, 1), date(2022, 1, 1) if i % 5 == 0 else None, f"общее часть слово{'абвгдежзиклмнопрсту'[i % 19]}" + " мимо" * (i % 4))
+        for i in range(190)
+    ]
+    one = saved(spark, docs, tmp_path / "index", buckets=3)
+    assert {r.term for r in one.term_df.where("dense").collect()} == {"общее", "часть", "мимо"}
+    for table in (one.postings, one.lookup):
+        assert table.count() == 190 and table.where("term IN ('общее', 'часть', 'мимо')").count() == 0
+    assert one.counts.where("term = 'общее'").count() == 190 and one.stats.first().n == 190
+    texts_asked = ["общее словоа", "нет общее словоб", "мимо часть", "нет мимо", "общее", "словов мимо мимо"]
+    asked = [(q, t, day, ids, k) for q, (t, day, ids, k) in enumerate((t, day, ids, k) for t in texts_asked for day in (date(2020, 3, 1), DAY) for ids in ([], ["s1"]) for k in (4, 60))]
+    got = {}
+    for r in search.search(ask(spark, asked), one).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(-r.score, 9), r.clause_id))
+    for q, text, day, ids, k in asked:
+        want = model(docs, text, day, ids, k)
+        assert [i for _, i in got.get(q, [])] == [i for _, i in want], (text, day, ids, k)
+        for (a, _), (b, _) in zip(got.get(q, []), want):
+            assert a == pytest.approx(b, abs=1e-8)
+    everything = {(r.query_id, r.clause_id): r.matched for r in search.bm25(ask(spark, [(1, "общее словоа", DAY, [], 5)]), one).collect()}
+    assert everything == {(1, d[0]): 1 + ("словоа" in d[4]) for d in docs}
+    # Counts meet what is found where they lie.
+    found = spark.createDataFrame([(1, "d000", "s0"), (1, "d002", "s2")], "query_id int, clause_id string, standard_id string")
+    words = spark.createDataFrame([(1, 2, "общее", 1.0), (1, 2, "мимо", 2.0)], "query_id int, n_terms int, term string, weight double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = search._dense_parts(one, found, words)
+        assert sorted((r.clause_id, r.weight, r.tf) for r in parts.collect()) == [("d000", 1.0, 1), ("d002", 1.0, 1), ("d002", 2.0, 2)]
+        assert [shuffles for where, _, shuffles in scans(parts) if "_counts" in where] == [0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
