@@ -98,3 +98,17 @@ def test_a_batch_is_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(queries.documents, "isolate", lambda docs: seen.append(plan_of(docs)) or real(docs))
     queries.QUERIES["published_batch"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and "/parsed-" in seen[0]
+
+
+def test_given_keys_are_counted_once(unbroadcast):
+    given = unbroadcast.createDataFrame([("a", 1), ("b", 1), ("b", 1), ("a|1", 2), (None, 3)], "id string, no int")
+    used = unbroadcast.createDataFrame([(1, "a", 1), (2, "c", 1), (3, "b", None), (4, "a|1", 3), (5, "a", 1)], "n int, ref string, no int")
+    spaces = {
+        "k": quality.Keys((given, [F.col("id")]), ("twice", "again"), (("exists", used, [F.col("ref")], F.col("n")),)),
+        "pair": quality.Keys((given, [F.col("id"), F.col("no")]), (), (("pair exists", used, [F.col("ref"), F.col("no")], F.lit("x")),)),
+    }
+    found = quality.key_checks(spaces, ("pair exists",))
+    assert sorted((r.check, r.offender, r.detail or "") for r in found.collect()) == [
+        ("again", "b", "2"), ("exists", "2", "c"), ("pair exists", "x", ""), ("twice", "b", "2")]
+    # Two of the three readers: keys given twice, references and those that name an offender once.
+    assert len(re.findall(r"Reused(?:Exchange|QueryStage)|ReusedExchange", plan_of(found).split("== Initial Plan ==")[0])) >= 2
