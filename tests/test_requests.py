@@ -142,3 +142,10 @@ def test_every_request_gets_its_outline(spark, tmp_path):
     counted = {(r.request_id, r.edition_id): r["count"] for r in got.groupBy("request_id", "edition_id").count().collect()}
     # Two requests for one edition have an outline each.
     assert counted == {(1, "c1@1"): 60, (2, "c1@2"): 60, (3, "c1@2"): 60}
+
+
+def test_search_clauses_shows_the_clauses_that_were_indexed(spark, tmp_path):
+    found = entry.queries()["search_clauses"](spark, small_tables(spark, tmp_path))
+    # They were stored: order lines are not read again for showing them.
+    assert "l_linenumber" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.path for r in found.collect()} <= {str(n) for n in range(1, 61)} and found.count() == texts.MAX_HITS
